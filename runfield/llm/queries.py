@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runfield.llm import decontaminate, extendible_sharding, token_counts, wavelet_shards
+from runfield.llm import decontaminate, extendible_sharding, packing, token_counts, wavelet_shards
 from runfield.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_wavelet_shards": op2_wavelet_shards,
     "op5_decontamination": op5_decontamination,
+    "op8_packing": op8_packing,
     "op10_sharding": op10_sharding,
 }
 
