@@ -1,8 +1,8 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, and Gumbel top-k.
 
 Tokens are runs of word characters and runs of other printing characters, case kept. Single tokens and pairs are hashed
-to ``buckets``; each occurrence of three tokens in a row also counts as new or as seen before in its document. Two
-multinomial models with add-``alpha`` smoothing are counted: of all documents (raw) and of documents labelled good
+to ``buckets``; each occurrence of three tokens in a row also counts as new or as seen before in its document (all as new
+unless more than ``REPEATS`` of a document's are seen before: a line said twice is no fault). Two multinomial models with add-``alpha`` smoothing are counted: of all documents (raw) and of documents labelled good
 (target). The log weight of a document is the sum of log(target / raw) over its n-grams. Each document gets its log weight
 plus Gumbel noise drawn from its doc_id and ``seed``, and the k largest are kept: a sample without replacement in which
 chances are in proportion to the weights. By default k is the number of documents of weight 1 or more, that is, as likely
@@ -34,6 +34,7 @@ BUCKETS = 10_000
 ALPHA = 0.5
 TARGET_ROWS = 20_000
 SEED = 7
+REPEATS = 0.4
 #: 0: white space, 1: words, 2: the rest.
 _KIND = np.where(textops.SPACE, 0, np.where(textops.WORD, 1, 2)).astype(np.uint8)
 
@@ -51,6 +52,8 @@ def features(data: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarray
         keyed = textops.mix(three[in_three] + (row3.astype(np.uint64) + np.uint64(1)) * textops.constant(0xD6E8FEB86659FD93))
     new = np.zeros(len(row3), bool)
     new[np.unique(keyed, return_index=True)[1]] = True
+    triples, seen = np.bincount(row3, minlength=len(at) - 1), np.bincount(row3[~new], minlength=len(at) - 1)
+    new |= (seen <= REPEATS * triples)[row3]
     size = np.uint64(buckets)
     rows = np.concatenate((row, row[: len(two)][in_two], row3))
     return rows, np.concatenate(((hashes % size).astype(np.int64), (two[in_two] % size).astype(np.int64), np.where(new, buckets, buckets + 1)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runfield.llm import decontaminate, extendible_sharding, packing, token_counts, wavelet_shards
+from runfield.llm import decontaminate, extendible_sharding, packing, quality_classifier, quality_rules, token_counts, wavelet_shards
 from runfield.llm.common import table
 
 
@@ -22,10 +22,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -34,7 +42,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_wavelet_shards": op2_wavelet_shards,
     "op5_decontamination": op5_decontamination,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
+    "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
 }
 
