@@ -2,8 +2,8 @@
 
 Tokens are runs of word characters and runs of other printing characters, case kept. Single tokens and pairs are hashed
 to ``buckets``; each occurrence of three tokens in a row also counts as new or as seen before in its document (all as new
-unless more than ``REPEATS`` of a document's are seen before: a line said twice is no fault). Two multinomial models with add-``alpha`` smoothing are counted: of all documents (raw) and of documents labelled good
-(target). The log weight of a document is the sum of log(target / raw) over its n-grams. Each document gets its log weight
+unless more than ``REPEATS`` of a document's are seen before: a line said twice is no fault). Two multinomial models are counted: of all documents (raw, with ``alpha`` added to each count) and of documents labelled good
+(target, with ``prior`` n-grams added that are spread as the raw ones are, so that a rare n-gram says little). The log weight of a document is the sum of log(target / raw) over its n-grams. Each document gets its log weight
 plus Gumbel noise drawn from its doc_id and ``seed``, and the k largest are kept: a sample without replacement in which
 chances are in proportion to the weights. By default k is the number of documents of weight 1 or more, that is, as likely
 under the target's model as under the raw one.
@@ -32,6 +32,7 @@ from runfield.llm.common import id_and_text, map_batches, passed_through, writte
 
 BUCKETS = 10_000
 ALPHA = 0.5
+PRIOR = 1_000_000
 TARGET_ROWS = 20_000
 SEED = 7
 REPEATS = 0.4
@@ -65,7 +66,7 @@ def target_ids(labels: DataFrame, target_rows: int = TARGET_ROWS) -> np.ndarray:
     return np.sort(np.array([r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).collect()], np.int64))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA, target_rows: int = TARGET_ROWS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+def fitted(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA, prior: float = PRIOR, target_rows: int = TARGET_ROWS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """log(target / raw) for each bucket."""
     ids = docs.sparkSession.sparkContext.broadcast(target_ids(labels, target_rows))
 
@@ -82,15 +83,16 @@ def fitted(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: fl
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(raw[there]), pa.array(target[there])], names=["bucket", "raw", "target"])
 
     counted = id_and_text(docs, id_col, text_col).mapInArrow(work, "bucket long, raw long, target long")
-    raw, target = np.full(buckets + 2, alpha), np.full(buckets + 2, alpha)
+    raw, target = np.full(buckets + 2, alpha), np.zeros(buckets + 2)
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # buckets + 2 rows
         raw[r["bucket"]] += r["raw"]
         target[r["bucket"]] += r["target"]
-    if target.sum() == alpha * len(target):
+    if not target.any():
         return np.zeros(buckets + 2)
-    out = np.log(target / raw)
+    out = np.zeros(buckets + 2)
     for part in (slice(0, buckets), slice(buckets, None)):  # two models: of n-grams, and of triples new or seen
-        out[part] += np.log(raw[part].sum() / target[part].sum())
+        of_raw = raw[part] / raw[part].sum()
+        out[part] = np.log((target[part] + prior * of_raw) / (target[part].sum() + prior) / of_raw)
     return out
 
 
