@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runfield.llm import decontaminate, extendible_sharding, minhash_dedup, packing, quality_classifier, quality_rules, token_counts, wavelet_shards
+from runfield.llm import decontaminate, extendible_sharding, language_id, minhash_dedup, packing, quality_classifier, quality_rules, token_counts, wavelet_shards
 from runfield.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_shards.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predicted(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_wavelet_shards": op2_wavelet_shards,
+    "op3_language_id": op3_language_id,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_decontamination": op5_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
