@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runfield.llm import decontaminate, extendible_sharding, language_id, minhash_dedup, packing, quality_classifier, quality_rules, token_counts, wavelet_shards
+from runfield.llm import decontaminate, extendible_sharding, language_id, license_scan, minhash_dedup, packing, quality_classifier, quality_rules, token_counts, wavelet_shards
 from runfield.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(license_scan.documents_with_paths(table(spark, sf_dir, "documents")))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_license_scan": op6_license_scan,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
@@ -97,4 +102,47 @@ SELECT doc_id, n_bytes, CAST(d AS INTEGER) AS depth, p AS prefix, CASE WHEN d =
 FROM fit WHERE k = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op10_sharding": OP10_SQL}
+_L = license_scan
+_VALUES = ", ".join(f"({i}, '{name}', '{text.lower()}')" for i, (name, text) in enumerate(_L.TEMPLATES))
+
+OP6_SQL = f"""
+WITH template(i, license, body) AS (VALUES {_VALUES}),
+tterm AS (SELECT i, term, count(*) AS n FROM (SELECT i, unnest(regexp_extract_all(body, '[a-z0-9]+')) AS term FROM template) GROUP BY i, term),
+idf AS (SELECT term, ln((1 + {len(_L.TEMPLATES)}) / (1.0 + count(*))) + 1 AS w FROM tterm GROUP BY term),
+tvec AS (SELECT i, term, n * w AS w FROM tterm JOIN idf USING (term)),
+tnorm AS (SELECT i, sqrt(sum(w * w)) AS norm FROM tvec GROUP BY i),
+doc AS (
+  SELECT doc_id, concat_ws('/', coalesce(source, 'unknown'), CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR), CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR), CAST(doc_id AS VARCHAR) || '.txt') AS path,
+    concat_ws('/', coalesce(source, 'unknown'), CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR), CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR)) AS dir,
+    translate(text, '{_L.UPPER}', '{_L.SMALL}') AS low
+  FROM documents
+),
+cued AS (SELECT doc_id, low, list_filter(string_split(low, chr(10)), lambda x: regexp_matches(x, '{_L.CUES}')) AS lines FROM doc WHERE regexp_matches(low, '{_L.CUES}')),
+stated AS (SELECT doc_id, unnest(CASE WHEN len(lines) > 1 THEN list_append(lines, array_to_string(lines, ' ')) ELSE lines END) AS body FROM cued),
+numbered AS (SELECT row_number() OVER () AS s, doc_id, regexp_extract_all(body, '[a-z0-9]+') AS terms FROM stated),
+sterm AS (SELECT s, term, count(*) AS n FROM (SELECT s, unnest(terms) AS term FROM numbered) GROUP BY s, term),
+snorm AS (SELECT s, sqrt(sum(CASE WHEN w IS NULL THEN n * power(ln(1 + {len(_L.TEMPLATES)}) + 1, 2) ELSE power(n * w, 2) END)) AS norm FROM sterm LEFT JOIN idf USING (term) GROUP BY s),
+dots AS (SELECT s, v.i, sum(t.n * f.w * v.w) AS dot FROM sterm t JOIN idf f USING (term) JOIN tvec v USING (term) GROUP BY s, v.i),
+ranked AS (
+  SELECT n.doc_id, round(d.dot / (a.norm * b.norm), 6) AS cosine, p.license, len(n.terms) AS words,
+    row_number() OVER (PARTITION BY n.doc_id ORDER BY round(d.dot / (a.norm * b.norm), 6) DESC, d.i, p.license DESC, len(n.terms) DESC) AS k
+  FROM dots d JOIN snorm a USING (s) JOIN tnorm b ON b.i = d.i JOIN template p ON p.i = d.i JOIN numbered n USING (s)
+),
+own AS (
+  SELECT d.doc_id, d.path, d.dir, coalesce(r.cosine, 0.0) AS cosine, CASE WHEN r.cosine >= {_L.LEAST_COSINE} THEN r.license END AS own_license,
+    coalesce(r.cosine >= {_L.LEAST_COSINE} AND 2 * r.words >= len(regexp_extract_all(d.low, '[a-z0-9]+')), false) AS license_file
+  FROM doc d LEFT JOIN ranked r ON r.doc_id = d.doc_id AND r.k = 1
+),
+licensed AS (SELECT dir AS above, own_license AS dir_license FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path) AS k FROM own WHERE license_file) WHERE k = 1),
+climb AS (SELECT dir, dir AS above, 3 AS depth FROM (SELECT DISTINCT dir FROM own)
+  UNION ALL SELECT dir, regexp_replace(dir, '/[^/]*$', ''), 2 FROM (SELECT DISTINCT dir FROM own)
+  UNION ALL SELECT dir, regexp_replace(dir, '/[^/]*/[^/]*$', ''), 1 FROM (SELECT DISTINCT dir FROM own)
+  UNION ALL SELECT dir, '', 0 FROM (SELECT DISTINCT dir FROM own)),
+nearest AS (SELECT dir, above, dir_license FROM (SELECT c.dir, c.above, l.dir_license, row_number() OVER (PARTITION BY c.dir ORDER BY c.depth DESC) AS k FROM climb c JOIN licensed l USING (above)) WHERE k = 1)
+SELECT o.doc_id, o.path, o.own_license, o.cosine, o.license_file, coalesce(o.own_license, n.dir_license) AS license,
+  CASE WHEN o.own_license IS NOT NULL THEN 'own' WHEN n.dir_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN o.own_license IS NULL AND n.dir_license IS NOT NULL THEN n.above END AS license_dir
+FROM own o LEFT JOIN nearest n USING (dir)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op6_license_scan": OP6_SQL, "op10_sharding": OP10_SQL}
