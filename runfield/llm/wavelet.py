@@ -23,8 +23,34 @@ MAGIC = b"WVMX0001"
 EVERY = 512
 
 
+#: Tokens moved at a time, so that positions stay in a core's cache.
+_SOME = 1 << 15
+
+
 def _partition(v: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.concatenate((v[~ones], v[ones]))
+    """The items of v at a 0, then those at a 1. By positions: many times as fast as by masks where the bits are mixed."""
+    out = np.empty_like(v)
+    a, b = 0, len(v) - int(np.count_nonzero(ones))
+    for at in range(0, len(v), _SOME):
+        some, bits = v[at : at + _SOME], ones[at : at + _SOME]
+        zero, one = np.flatnonzero(~bits), np.flatnonzero(bits)
+        some.take(zero, out=out[a : a + len(zero)], mode="clip")
+        some.take(one, out=out[b : b + len(one)], mode="clip")
+        a, b = a + len(zero), b + len(one)
+    return out
+
+
+def _merge(v: np.ndarray, ones: np.ndarray, bit: int) -> np.ndarray:
+    """Undoes ``_partition`` and sets ``bit`` in the items that go to a 1."""
+    out = np.empty_like(v)
+    a, b = 0, len(v) - int(np.count_nonzero(ones))
+    for at in range(0, len(v), _SOME):
+        some, bits = out[at : at + _SOME], ones[at : at + _SOME]
+        zero, one = np.flatnonzero(~bits), np.flatnonzero(bits)
+        some[zero] = v[a : a + len(zero)]
+        some[one] = v[b : b + len(one)] | v.dtype.type(bit)
+        a, b = a + len(zero), b + len(one)
+    return out
 
 
 class Bits:
@@ -65,7 +91,7 @@ class WaveletMatrix:
         levels = max(1, int(ids.max()).bit_length()) if n else 1
         v, planes = ids.astype(np.uint16 if levels <= 16 else np.uint32), []
         for shift in range(levels - 1, -1, -1):
-            ones = ((v >> v.dtype.type(shift)) & v.dtype.type(1)).view(np.uint8 if v.itemsize == 1 else v.dtype).astype(bool)
+            ones = (v & v.dtype.type(1 << shift)) != 0
             packed = np.packbits(ones, bitorder="little")
             words = np.zeros(-(-n // 64) or 1, np.uint64)
             words.view(np.uint8)[: len(packed)] = packed
@@ -79,10 +105,7 @@ class WaveletMatrix:
         v = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for k in range(self.levels - 1, -1, -1):
             ones = np.unpackbits(self.planes[k].words.view(np.uint8), count=self.n, bitorder="little").view(bool)
-            back, z = np.empty_like(v), self.zeros[k]
-            back[~ones] = v[:z]
-            back[ones] = v[z:] | v.dtype.type(1 << (self.levels - 1 - k))
-            v = back
+            v = _merge(v, ones, 1 << (self.levels - 1 - k))
         return v
 
     def access(self, at) -> np.ndarray:
