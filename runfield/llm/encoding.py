@@ -1,22 +1,27 @@
 """Token ids of whole texts by the tokenizers library, each distinct chunk encoded once while it is remembered.
 
-The library is asked for chunks between which the vocabulary's own rules cut every text; ids of a text are those of its
-chunks in turn. A text that holds one of the vocabulary's special strings goes to the library whole.
+Texts are cut into chunks where the vocabulary's own rules cut every text; ids of a text are those of its chunks in turn.
+A new chunk is normalised by the library, split by the vocabulary's pattern, and merged by the library's model. A text
+that holds one of the vocabulary's special strings goes to the library whole, as does any text of a vocabulary whose rules
+are not among those known here.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import struct
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 from runfield.llm.chunks import Recent, byte_level_chunks
 from runfield.llm.common import tokenizer_path
+from runfield.llm.token_counts import PATTERN, byte_alphabet
 
 #: Chunks that a worker remembers, twice over.
-CACHED = 250_000
+CACHED = 300_000
 
 
 def word_chunks(text: str) -> list[str]:
@@ -25,16 +30,18 @@ def word_chunks(text: str) -> list[str]:
 
 
 def _cutter(spec: dict):
-    """How this vocabulary's texts may be cut; None if the library must have them whole."""
-    pre, normal = spec["pre_tokenizer"] or {}, spec["normalizer"]
+    """How this vocabulary's texts may be cut into chunks, and the pattern that splits those; None if the library must have texts whole."""
+    pre, normal, model = spec["pre_tokenizer"] or {}, spec["normalizer"], spec["model"]
+    if model["type"] != "BPE" or model.get("dropout"):
+        return None
     if pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not normal:
-        return byte_level_chunks
+        return byte_level_chunks, PATTERN
     if pre.get("type") == "Sequence" and normal and normal["type"] == "Sequence":
         split, level = pre["pretokenizers"][0], pre["pretokenizers"][-1]
         drops = split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"] and "[^\\s" in split["pattern"].get("Regex", "")
         by_char = {n["type"] for n in normal["normalizers"]} <= {"NFC", "Replace", "Lowercase"}
         if drops and by_char and len(pre["pretokenizers"]) == 2 and level["type"] == "ByteLevel" and not level["use_regex"] and not level["add_prefix_space"]:
-            return word_chunks
+            return word_chunks, split["pattern"]["Regex"]
     return None
 
 
@@ -46,23 +53,29 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.library = Tokenizer.from_file(path)
+        self.model, self.normalizer = self.library.model, self.library.normalizer
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.cut = _cutter(spec)
+        self.cut, pattern = _cutter(spec) or (None, "")
+        self.split = regex.compile(pattern).findall
+        self.alphabet = dict(enumerate(byte_alphabet()))
         self.known = Recent(CACHED)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def _chunk(self, chunk: str) -> bytes:
+        if self.normalizer:
+            chunk = self.normalizer.normalize_str(chunk)
+        merge, alphabet = self.model.tokenize, self.alphabet
+        ids = [t.id for piece in self.split(chunk) for t in merge(piece.encode().decode("latin-1").translate(alphabet))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if self.cut is None or any(s in text for s in self.special):
-            return self._whole([text])[0]
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         chunks, known = self.cut(text), self.known
-        new = known.missing(set(chunks))
-        if new:
-            known.update(zip(new, self._whole(new), strict=True))
+        for chunk in known.missing(set(chunks)):
+            known[chunk] = self._chunk(chunk)
         return b"".join(map(known.__getitem__, chunks))
 
 
