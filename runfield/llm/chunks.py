@@ -8,6 +8,7 @@ in a cache of bounded size; only new chunks are worked on.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 #: Two white spaces in a row: such a text is not cut at its spaces.
 _RUN = re.compile(r"\s\s")
@@ -23,23 +24,22 @@ def byte_level_chunks(text: str) -> list[str]:
 
 
 class Recent(dict):
-    """A cache in two generations: what was not asked for while ``half`` other keys came in is forgotten."""
+    """What ``make`` gives for a key, remembered in two generations.
 
-    def __init__(self, half: int):
+    Once ``half`` keys are in the younger one it becomes the older, and what that held is forgotten; a key found in the
+    older one moves to the younger. Hits are plain dict look-ups.
+    """
+
+    def __init__(self, half: int, make: Callable):
         super().__init__()
-        self.half, self.old = half, {}
+        self.half, self.make, self.old = half, make, {}
 
-    def missing(self, keys: set) -> list:
-        """Of ``keys``, those unknown; all others are in the dict itself afterwards, until the next call."""
-        if len(self) > self.half:
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
             self.old = dict(self)
             self.clear()
-        unknown, old = [], self.old
-        for key in keys:
-            if key not in self:
-                value = old.get(key)
-                if value is None:
-                    unknown.append(key)
-                else:
-                    self[key] = value
-        return unknown
+        self[key] = value
+        return value

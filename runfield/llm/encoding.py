@@ -58,7 +58,7 @@ class Encoder:
         self.cut, pattern = _cutter(spec) or (None, "")
         self.split = regex.compile(pattern).findall
         self.alphabet = dict(enumerate(byte_alphabet()))
-        self.known = Recent(CACHED)
+        self.known = Recent(CACHED, self._chunk)
 
     def _chunk(self, chunk: str) -> bytes:
         if self.normalizer:
@@ -73,10 +73,7 @@ class Encoder:
             return b""
         if self.cut is None or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks, known = self.cut(text), self.known
-        for chunk in known.missing(set(chunks)):
-            known[chunk] = self._chunk(chunk)
-        return b"".join(map(known.__getitem__, chunks))
+        return b"".join(map(self.known.__getitem__, self.cut(text)))
 
 
 @lru_cache(maxsize=2)

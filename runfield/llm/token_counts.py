@@ -61,7 +61,7 @@ class PairMerger:
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.pattern = regex.compile(PATTERN)
-        self.known = Recent(CACHED)
+        self.known = Recent(CACHED, self.of_chunk)
 
     def merged(self, piece: bytes) -> int:
         """Tokens of one pre-token."""
@@ -103,10 +103,7 @@ class PairMerger:
         return sum(self.merged(x.encode()) for x in self.pattern.findall(chunk))
 
     def plain(self, text: str) -> int:
-        chunks, known = byte_level_chunks(text), self.known
-        for chunk in known.missing(set(chunks)):
-            known[chunk] = self.of_chunk(chunk)
-        return sum(map(known.__getitem__, chunks))
+        return sum(map(self.known.__getitem__, byte_level_chunks(text)))
 
     def count(self, text: str | None) -> int:
         """Tokens of a text. The vocabulary's special strings count as one token each, as the library has it by default."""
