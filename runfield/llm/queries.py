@@ -23,7 +23,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.classes(table(spark, sf_dir, "documents"))
+    return minhash_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,4 +145,51 @@ SELECT o.doc_id, o.path, o.own_license, o.cosine, o.license_file, coalesce(o.own
 FROM own o LEFT JOIN nearest n USING (dir)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op6_license_scan": OP6_SQL, "op10_sharding": OP10_SQL}
+#: All pairs of documents that share a shingle, and the components of those that are alike enough.
+OP4_SQL = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + {minhash_dedup.SHINGLE - 1}), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {minhash_dedup.SHINGLE - 1}, 1) + 1)) AS i FROM doc WHERE len(w) > 0)
+),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+link AS (SELECT a, b FROM pair p JOIN size m ON m.doc_id = p.a JOIN size n ON n.doc_id = p.b WHERE CAST(c AS DOUBLE) / (m.n + n.n - c) >= {minhash_dedup.SIMILARITY}),
+e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(d, l) AS (SELECT DISTINCT doc_id, doc_id FROM doc UNION SELECT e.a, r.l FROM reach r JOIN e ON e.b = r.d WHERE r.l < e.a)
+SELECT d AS doc_id, min(l) AS class_id FROM reach GROUP BY d
+"""
+
+_R = quality_rules
+_PHRASES = "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in _R.PHRASES)
+_SPACE = r"[ \t\n\v\f\r]"
+_AFTER = _R.AFTER.replace("'", "''").replace("]", r"\]")
+
+OP9_SQL = f"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') AS w FROM documents),
+tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM doc WHERE len(w) > 2)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri) WHERE n > 1),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM doc),
+counted AS (SELECT doc_id, l, pos, len(list_filter(regexp_split_to_array(l, '{_SPACE}+'), lambda x: x <> '')) AS k FROM line),
+told AS (SELECT *, row_number() OVER (PARTITION BY doc_id, l ORDER BY pos) > 1 AS seen FROM counted WHERE k > 0),
+judged AS (
+  SELECT doc_id, k, seen, 10 * length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) > k
+    OR length(regexp_replace(l, '[^|»·]', '', 'g')) >= 2
+    OR (length(regexp_replace(l, '[^A-Z]', '', 'g')) >= 3 AND length(regexp_replace(l, '[^A-Z]', '', 'g')) > length(regexp_replace(l, '[^a-z]', '', 'g')))
+    OR regexp_matches(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_PHRASES}')
+    OR seen OR NOT regexp_matches(l, '[{_R.CLOSING}][{_AFTER}]*{_SPACE}*$') AS fails
+  FROM told
+),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(CASE WHEN seen THEN 1 END) AS dup, count(CASE WHEN fails THEN 1 END) AS failed, coalesce(sum(CASE WHEN fails THEN k END), 0) AS lost FROM judged GROUP BY doc_id),
+base AS (
+  SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(length(regexp_replace(d.text, '{_SPACE}', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(l.dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+    len(d.w) < {_R.LEAST_WORDS} OR 100 * coalesce(r.n, 0) > {_R.MOST_REPEATED} * len(d.w) AS base_failed,
+    CAST(coalesce(l.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(l.failed, 0) AS BIGINT) AS n_failed_lines, CAST(coalesce(l.lost, 0) AS BIGINT) AS lost_words
+  FROM doc d LEFT JOIN lines l USING (doc_id) LEFT JOIN repeats r USING (doc_id)
+)
+SELECT *, NOT base_failed AND 100 * lost_words <= {_R.MOST_LOST} * n_words AS kept FROM base
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_minhash_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_license_scan": OP6_SQL, "op9_quality_rules": OP9_SQL, "op10_sharding": OP10_SQL}
