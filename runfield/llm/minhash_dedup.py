@@ -26,7 +26,7 @@ Scale: texts are read twice (the second time only candidates' shingles are kept)
 partial aggregation, so that no key holds them. A bucket's rows are narrow; sets of shingles travel once for each block.
 Components come from min-label propagation with shortcuts on links only, whose number is that of linked texts.
 
-Defined cases: null and wordless texts belong to no group (class_id = doc_id); rows with a null doc_id are left out, as
+Defined cases: null and wordless texts belong to no group (class_id = doc_id, unless another row of the id has words); rows with a null doc_id are left out, as
 no row could name them; repeated rows and ids are one document, whose texts, if they differ, are all its own; an empty
 table gives no rows; other columns are not read by ``classes`` and carried by ``deduplicated``.
 """
@@ -221,15 +221,13 @@ def _met(bucket_rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the least doc_id of its group), n_links (verified links of its text found on the way): a row for each doc_id."""
+    """doc_id, class_id (the least doc_id of its group): a row for each distinct doc_id."""
     source = id_and_text(docs, id_col, text_col)
     sketch = written(sketches(source), "sketches")
     worded = sketch.where("fp1 is not null")
-    same = worded.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    same = written(same, "equal-texts")
-    # One row for each distinct text: of its rows, those of the least doc_id, once.
-    texts = worded.groupBy("fp1", "fp2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("doc_id"))
-    keyed = written(texts.select("doc_id", F.explode("bands").alias("key")).distinct(), "band-keys")
+    # One row for each distinct text, under the least doc_id that has it.
+    texts = written(worded.groupBy("fp1", "fp2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep")), "distinct-texts")
+    keyed = written(texts.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key")).distinct(), "band-keys")
     buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     shared = written(keyed.join(buckets, "key"), "buckets")
     sets = written(shingle_sets(source, shared.select("doc_id").distinct()).dropDuplicates(["doc_id", "shingles"]), "shingle-sets")
@@ -243,14 +241,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     rows = open_rows.join(largest.select("key", F.col("top.comp").alias("top")), "key").withColumn("query", (F.col("comp") != F.col("top")) & (F.col("doc_id") != F.col("hub")))
     counts = rows.groupBy("key").agg(F.count(F.when(F.col("query"), 1)).alias("n_query"), F.count("*").alias("n_target")).where("n_query > 0")
     more = written(_met(rows.join(counts, "key"), sets, similarity).distinct(), "more-links")
-    everything = links.unionAll(more)
-    # Equal texts, and rows of one doc_id with different texts, are joined through the least doc_id of each text.
-    equal = worded.join(same, ["fp1", "fp2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-    found = components(everything.unionAll(equal))
-    degree = everything.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    degree = degree.select("a").unionAll(degree.select("b")).groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("n_links"))
-    every = sketch.select("doc_id").distinct()
-    return every.join(found, "doc_id", "left").join(degree, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # Copies are named by their text's representative after components are found, so they are no edges. Rows of one
+    # doc_id with different texts are one document: they join the representatives of those texts.
+    named = written(worded.join(texts.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).select("doc_id", "rep"), "copies")
+    several = named.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")
+    across = named.join(several, "doc_id").select(F.col("least").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    found = components(links.unionAll(more).unionAll(across))
+    of_texts = named.join(found.select(F.col("doc_id").alias("rep"), "class_id"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("class_id", "rep")).alias("class_id"))
+    rest = sketch.where("fp1 is null").select("doc_id").distinct().join(of_texts, "doc_id", "left_anti")
+    return of_texts.unionAll(rest.select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
