@@ -183,9 +183,12 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int =
         df[r["feature"]] = r["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     per = max(1, sample_rows // len(languages))
-    chosen = rows.select("doc_id", "lang").where(F.col("lang").isin(languages)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per)
+    # Of each language, about four times as many ids as wanted lie under a bound on their hashes; only those are ranked.
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    bounds = F.create_map(*(F.lit(x) for r in common for x in (r["lang"], min(1 << 30, (1 << 30) * 4 * (per + 25) // r["count"]))))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = rows.select("doc_id", "lang").where(low <= bounds[F.col("lang")]).distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= per)
     known = {r["doc_id"]: r["lang"] for r in chosen.select("doc_id", "lang").collect()}  # at most sample_rows
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -196,7 +199,8 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int =
     picked = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in known], "doc_id long"))  # at most sample_rows ids
     sampled = map_batches(rows.join(picked, "doc_id", "left_semi"), work, "doc_id long, lang string, feature array<int>, count array<int>")
     examples = {}
-    for r in sampled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * sample_rows).toLocalIterator():
+    each = sampled.groupBy("doc_id").agg(F.min(F.struct("lang", "feature", "count")).alias("x")).select("doc_id", "x.*")  # repeated ids count once
+    for r in each.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():  # at most sample_rows
         if r["feature"] and r["lang"] in languages:
             examples[r["doc_id"]] = (np.array(r["feature"]), np.array(r["count"]), languages.index(r["lang"]))
     return _trained(list(examples.values()), languages, idf, epochs)
