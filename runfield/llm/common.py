@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_DEFAULT = "67108864b"
+BATCH_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,6 +46,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session is told to send Python at most BATCH_BYTES at a time, unless it has a setting of its own.
+
+    With Spark's default, thousands of long texts are one batch in the memory of both sides.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == _DEFAULT:
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
+    return df
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` with a function of one batch; it may return one batch, several or none."""
 
@@ -55,7 +70,7 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Reco
             else:
                 yield from made
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def passed_through(docs: DataFrame, keep: Callable[[pa.Array, pa.Array], list[bool]], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runfield.llm import textops
-from runfield.llm.common import id_and_text, map_batches, passed_through
+from runfield.llm.common import bounded_batches, id_and_text, map_batches, passed_through
 
 FEATURES = 1 << 15
 SAMPLE_ROWS = 2_400
@@ -179,7 +179,7 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int =
         yield pa.RecordBatch.from_arrays([pa.array([*there.tolist(), -1], pa.int32()), pa.array([*df[there].tolist(), n], pa.int64())], names=["feature", "n"])
 
     df = np.zeros(FEATURES + 1)
-    for r in rows.select("text").mapInArrow(frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # FEATURES + 1 rows
+    for r in bounded_batches(rows.select("text")).mapInArrow(frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # FEATURES + 1 rows
         df[r["feature"]] = r["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 

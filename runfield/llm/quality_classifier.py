@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runfield.llm import textops
-from runfield.llm.common import id_and_text, map_batches, passed_through, written
+from runfield.llm.common import bounded_batches, id_and_text, map_batches, passed_through, written
 
 BUCKETS = 10_000
 ALPHA = 0.5
@@ -82,7 +82,7 @@ def fitted(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: fl
         there = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(raw[there]), pa.array(target[there])], names=["bucket", "raw", "target"])
 
-    counted = id_and_text(docs, id_col, text_col).mapInArrow(work, "bucket long, raw long, target long")
+    counted = bounded_batches(id_and_text(docs, id_col, text_col)).mapInArrow(work, "bucket long, raw long, target long")
     raw, target = np.full(buckets + 2, alpha), np.zeros(buckets + 2)
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # buckets + 2 rows
         raw[r["bucket"]] += r["raw"]

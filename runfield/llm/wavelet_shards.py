@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runfield.llm.common import id_and_text, map_batches, new_path, written
+from runfield.llm.common import bounded_batches, id_and_text, map_batches, new_path, written
 from runfield.llm.encoding import encoder
 from runfield.llm.wavelet import Shard, to_bytes
 
@@ -71,7 +71,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
             yield closed()
 
     ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    files = written(ordered.mapInArrow(work, "part long, file long, path string, n_docs long, n_tokens long"), "shard-files")
+    files = written(bounded_batches(ordered).mapInArrow(work, "part long, file long, path string, n_docs long, n_tokens long"), "shard-files")
     tasks = files.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task that wrote
     tasks = tasks.select("part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("part_start"))
