@@ -73,7 +73,7 @@ def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
     draws = 1
     while len(row):
         # texts of few shingles need many arrivals of each: draw more at a time, up to a bounded matrix
-        k = int(min(draws, max(1, (1 << 20) // len(row))))
+        k = int(min(draws, max(1, (1 << 18) // len(row))))
         with np.errstate(over="ignore"):
             number = drawn[:, None] + np.arange(1, k + 1, dtype=np.uint64)[None, :]
             bits = textops.mix(element[:, None] + number * _STEP)
@@ -187,7 +187,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) that are as similar as ``least``."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        alike = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        # views of the batch's own bytes, one pair at a time
+        alike = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         return batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
