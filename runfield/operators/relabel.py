@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from runfield.sources.volumes import Dims, generate
 
+#: Labels that a task counts up at a time.
+BLOCK = 1 << 16
+
 
 def label_cells(labelled: DataFrame) -> DataFrame:
     """slice, row, col, label of every foreground cell; background is not written."""
@@ -35,8 +38,9 @@ def histogram(cells: DataFrame, dims: Dims) -> DataFrame:
     """label, n for 0 .. the greatest label, with 0 for the background that ``cells`` leaves out."""
     counts = cells.groupBy("label").agg(F.count("*").alias("n"))
     found = counts.agg(F.coalesce(F.max("label"), F.lit(0)).alias("top"), F.coalesce(F.sum("n"), F.lit(0)).alias("set"))
-    # labels are dense, so only those below the top that are missing are filled in
-    every = found.select(F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("label"), (F.lit(dims.cells) - F.col("set")).alias("zeros"))
+    # all labels up to the top, in blocks that are dealt out before they are filled in
+    blocks = found.select("top", (F.lit(dims.cells) - F.col("set")).alias("zeros"), F.explode(F.expr(f"sequence(0L, top div {BLOCK})")).alias("block")).repartition("block")
+    every = blocks.select(F.explode(F.expr(f"sequence(block * {BLOCK}, least(top, (block + 1) * {BLOCK} - 1))")).alias("label"), "zeros")
     return every.join(counts, "label", "left").select("label", F.when(F.col("label") == 0, F.col("zeros") + F.coalesce("n", F.lit(0))).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n"))
 
 
