@@ -46,7 +46,7 @@ def _cutter(spec: dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,7 +58,7 @@ class Encoder:
         self.cut, pattern = _cutter(spec) or (None, "")
         self.split = regex.compile(pattern).findall
         self.alphabet = dict(enumerate(byte_alphabet()))
-        self.known = Recent(CACHED, self._chunk)
+        self.known = Recent(remembered, self._chunk)
 
     def _chunk(self, chunk: str) -> bytes:
         if self.normalizer:
@@ -77,5 +77,5 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str) -> Encoder:
-    return Encoder(tokenizer_path(vocabulary))
+def encoder(vocabulary: str, remembered: int = CACHED) -> Encoder:
+    return Encoder(tokenizer_path(vocabulary), remembered)

@@ -32,6 +32,8 @@ from runfield.llm.wavelet import Shard, to_bytes
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 SHARD_TOKENS = 2_000_000
+#: Chunks that a worker remembers, twice over.
+REMEMBERED = 500_000
 
 
 def _store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -57,7 +59,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
             files, held, doc_ids, ends, total = files + 1, [], [], [0], 0
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "file", "path", "n_docs", "n_tokens"])
 
-        end, ids = np.array([end_id], "<u4").tobytes(), encoder(vocabulary).ids
+        end, ids = np.array([end_id], "<u4").tobytes(), encoder(vocabulary, REMEMBERED).ids
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 found = ids(text.as_py()) + end
