@@ -5,7 +5,9 @@ packed in groups of about ``group_pieces``. Within a group, a node of the search
 enumerates fillings around it: those that no other piece left could improve (undominated), least waste first, then fewest
 pieces. The first descent follows the best filling at every node; best-fit decreasing gives the first incumbent. A branch
 is cut off as soon as its waste is more than an answer with one sequence fewer than the incumbent may have, and the search
-ends when the incumbent meets the lower bound (that of Martello and Toth), or after ``nodes`` nodes.
+ends when the incumbent meets the lower bound (that of Martello and Toth), or after ``nodes`` nodes. A quick search looks
+at a few fillings of a node only; where it ends with nodes left, a second one enumerates all undominated fillings of any
+number of pieces, so that an answer found before the nodes are used up is the least possible.
 
 Scale: texts are encoded in one narrow map; only (doc_id, piece, start, length, crc) is shuffled, by a hash of the row's
 place in the written table of pieces, so groups are even whatever is repeated. A group wastes less than one sequence more
@@ -18,9 +20,10 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -36,8 +39,10 @@ CAPACITY = 2048
 END = 0
 GROUP_PIECES = 16_384
 NODES = 20_000
-#: Fillings that a node branches on at most, best first.
+#: Fillings that a node of the quick search branches on at most, best first.
 BRANCHES = 6
+#: Steps of an enumeration that count as one node, and nodes of a path that keep theirs; others start again if gone back to.
+STEPS, KEPT = 64, 64
 
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,13 +180,122 @@ def _dominated(filling: tuple[int, ...], waste: int, below: np.ndarray) -> bool:
     return any(s + waste < len(below) and below[s + waste] > s for s in sums)
 
 
+def every_filling(count: np.ndarray, room: int, allowed: Callable[[], int], step: Callable[[int], None]) -> Iterator[tuple[int, ...]]:
+    """All undominated sets of lengths left, of any number of pieces, with a waste of ``allowed()`` or less: least waste first.
+
+    reach[i] has a bit for each sum that the i smallest lengths can make, so no step of the enumeration leads nowhere.
+    """
+    lengths = np.flatnonzero(count[: room + 1]).tolist()
+    left = {x: int(count[x]) for x in lengths}
+    reach, mask = [1], (1 << (room + 1)) - 1
+    for x in lengths:
+        sums, many, k = reach[-1], min(left[x], room // x), 1
+        while many:
+            k = min(k, many)
+            sums |= (sums << (k * x)) & mask
+            many, k = many - k, 2 * k
+        reach.append(sums)
+    step(len(lengths))
+    waste = 0
+    while waste <= min(room, allowed()):
+        target = room - waste
+        stack = [(len(lengths), target, ())] if reach[-1] >> target & 1 else []
+        while stack:
+            step(1)
+            i, rest, taken = stack.pop()
+            if not rest:
+                if not _improvable(taken, waste, lengths, left):
+                    yield tuple(x for x, n in taken for _ in range(n))
+                continue
+            i = min(i, bisect_right(lengths, rest))
+            x = lengths[i - 1]
+            for n in range(min(left[x], rest // x) + 1):
+                if reach[i - 1] >> (rest - n * x) & 1:
+                    stack.append((i - 1, rest - n * x, (*taken, (x, n)) if n else taken))
+        waste += 1
+
+
+def _improvable(taken: tuple[tuple[int, int], ...], waste: int, lengths: list[int], left: dict[int, int]) -> bool:
+    """True if a piece outside the filling could be added to it, or stand in for one or two of its pieces and leave less room."""
+    if not waste:
+        return False
+    used = dict(taken)
+    sums = {0, *used, *(x + y for x in used for y in used if x < y or (x == y and used[x] > 1))}
+    return any(left[x] > used.get(x, 0) for s in sums for x in lengths[bisect_right(lengths, s) : bisect_right(lengths, s + waste)])
+
+
 def pack(lengths: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
     """Bins of lengths, as few as the search finds."""
+    best, seen = _quick(lengths, capacity, nodes)
+    if seen < nodes and len(best) > lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity):
+        best = _thorough(lengths, capacity, nodes - seen, best)
+    return best
+
+
+def _thorough(lengths: np.ndarray, capacity: int, nodes: int, best: list[list[int]]) -> list[list[int]]:
+    """``best``, or fewer bins found by trying all undominated fillings at every node, until ``nodes`` are used up."""
+    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    bound, total, left = lower_bound(count, capacity), int(lengths.sum()), _Left(count)
+    waste, seen = 0, 0.0
+
+    def step(n: int) -> None:
+        nonlocal seen
+        seen += n / STEPS
+        if seen >= nodes:
+            raise _UsedUp
+
+    def enumerated(largest: int, before: int) -> Iterator[tuple[int, ...]]:
+        rest = left.count.copy()
+        rest[largest] -= 1
+        return every_filling(rest, capacity - largest, lambda: (len(best) - 1) * capacity - total - before, step)
+
+    # path: [largest piece, waste before its bin, the bin, how many fillings were tried here, the others or None]
+    path: list[list] = []
+    try:
+        while True:
+            largest = left.largest()
+            if largest:
+                path.append([largest, waste, None, 0, enumerated(largest, waste)])
+                if len(path) > KEPT:
+                    path[-KEPT - 1][4] = None
+            elif len(path) < len(best):
+                best = [list(at[2]) for at in path]
+                if len(best) <= bound:
+                    return best
+            while path:
+                at = path[-1]
+                if at[2]:
+                    for x in at[2]:
+                        left.count[x] += 1
+                    at[2], waste = None, at[1]
+                if at[4] is None:
+                    at[4] = islice(enumerated(at[0], at[1]), at[3], None)
+                filling = next(at[4], None)
+                if filling is not None:
+                    step(STEPS)
+                    at[2], at[3] = (at[0], *filling), at[3] + 1
+                    for x in at[2]:
+                        left.count[x] -= 1
+                    waste = at[1] + capacity - sum(at[2])
+                    break
+                path.pop()
+            else:
+                return best
+    except _UsedUp:
+        return best
+
+
+class _UsedUp(Exception):
+    """No nodes are left."""
+
+
+def _quick(lengths: np.ndarray, capacity: int, nodes: int) -> tuple[list[list[int]], int]:
+    """Bins of lengths by the first fillings of every node, and the nodes looked at."""
     count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     bound, best = lower_bound(count, capacity), best_fit_decreasing(count, capacity)
     total = int(lengths.sum())
     if len(best) <= bound:
-        return best
+        return best, 0
     left, seen = _Left(count), 0
     # path: (bin, the other fillings to try here); a filling is put in place before the next node is looked at
     path: list[tuple[list[int], list[list[int]]]] = []
@@ -221,7 +335,7 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> l
         one = choices.pop()
         put(one, 1)
         path.append((one, choices))
-    return best
+    return best, seen
 
 
 def placed(rows: pd.DataFrame, group: int, capacity: int, nodes: int) -> pd.DataFrame:

@@ -131,6 +131,20 @@ def test_bin_completion_improves_on_best_fit():
     assert packing.lower_bound(count, 2048) <= len(packing.pack(lengths, nodes=3000)) < len(packing.best_fit_decreasing(count, 2048))
 
 
+def test_fillings_of_many_pieces_are_tried():
+    bins = packing.pack(np.array([1048, 1038, 340, 340, 330, 250, 250, 250, 250]))
+    assert sorted(sorted(b) for b in bins) == [[250, 250, 250, 250, 1048], [330, 340, 340, 1038]]
+
+
+def test_thorough_search_is_optimal_on_small_cases():
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        lengths = rng.integers(1, rng.integers(6, 31), rng.integers(5, 12))
+        bins = packing.pack(lengths, 30)
+        assert sorted(x for b in bins for x in b) == sorted(lengths.tolist()) and max(map(sum, bins)) <= 30
+        assert len(bins) == len(packing._thorough(lengths, 30, 20_000, [[int(x)] for x in lengths])) == least_bins(lengths.tolist(), 30)
+
+
 def test_packing_of_odd_rows(spark):
     library = Tokenizer.from_file(public_tokenizers.path(WORD))
     rows = packing.pack_documents(helpers.odd(spark), group_pieces=6).toPandas()
