@@ -3,7 +3,12 @@
 Lines with a licensing cue are a text's statements; where there are several, all of them together are one more. Each is
 compared with short templates of licence notices. Terms are runs of a-z and 0-9 (A-Z lower-cased). Idf is taken over the
 templates; a term of no template has the greatest idf and counts once for each occurrence. The best template with a cosine
-of ``least_cosine`` or more is the text's own licence. A licence file is one named as such, or whose matched statements hold
+of ``least_cosine`` or more is the text's own licence. A text with a cue whose statements give none is looked at again: an
+SPDX identifier names its licence; else windows of the length of each notice of ``NOTICES`` are compared with it by the same
+cosine, wherever the notice stands in longer lines or is wrapped. Windows are laid over the text's terms so that one of the
+notice's key terms meets its place in the notice, and must hold all its key terms (a name, a version) and none of those that
+make it another licence. The longest notice found counts, then the greatest cosine; "all rights reserved" only if it is
+the only one. A licence file is one named as such, or whose matched statements hold
 at least half of its words; it licenses its directory. Of all other texts, those without a licence of their own take that
 of the nearest directory above them that has one.
 
@@ -50,6 +55,40 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("Proprietary", "All rights reserved"),
 ]
+#: Fixed values for the second look: licence, notice, key terms (all needed), terms of other licences (none allowed).
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+_FREE = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
+NOTICES = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0", "apache 2", ""),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004", "apache 2", ""),
+    ("MIT", "Released under the MIT License", "under mit license", ""),
+    ("MIT", "Licensed under the MIT license", "under mit license", ""),
+    ("MIT", _MIT, "permission granted charge software documentation", ""),
+    ("MIT", _MIT + ' (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.', "permission granted sublicense noninfringement", ""),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution source binary modification conditions", ""),
+    ("BSD-2-Clause", _BSD + " " + _AS_IS, "redistribution retain reproduce warranties", "neither endorse"),
+    ("BSD-3-Clause", _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _AS_IS, "redistribution retain reproduce endorse", ""),
+    *((f"{short}-{v}.0", text, f"{keys} {v}", bans) for short, name, keys, bans, versions in (
+        ("GPL", "General Public License", "gnu general public", "lesser affero library", "23"),
+        ("LGPL", "Lesser General Public License", "gnu lesser public", "affero", "3"),
+        ("AGPL", "Affero General Public License", "gnu affero public", "lesser", "3"),
+    ) for v in versions for text in (
+        f"licensed under the GNU {name}, version {v}",
+        f"GNU {name} Version {v}",
+        _FREE.format("This program", name, v),
+    )),
+    ("MPL-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", "mozilla 2", ""),
+    ("CC-BY-4.0", "licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution 4", "sharealike noncommercial noderivatives noderivs"),
+    *((f"CC-{k}-4.0", f"licensed under CC {k} 4.0", f"cc by 4 {extra}".strip(), bans) for k, extra, bans in (("BY", "", "sa nc nd"), ("BY-SA", "sa", "nc nd"), ("BY-NC", "nc", "sa nd"))),
+    ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication", "cc0 universal", ""),
+    ("Unlicense", "This is free and unencumbered software released into the public domain", "unencumbered public domain", ""),
+    ("Proprietary", "All rights reserved", "all rights reserved", ""),
+]
+#: Identifiers of the second look that go by another name here; all others are named as they are written.
+SPDX = {f"{k.lower()}-{v}{end}": f"{k}-{v}" for k in ("GPL", "LGPL", "AGPL") for v in ("2.0", "2.1", "3.0") for end in ("", "+", "-only", "-or-later")} | {n.lower(): n for n in dict.fromkeys(n for n, *_ in NOTICES) if n != "Proprietary"}
+IDENTIFIER = r"(?i)spdx-license-identifier:[ \t]*(\(?[a-z0-9][a-z0-9.+-]*\)?(?:[ \t]+(?:or|and|with)[ \t]+\(?[a-z0-9][a-z0-9.+-]*\)?)*)"
 CUES = r"licen[cs]|copyright|rights reserved|public domain|spdx|permission is hereby|free software|unencumbered|redistribut"
 FILE_NAMES = r"(^|/)(license|licence|copying|notice|unlicense)(\.[a-z]+)?$"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,16 +129,69 @@ def _matches(statements: Column) -> Column:
     return F.transform(F.filter(F.transform(statements, of), lambda s: F.size(s["known"]) > 0), best)
 
 
+def _noticed(terms: Column, least_cosine: float) -> Column:
+    """(general, words, cosine, order, licence) of the notice found among the terms of a text; null if there is none."""
+    split = lambda text: re.findall("[a-z0-9]+", text.lower())
+    counts = [Counter(split(text)) for _, text, *_ in NOTICES]
+    df = Counter(t for c in counts for t in c)
+    idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in sorted(df.items())}
+    other = math.log(1 + len(counts)) + 1
+    array = lambda items: f"array({', '.join(items)})"
+    words = lambda items: f"{array(repr(t) for t in items)}" if items else "cast(array() as array<string>)"
+    notices = []
+    for i, ((name, text, keys, bans), c) in enumerate(zip(NOTICES, counts, strict=True)):
+        own = split(text)
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
+        places = array(f"struct('{t}' AS t, {k} AS o)" for k, t in enumerate(own) if t in keys.split())
+        vector = array(f"struct('{t}' AS t, {n * idf[t] * idf[t]!r}D AS w)" for t, n in c.items())
+        notices.append(f"struct({-i} AS i, '{name}' AS name, {norm!r}D AS norm, {len(own)} AS len, {places} AS places, {words(keys.split())} AS keys, {words(bans.split())} AS bans, {vector} AS v)")
+    keys = sorted({t for _, _, k, _ in NOTICES for t in k.split()})
+    known, weights = F.expr(words(idf)), F.expr(array(f"{w!r}D" for w in idf.values()))
+    squared = lambda t: F.pow(F.coalesce(F.try_element_at(weights, F.nullif(F.array_position(known, t), F.lit(0)).cast("int")), F.lit(other)), 2)
+    # Where key terms stand; a key term that a text repeats without end stands at each of its places, one window each.
+    spots = F.filter(F.transform(terms, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda s: F.array_contains(F.expr(words(keys)), s["t"]))
+
+    def windows(t: Column, at: Column, v: Column) -> Column:
+        laid = F.flatten(F.transform(at, lambda s: F.transform(F.filter(v["places"], lambda p: p["t"] == s["t"]), lambda p: F.greatest(s["i"] - p["o"], F.lit(0)))))
+        cut = F.transform(F.array_distinct(laid), lambda a: F.slice(t, a + 1, v["len"]))
+        return F.filter(cut, lambda w: F.forall(v["keys"], lambda k: F.array_contains(w, k)) & ~F.arrays_overlap(w, v["bans"]))
+
+    def scored(w: Column, v: Column) -> Column:
+        count = lambda t: F.size(F.filter(w, lambda x: x == t)).cast("double")
+        norm = F.sqrt(_total(F.array_distinct(w), lambda t: F.pow(count(t), 2) * squared(t)))
+        cosine = F.round(_total(v["v"], lambda x: count(x["t"]) * x["w"]) / (norm * v["norm"]), 6)
+        return F.struct((v["name"] != "Proprietary").alias("general"), F.size(w).alias("words"), cosine.alias("cosine"), v["i"].alias("order"), v["name"].alias("license"))
+
+    def found(pair: Column) -> Column:
+        each = F.transform(F.expr(array(notices)), lambda v: F.transform(windows(pair["t"], pair["at"], v), lambda w: scored(w, v)))
+        return F.array_max(F.filter(F.flatten(each), lambda x: x["cosine"] >= least_cosine))
+
+    # One-element arrays bind terms and spots once.
+    return F.transform(F.array(F.struct(terms.alias("t"), spots.alias("at"))), found)[0]
+
+
+def _identified(text: Column) -> Column:
+    """The licence that the first SPDX identifier of a text names; null without one."""
+    written_id = F.nullif(F.regexp_extract(text, IDENTIFIER, 1), F.lit(""))
+    names = F.create_map(*(F.lit(x) for pair in sorted(SPDX.items()) for x in pair))
+    return F.coalesce(F.try_element_at(names, F.lower(written_id)), written_id)
+
+
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", least_cosine: float = LEAST_COSINE) -> DataFrame:
     """doc_id, path, own_license, cosine (of the best statement, 0 without one), license_file: a row for each of ``docs``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.translate(F.col(text_col).cast("string"), UPPER, SMALL).alias("low"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"), F.translate(F.col(text_col).cast("string"), UPPER, SMALL).alias("low"))
     # Texts without a cue take the short way: they are not split into lines.
     lines = F.when(F.col("low").rlike(CUES), F.filter(F.split("low", "\n"), lambda x: x.rlike(CUES)))
-    rows = rows.select("doc_id", "path", lines.alias("lines"), F.when(F.col("low").rlike(CUES), F.size(F.filter(F.split("low", "[^a-z0-9]+"), lambda w: w != ""))).alias("n_terms"))
+    rows = rows.select("doc_id", "path", "text", "low", lines.alias("lines"), F.when(F.col("low").rlike(CUES), F.size(F.filter(F.split("low", "[^a-z0-9]+"), lambda w: w != ""))).alias("n_terms"))
     statements = F.when(F.size("lines") > 1, F.concat("lines", F.array(F.concat_ws(" ", "lines")))).otherwise(F.col("lines"))
-    rows = rows.select("doc_id", "path", "n_terms", F.when(F.col("lines").isNotNull(), _matches(statements)).alias("m"))
+    rows = rows.select("doc_id", "path", "text", "low", "n_terms", F.when(F.col("lines").isNotNull(), _matches(statements)).alias("m"))
     top = F.array_max("m")
-    rows = rows.select("doc_id", "path", "n_terms", F.coalesce(top["cosine"], F.lit(0.0)).alias("cosine"), top["license"].alias("name"), top["words"].alias("words"))
+    rows = rows.select("doc_id", "path", "text", "low", "n_terms", F.coalesce(top["cosine"], F.lit(0.0)).alias("cosine"), top["license"].alias("name"), top["words"].alias("words"))
+    # The second look is at texts with a cue only whose statements are like no template.
+    again = F.col("n_terms").isNotNull() & (F.col("cosine") < least_cosine)
+    rows = rows.withColumn("spdx", F.when(again, _identified(F.col("text"))))
+    rows = rows.withColumn("notice", F.when(again & F.col("spdx").isNull(), _noticed(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), 0), least_cosine)))
+    rows = rows.select("doc_id", "path", "n_terms", F.when(F.col("spdx").isNotNull(), 1.0).otherwise(F.coalesce("notice.cosine", "cosine")).alias("cosine"), F.coalesce("spdx", "notice.license", "name").alias("name"), F.coalesce("notice.words", "words").alias("words"))
     own = F.when(F.col("cosine") >= least_cosine, F.col("name"))
     named = F.coalesce(F.lower("path").rlike(FILE_NAMES), F.lit(False))
     return rows.select("doc_id", "path", own.alias("own_license"), "cosine", (own.isNotNull() & (named | (2 * F.col("words") >= F.col("n_terms")))).alias("license_file"))

@@ -1,6 +1,7 @@
 """Licence scans and sharding."""
 
 import hashlib
+import textwrap
 
 from runfield.llm import extendible_sharding as X
 from runfield.llm import license_scan as L
@@ -74,6 +75,34 @@ def test_root_directory_licenses_all(spark):
     assert got == {1: ("CC-BY-NC-4.0", None), 2: ("CC-BY-NC-4.0", ""), 3: ("CC-BY-NC-4.0", "")}
 
 
+def test_notices_inside_lines_wrapped_and_spdx(spark):
+    body = helpers.prose(60, 1)
+    mit = L.NOTICES[5][1]
+    bsd = L.NOTICES[6][1]
+    texts = [
+        ("// SPDX-License-Identifier: MIT\nint x;", "MIT"),
+        ("# SPDX-License-Identifier: Apache-2.0\n" + body, "Apache-2.0"),
+        ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0"),
+        ("SPDX-License-Identifier: (MIT OR Zlib)", "(MIT OR Zlib)"),
+        ("SPDX-License-Identifier: Zlib", "Zlib"),
+        ("Copyright (c) 2024 Example Corporation. All rights reserved.", "Proprietary"),
+        ("© 2024 Foo Inc. All rights reserved.\n" + body, "Proprietary"),
+        ("# Copyright 2020 Jane Doe and others, see AUTHORS\n# This file is part of x and licensed under the MIT license (see LICENSE).\n" + body, "MIT"),
+        (body + " Released under the MIT License. " + body, "MIT"),
+        (mit.replace("\n", " "), "MIT"),
+        ("\n".join("# " + x for x in textwrap.wrap(bsd, 72)) + "\n" + body, "BSD-3-Clause"),
+        ("Copyright 1999 A. All rights reserved. " + bsd, "BSD-3-Clause"),
+        ("\n".join(textwrap.wrap(L.NOTICES[7][1], 60)), "BSD-2-Clause"),
+        ("it is licensed, as far as anyone here knows, under the GNU General\nPublic License, version 2, and " + body, "GPL-2.0"),
+        (body + " The license of this is unknown, apache or mit. " + body, None),
+        ("Our license to operate under the terms of the council", None),
+    ]
+    rows = [(i, t, f"{i}/x.txt") for i, (t, _) in enumerate(texts)]
+    got = {r["doc_id"]: r for r in L.scanned(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    assert [got[i]["own_license"] for i in range(len(texts))] == [name for _, name in texts]
+    assert got[9]["license_file"] and got[12]["license_file"] and not got[8]["license_file"]
+
+
 def test_license_odd_rows(spark):
     for docs in (helpers.odd(spark), helpers.none(spark)):
         assert L.licenses(L.documents_with_paths(docs)).count() == docs.count()
