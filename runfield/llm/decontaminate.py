@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runfield.llm import textops
 from runfield.llm.common import id_and_text, map_batches
@@ -178,37 +179,68 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
     """``docs`` with all its columns, without what the benchmark holds.
 
     mode "document": rows with a hit are left out. mode "span": the bytes from the first to the last word of each hit
-    range are cut out of the text (a null text stays null). Several sets are applied one after another; for spans, only
-    what an earlier set has left is scanned by the next.
+    range are cut out of the text (a null text stays null). Several sets are applied one after another; for spans, each
+    scans the text as it was, ranges travel with the row, and the last pass cuts them all.
     """
     if mode not in ("document", "span"):
         raise ValueError(f"unknown mode {mode}")
     out, column = docs, docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(_free_name(docs), T.ArrayType(T.LongType()))]) if mode == "span" else docs.schema
+    if mode == "span":
+        out = docs.withColumn(schema.names[-1], F.array().cast("array<long>"))
     for part in window_sets(benchmark, n, part_windows):
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def work(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            texts, hits = batch.column(column), {}
+            hits: dict[int, list[tuple[int, int]]] = {}
 
             def use(i, j, occurrences, starts, ends, first, at):
                 for row, w, size, _ in occurrences:
                     hits.setdefault(i + row, []).append((int(starts[w] - at[row]), int(ends[w + size - 1] - at[row])))
 
-            _scan(texts, shared.value, use)
+            _scan(batch.column(column), shared.value, use)
             if mode == "document":
                 return batch.filter(pa.array([i not in hits for i in range(batch.num_rows)], pa.bool_()))
             if not hits:
                 return batch
+            # begin, end, begin, end ...: the ranges of this pass and of those before it
+            ranges = batch.column(batch.num_columns - 1).to_pylist()
+            for row, more in hits.items():
+                ranges[row] = [x for r in _merged([*zip(ranges[row][::2], ranges[row][1::2], strict=True), *more]) for x in r]
+            kept = batch.columns[:-1]
+            return pa.RecordBatch.from_arrays([*kept, pa.array(ranges, batch.schema.types[-1])], schema=batch.schema)
+
+        out = map_batches(out, work, schema)
+    if mode == "document":
+        return out
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, ranges = batch.column(column), batch.column(batch.num_columns - 1).to_pylist()
+        columns = batch.columns[:-1]
+        if any(ranges):
             values = texts.to_pylist()
-            for row, ranges in hits.items():
-                raw, left, end = values[row].encode(), [], 0
-                for a, b in sorted(ranges):
-                    if a > end:
-                        left.append(raw[end:a])
-                    end = max(end, b)
-                values[row] = b"".join([*left, raw[end:]]).decode()
-            columns = [batch.column(i) if i != column else pa.array(values, texts.type) for i in range(batch.num_columns)]
-            return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-        out = map_batches(out, work, docs.schema)
+            for row, r in enumerate(ranges):
+                if r:
+                    raw, bounds = values[row].encode(), [0, *r, None]
+                    values[row] = b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)).decode()
+            columns[column] = pa.array(values, texts.type)
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return map_batches(out, cut, docs.schema)
+
+
+def _free_name(docs: DataFrame) -> str:
+    name = "_ranges"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
     return out

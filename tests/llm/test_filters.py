@@ -57,6 +57,16 @@ def test_spans_and_documents_are_removed(spark):
         D.decontaminate(docs, bench, mode="else")
 
 
+def test_spans_do_not_depend_on_parts(spark):
+    passage = helpers.prose(60, 7)
+    bench = spark.createDataFrame([(1, passage), (2, helpers.prose(30, 8))], "item_id long, text string")
+    rows = [(1, "Été before. " + passage + " after", 5), (2, passage + " ½ mid " + passage, 5), (3, "nothing here", 5), (4, None, None), (1, passage, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _ranges int")
+    one, many = (D.decontaminate(docs, bench, mode="span", part_windows=n) for n in (500_000, 30))
+    assert many.schema == docs.schema and sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    assert sorted(r["text"] or "" for r in many.collect()) == sorted(["Été before. . after", ". ½ mid .", "nothing here", "", "."])
+
+
 def test_empty_benchmark_and_tables(spark):
     bench = helpers.table(spark, "benchmark")
     assert not any(r["contaminated"] for r in D.benchmark_hits(helpers.odd(spark), bench.limit(0)).collect())
