@@ -1,15 +1,17 @@
 """Near-duplicates by ProbMinHash: weighted shingles, banding, and verification.
 
 A shingle is five words in a row (words as in benchmark decontamination, A-Z lower-cased); a text of one to four words is
-one shingle. A shingle found c times in a text has weight 1 + ln c. Each shingle is the source of a Poisson process whose
+one shingle. A shingle found c times in a text has weight 1 + SPREAD (1 - 1 / c), less than 1 + SPREAD. Each shingle is the source of a Poisson process whose
 rate is its weight and whose arrivals, drawn from the shingle's hash, each fall into one of ``REGISTERS`` registers; a
 register keeps the shingle that arrived first. The chance that two texts agree in a register is their probability Jaccard
 similarity. Arrivals are drawn in order of time, and a shingle is left as soon as its next arrival is later than all
 registers' first ones, so most shingles of a long text are drawn but once or so.
 
 Signatures are cut into ``BANDS`` bands of ``ROWS`` registers. Texts that share a band are candidates; candidates are
-verified by the exact Jaccard similarity of their sets of shingles, ``similarity`` or more. A pair of 0.8 in all weights
-shares no band with a chance of 7e-6.
+verified by the exact Jaccard similarity of their sets of shingles, ``similarity`` or more. With weights from 1 to 1 + SPREAD,
+a register's sum over the union of both texts is at most (1 + SPREAD) times its number of shingles, so texts whose sets have
+a similarity of 0.8 agree in a register with a chance of 0.8 / 1.05 or more, however often either repeats what: they share
+no band with a chance of at most 7e-6.
 
 Steps, each written to the shared folder:
 
@@ -46,7 +48,9 @@ from runfield.llm.common import id_and_text, map_batches, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 30
+#: How much more a shingle repeated without end weighs than one found once. BANDS are chosen for it: see above.
+SPREAD = 0.05
+BANDS = 40
 ROWS = 5
 REGISTERS = BANDS * ROWS
 #: Texts of a bucket that meet in one task at a time, on either side.
@@ -64,6 +68,10 @@ def shingles(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(textops.windows(hashes, SHINGLE), return_counts=True)
 
 
+def weights(counts: np.ndarray) -> np.ndarray:
+    return 1 + SPREAD * (1 - 1 / counts)
+
+
 def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m: int = REGISTERS) -> np.ndarray:
     """ProbMinHash signatures (n x m) of n texts with at least one shingle each; row[i] has element[i] with weight[i]."""
     first = np.full(n * m, np.inf)
@@ -131,7 +139,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out = np.zeros((j - i, BANDS), np.uint64)
             if there:
                 sizes = [len(found[k][0]) for k in there]
-                weight = 1 + np.log(np.concatenate([found[k][1] for k in there]))
+                weight = weights(np.concatenate([found[k][1] for k in there]))
                 out[there] = bands(signatures(np.repeat(np.arange(len(there)), sizes), np.concatenate([found[k][0] for k in there]), weight, len(there)))
             none = np.diff(first) == 0
             keys = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS), pa.array(out.reshape(-1).view(np.int64)))

@@ -74,6 +74,15 @@ def test_signatures_estimate_probability_jaccard():
     assert abs((s[0] == s[1]).mean() - 700 / 900) < 0.03
 
 
+def test_copies_that_repeat_a_passage_are_found(spark):
+    rows = []
+    for k in range(100):
+        words = helpers.prose(104, 1000 + k).split()
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:80], f"other{k}", *words[81:], *(100 * words[:54])]))]
+    got = {r["doc_id"]: r["class_id"] for r in M.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and sum(got[2 * k + 1] == 2 * k for k in range(100)) > 90
+
+
 def test_odd_rows(spark):
     got = [(r["doc_id"], r["class_id"]) for r in M.classes(helpers.odd(spark)).collect()]
     assert sorted(got) == [(i, i) for i in range(1, 9)]
