@@ -1,9 +1,10 @@
-"""Token ids of whole texts by the tokenizers library, each distinct chunk encoded once while it is remembered.
+"""Token ids of whole texts by the tokenizers library, each distinct piece merged once while it is remembered.
 
 Texts are cut into chunks where the vocabulary's own rules cut every text; ids of a text are those of its chunks in turn.
-A new chunk is normalised by the library, split by the vocabulary's pattern, and merged by the library's model. A text
-that holds one of the vocabulary's special strings goes to the library whole, as does any text of a vocabulary whose rules
-are not among those known here.
+A new chunk is normalised and split into pieces by the vocabulary's pattern, and each new piece is merged by the library's
+model. Chunks of Latin letters with ASCII punctuation after them, nearly all in most texts, are split without the pattern.
+A text that holds one of the vocabulary's special strings goes to the library whole, as does any text of a vocabulary whose
+rules are not among those known here.
 """
 
 from __future__ import annotations
@@ -20,8 +21,13 @@ from runfield.llm.chunks import Recent, byte_level_chunks
 from runfield.llm.common import tokenizer_path
 from runfield.llm.token_counts import PATTERN, byte_alphabet
 
-#: Chunks that a worker remembers, twice over.
-CACHED = 300_000
+#: Chunks, and pieces of them, that a worker remembers, twice over. About 200 bytes each.
+CACHED = 150_000
+#: ASCII punctuation but for the apostrophe, which may begin an ending of its own.
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+#: Letters below are Latin and older than any vocabulary; all of them are composed, and no mark among them joins another.
+_LATIN = "\u0250"
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 def word_chunks(text: str) -> list[str]:
@@ -39,7 +45,8 @@ def _cutter(spec: dict):
     if pre.get("type") == "Sequence" and normal and normal["type"] == "Sequence":
         split, level = pre["pretokenizers"][0], pre["pretokenizers"][-1]
         drops = split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"] and "[^\\s" in split["pattern"].get("Regex", "")
-        by_char = {n["type"] for n in normal["normalizers"]} <= {"NFC", "Replace", "Lowercase"}
+        kinds = [(n["type"], n.get("pattern")) for n in normal["normalizers"]]
+        by_char = kinds == [("NFC", None), ("Replace", {"Regex": "\\s+"}), ("Lowercase", None)]
         if drops and by_char and len(pre["pretokenizers"]) == 2 and level["type"] == "ByteLevel" and not level["use_regex"] and not level["add_prefix_space"]:
             return word_chunks, split["pattern"]["Regex"]
     return None
@@ -53,19 +60,29 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.library = Tokenizer.from_file(path)
-        self.model, self.normalizer = self.library.model, self.library.normalizer
+        self.merge, self.normalizer = self.library.model.tokenize, self.library.normalizer
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut, pattern = _cutter(spec) or (None, "")
         self.split = regex.compile(pattern).findall
         self.alphabet = dict(enumerate(byte_alphabet()))
-        self.known = Recent(remembered, self._chunk)
+        self.known, self.pieces = Recent(remembered, self._chunk), Recent(remembered, self._piece)
 
     def _chunk(self, chunk: str) -> bytes:
+        plain = chunk.lower() if self.normalizer else chunk
+        letters = plain.rstrip(_MARKS)
+        bare = letters[1:] if letters[:1] == " " else letters
+        if (bare.isalpha() and (bare.isascii() or max(bare) < _LATIN)) or (plain and not bare):
+            at = len(letters)
+            if bare and at < len(plain):
+                return self.pieces[letters] + self.pieces[plain[at:]]
+            return self.pieces[plain]
         if self.normalizer:
             chunk = self.normalizer.normalize_str(chunk)
-        merge, alphabet = self.model.tokenize, self.alphabet
-        ids = [t.id for piece in self.split(chunk) for t in merge(piece.encode().decode("latin-1").translate(alphabet))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self.pieces[x] for x in self.split(chunk)])
+
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.alphabet))]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

@@ -3,15 +3,18 @@
 A document's ids and an end id are one piece, or pieces of ``capacity`` and a rest where they are longer. Pieces are
 packed in groups of about ``group_pieces``. Within a group, a node of the search takes the largest piece left and
 enumerates fillings around it: those that no other piece left could improve (undominated), least waste first, then fewest
-pieces. The first descent follows the best filling at every node; best-fit decreasing gives the first incumbent. A branch
-is cut off as soon as its waste is more than an answer with one sequence fewer than the incumbent may have, and the search
-ends when the incumbent meets the lower bound (that of Martello and Toth), or after ``nodes`` nodes. A quick search looks
-at a few fillings of a node only; where it ends with nodes left, a second one enumerates all undominated fillings of any
-number of pieces, so that an answer found before the nodes are used up is the least possible.
+pieces. Best-fit decreasing gives the first incumbent; if it meets the lower bound (that of Martello and Toth), it is the
+answer. Otherwise descents without going back follow one filling at each node: first the one of fewest and largest pieces,
+then, ``DRAWS`` times, fillings drawn so that what is left keeps its mix of lengths. Then branch and bound: a branch is cut
+off as soon as its waste is more than an answer with one sequence fewer than the incumbent may have. A quick search looks at
+a few fillings of a node only and gives up after ``STALLED`` nodes without a better answer; a second one enumerates all
+undominated fillings of any number of pieces, so that an answer found before the nodes are used up is the least possible.
+The search ends when the incumbent meets the bound or after ``nodes`` nodes; ``over_bound`` says by how many sequences the
+answer for a row's group is above its bound (0: none can have fewer).
 
 Scale: texts are encoded in one narrow map; only (doc_id, piece, start, length, crc) is shuffled, by a hash of the row's
-place in the written table of pieces, so groups are even whatever is repeated. A group wastes less than one sequence more
-than its bound if the search ends at it; with thousands of pieces in a group that is below 0.02 %.
+place in the written table of pieces, so groups are even whatever is repeated. A group at its bound wastes less than one
+sequence; with thousands of pieces in a group that is below 0.02 %.
 
 Defined cases: a null or empty text is the end id alone; repeated rows and ids are packed each for itself; an empty table
 gives no rows; other columns are not read.
@@ -26,7 +29,6 @@ from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ GROUP_PIECES = 16_384
 NODES = 20_000
 #: Fillings that a node of the quick search branches on at most, best first.
 BRANCHES = 6
+#: Descents by drawn fillings, and nodes of the quick search after which it gives up unless it found a better answer.
+DRAWS, STALLED = 3, 5_000
 #: Steps of an enumeration that count as one node, and nodes of a path that keep theirs; others start again if gone back to.
 STEPS, KEPT = 64, 64
 
@@ -224,10 +228,64 @@ def _improvable(taken: tuple[tuple[int, int], ...], waste: int, lengths: list[in
     return any(left[x] > used.get(x, 0) for s in sums for x in lengths[bisect_right(lengths, s) : bisect_right(lengths, s + waste)])
 
 
+def filled(left: np.ndarray, room: int, rng: np.random.Generator | None) -> list[int]:
+    """One filling of ``room`` from the lengths left, which are taken off ``left``.
+
+    A single piece or pair that leaves least room ends it. Before that, without ``rng``, the largest piece that fits is taken
+    while no pair leaves no room at all; with ``rng``, pieces are drawn from all that are left until about two more fit.
+    """
+    taken: list[int] = []
+    if rng is not None:
+        there = np.flatnonzero(left)
+        average = float((there * left[there]).sum() / max(1, left[there].sum()))
+    while room:
+        fit = np.flatnonzero(left[: room + 1])
+        if not len(fit):
+            break
+        few = room < 3 * fit[0]
+        if rng is None or few or room <= 2.5 * average:
+            at = np.searchsorted(fit, np.minimum(room - fit, fit), "right") - 1  # the second is the smaller one
+            at -= (at >= 0) & (fit[at] == fit) & (left[fit] < 2)
+            second = np.where(at >= 0, fit[at], 0)
+            waste = room - fit - second
+            if few or rng is not None or not waste.min():
+                best = np.flatnonzero(waste == waste.min())
+                k = best[-1] if rng is None else best[rng.integers(len(best))]
+                one = [int(x) for x in (fit[k], second[k]) if x]
+            else:
+                one = [int(fit[-1])]
+        else:
+            upto = np.cumsum(left[fit])
+            one = [int(fit[np.searchsorted(upto, rng.integers(upto[-1]), "right")])]
+        for x in one:
+            left[x] -= 1
+            room -= x
+        taken += one
+    return taken
+
+
+def descent(count: np.ndarray, capacity: int, rng: np.random.Generator | None = None) -> list[list[int]]:
+    """Bins by one filling around the largest piece left, again and again."""
+    left, bins, largest = count.copy(), [], len(count) - 1
+    while largest:
+        if left[largest]:
+            left[largest] -= 1
+            bins.append([largest, *filled(left, capacity - largest, rng)])
+        else:
+            largest -= 1
+    return bins
+
+
 def pack(lengths: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
     """Bins of lengths, as few as the search finds."""
-    best, seen = _quick(lengths, capacity, nodes)
-    if seen < nodes and len(best) > lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity):
+    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    bound, best, rng = lower_bound(count, capacity), best_fit_decreasing(count, capacity), np.random.default_rng(0)
+    for how in (None, *[rng] * DRAWS):
+        if len(best) > bound:
+            best = min(best, descent(count, capacity, how), key=len)
+    if len(best) > bound:
+        best, seen = _quick(lengths, capacity, nodes, best)
+    if len(best) > bound and seen < nodes:
         best = _thorough(lengths, capacity, nodes - seen, best)
     return best
 
@@ -289,14 +347,11 @@ class _UsedUp(Exception):
     """No nodes are left."""
 
 
-def _quick(lengths: np.ndarray, capacity: int, nodes: int) -> tuple[list[list[int]], int]:
-    """Bins of lengths by the first fillings of every node, and the nodes looked at."""
+def _quick(lengths: np.ndarray, capacity: int, nodes: int, best: list[list[int]]) -> tuple[list[list[int]], int]:
+    """``best``, or fewer bins by the first fillings of every node, and the nodes looked at."""
     count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
-    bound, best = lower_bound(count, capacity), best_fit_decreasing(count, capacity)
-    total = int(lengths.sum())
-    if len(best) <= bound:
-        return best, 0
-    left, seen = _Left(count), 0
+    bound, total = lower_bound(count, capacity), int(lengths.sum())
+    left, seen, found_at = _Left(count), 0, 0
     # path: (bin, the other fillings to try here); a filling is put in place before the next node is looked at
     path: list[tuple[list[int], list[list[int]]]] = []
     waste = 0
@@ -307,12 +362,12 @@ def _quick(lengths: np.ndarray, capacity: int, nodes: int) -> tuple[list[list[in
             left.count[x] -= sign
         waste += sign * (capacity - sum(one))
 
-    while seen < nodes:
+    while seen < min(nodes, found_at + STALLED + len(best)):
         seen += 1
         allowed = (len(best) - 1) * capacity - total
         largest = left.largest()
         if not largest and len(path) < len(best):
-            best = [one for one, _ in path]
+            best, found_at = [one for one, _ in path], seen
             if len(best) <= bound:
                 break
             allowed -= capacity
@@ -338,30 +393,32 @@ def _quick(lengths: np.ndarray, capacity: int, nodes: int) -> tuple[list[list[in
     return best, seen
 
 
-def placed(rows: pd.DataFrame, group: int, capacity: int, nodes: int) -> pd.DataFrame:
-    """sequence_id and offset for the pieces of one group."""
-    lengths = rows["length"].to_numpy()
+def placed(lengths: np.ndarray, capacity: int, nodes: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """For the pieces of one group: the number of each one's sequence, its offset there, and the sequences above the bound."""
     waiting = defaultdict(list)
     for i in np.argsort(-lengths, kind="stable").tolist():
         waiting[int(lengths[i])].append(i)
-    sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-    for k, one in enumerate(pack(lengths, capacity, nodes)):
+    sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    bins = pack(lengths, capacity, nodes)
+    for k, one in enumerate(bins):
         at = 0
         for length in one:
             i = waiting[length].pop()
             sequence[i], offset[i] = k, at
             at += length
-    return rows.assign(sequence_id=sequence + (group << 32), offset=offset)
+    return sequence, offset, len(bins) - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, nodes: int = NODES, **options) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: where every piece of every document is."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, over_bound: where every piece of every document is."""
     found = written(pieces(docs, capacity=capacity, **options), "pieces")
     groups = max(1, round(found.count() / group_pieces))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, over_bound long"
 
-    def work(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return placed(rows.drop(columns="g"), int(key[0]), capacity, nodes)
+    def work(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        sequence, offset, over = placed(rows["length"].to_numpy(), capacity, nodes)
+        rows = rows.drop_columns("g").append_column("sequence_id", pa.array(sequence + (key[0].as_py() << 32))).append_column("offset", pa.array(offset))
+        return rows.append_column("over_bound", pa.array(np.full(len(offset), over, np.int64)))
 
     dealt = found.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
-    return dealt.groupBy("g").applyInPandas(work, schema)
+    return dealt.groupBy("g").applyInArrow(work, schema)

@@ -1,6 +1,6 @@
 """Words of many texts at once, with numpy on the bytes that Arrow holds.
 
-A batch is worked on in blocks of whole texts of about a megabyte, so that memory stays the same whatever the batch
+A batch is worked on in blocks of whole texts of about a quarter of a megabyte, so that memory stays the same whatever the batch
 holds. A longer text is a block of its own, hashed in sections.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _MASK = (1 << 64) - 1
 _R = 0x9E3779B97F4A7C15
 _R_INVERSE = pow(_R, -1, 1 << 64)

@@ -33,7 +33,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 SHARD_TOKENS = 2_000_000
 #: Chunks that a worker remembers, twice over.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 def _store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:

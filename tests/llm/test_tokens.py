@@ -13,7 +13,7 @@ from runfield.llm.encoding import Encoder
 from tests.llm import helpers
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
-PIECES = [" ", " ", "\n", "\t", "a", "b", "é", "1", "²", "'s", "'", "!", "<|endoftext|>", "\x00", " ", "　", "\x1c", "x", "the", "日", "̈", "Σ", "A", "İ", "\x85"]
+PIECES = [" ", " ", "\n", "\t", "a", "b", "é", "1", "²", "'s", "'", "!", "<|endoftext|>", "\x00", " ", "　", "\x1c", "x", "the", "日", "̈", "Σ", "A", "İ", "\x85", ".", ",;", "%%%", "Ç", "ñ", "\u212a", "\u212b", "ß", "ẞ", "ǅ", "\u0250", "ﬁ"]
 
 
 def odd_texts(n):
@@ -30,6 +30,16 @@ def test_encoder_gives_the_library_s_ids(name):
         assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name", [BYTE, WORD])
+def test_chunks_split_without_the_pattern_are_as_the_library_has_them(name):
+    path, draw = public_tokenizers.path(name), random.Random(2)
+    own, library = Encoder(path, 50), Tokenizer.from_file(path)
+    letters, marks = "abcXYZéÇñßÀÿŁİſǅǆ", ".,;:!?%*&-_()[]\"'0¼"
+    for _ in range(2000):
+        text = " ".join("".join(draw.choices(letters, k=draw.randint(0, 5))) + "".join(draw.choices(marks, k=draw.choice([0, 0, 1, 2]))) for _ in range(6))
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_pair_merging_counts_as_the_library_does():
     own, library = token_counts.PairMerger(public_tokenizers.path(BYTE)), Tokenizer.from_file(public_tokenizers.path(BYTE))
     for text in odd_texts(3000):
@@ -131,6 +141,16 @@ def test_bin_completion_improves_on_best_fit():
     assert packing.lower_bound(count, 2048) <= len(packing.pack(lengths, nodes=3000)) < len(packing.best_fit_decreasing(count, 2048))
 
 
+def test_bin_completion_comes_near_the_bound():
+    # bound and best fit: 727 and 764; 974 and 1022
+    rng = np.random.default_rng(3)
+    for low, high, n, most in ((400, 1101, 2000, 761), (300, 701, 4000, 976)):
+        lengths = rng.integers(low, high, n)
+        bins = packing.pack(lengths)
+        assert sorted(x for b in bins for x in b) == sorted(lengths.tolist()) and max(map(sum, bins)) <= 2048
+        assert len(bins) <= most < len(packing.best_fit_decreasing(np.bincount(lengths, minlength=2049), 2048))
+
+
 def test_fillings_of_many_pieces_are_tried():
     bins = packing.pack(np.array([1048, 1038, 340, 340, 330, 250, 250, 250, 250]))
     assert sorted(sorted(b) for b in bins) == [[250, 250, 250, 250, 1048], [330, 340, 340, 1038]]
@@ -157,4 +177,5 @@ def test_packing_of_odd_rows(spark):
     for _, one in rows.groupby("sequence_id"):
         one = one.sort_values("offset")
         assert one.offset.tolist() == [0, *np.cumsum(one.length)[:-1]] and one.length.sum() <= 2048
+    assert set(rows.over_bound) <= {0, 1}
     assert packing.pack_documents(helpers.none(spark)).count() == 0
