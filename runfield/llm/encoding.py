@@ -1,6 +1,7 @@
 """Token ids of whole texts by the tokenizers library, each distinct piece merged once while it is remembered.
 
 Texts are cut into chunks where the vocabulary's own rules cut every text; ids of a text are those of its chunks in turn.
+A block of texts is cut by Arrow, and only its distinct chunks are looked up.
 A new chunk is normalised and split into pieces by the vocabulary's pattern, and each new piece is merged by the library's
 model. Chunks of Latin letters with ASCII punctuation after them, nearly all in most texts, are split without the pattern.
 A text that holds one of the vocabulary's special strings goes to the library whole, as does any text of a vocabulary whose
@@ -12,48 +13,47 @@ from __future__ import annotations
 import json
 import os
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 
-from runfield.llm.chunks import Recent, byte_level_chunks
+from runfield.llm.chunks import BYTE_LEVEL, WORDS, Cutter, Recent, Remembered, distinct_chunks, gathered, plain_pieces
 from runfield.llm.common import tokenizer_path
 from runfield.llm.token_counts import PATTERN, byte_alphabet
 
-#: Chunks, and pieces of them, that a worker remembers, twice over. About 200 bytes each.
-CACHED = 150_000
-#: ASCII punctuation but for the apostrophe, which may begin an ending of its own.
-_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
-#: Letters below are Latin and older than any vocabulary; all of them are composed, and no mark among them joins another.
-_LATIN = "\u0250"
+#: Pieces that a worker remembers, twice over; about 200 bytes each.
+CACHED = 100_000
+#: Ids that are put together at a time.
+SOME = 1 << 19
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
-def word_chunks(text: str) -> list[str]:
-    """For vocabularies that drop white space after splitting at it."""
-    return text.replace("\n", " ").split(" ")
-
-
 def _cutter(spec: dict):
     """How this vocabulary's texts may be cut into chunks, and the pattern that splits those; None if the library must have texts whole."""
     pre, normal, model = spec["pre_tokenizer"] or {}, spec["normalizer"], spec["model"]
     if model["type"] != "BPE" or model.get("dropout"):
         return None
     if pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not normal:
-        return byte_level_chunks, PATTERN
+        return BYTE_LEVEL, PATTERN
     if pre.get("type") == "Sequence" and normal and normal["type"] == "Sequence":
         split, level = pre["pretokenizers"][0], pre["pretokenizers"][-1]
         drops = split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"] and "[^\\s" in split["pattern"].get("Regex", "")
         kinds = [(n["type"], n.get("pattern")) for n in normal["normalizers"]]
         by_char = kinds == [("NFC", None), ("Replace", {"Regex": "\\s+"}), ("Lowercase", None)]
         if drops and by_char and len(pre["pretokenizers"]) == 2 and level["type"] == "ByteLevel" and not level["use_regex"] and not level["add_prefix_space"]:
-            return word_chunks, split["pattern"]["Regex"]
+            return WORDS, split["pattern"]["Regex"]
     return None
 
 
+#: For vocabularies that must have texts whole.
+WHOLE = Cutter(lambda texts: pa.ListArray.from_arrays(pa.array(range(len(texts) + 1), pa.int32()), texts))
+
+
 class Encoder:
-    def __init__(self, path: str, remembered: int = CACHED):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,37 +62,44 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.merge, self.normalizer = self.library.model.tokenize, self.library.normalizer
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.has_special = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)").search
         self.cut, pattern = _cutter(spec) or (None, "")
         self.split = regex.compile(pattern).findall
         self.alphabet = dict(enumerate(byte_alphabet()))
-        self.known, self.pieces = Recent(remembered, self._chunk), Recent(remembered, self._piece)
+        self.known, self.pieces = Remembered(self._chunk), Recent(CACHED, self._piece)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        plain = chunk.lower() if self.normalizer else chunk
-        letters = plain.rstrip(_MARKS)
-        bare = letters[1:] if letters[:1] == " " else letters
-        if (bare.isalpha() and (bare.isascii() or max(bare) < _LATIN)) or (plain and not bare):
-            at = len(letters)
-            if bare and at < len(plain):
-                return self.pieces[letters] + self.pieces[plain[at:]]
-            return self.pieces[plain]
-        if self.normalizer:
-            chunk = self.normalizer.normalize_str(chunk)
-        return b"".join([self.pieces[x] for x in self.split(chunk)])
+        if self.cut is None or self.has_special(chunk):
+            return self._whole(chunk)
+        plain = plain_pieces(chunk.lower() if self.normalizer else chunk)
+        if not plain:
+            plain = self.split(self.normalizer.normalize_str(chunk) if self.normalizer else chunk)
+        return b"".join([self.pieces[x] for x in plain])
 
     def _piece(self, piece: str) -> bytes:
         ids = [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.alphabet))]
         return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
-    def ids(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.cut is None or any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, self.cut(text)))
-
-
-@lru_cache(maxsize=2)
-def encoder(vocabulary: str, remembered: int = CACHED) -> Encoder:
-    return Encoder(tokenizer_path(vocabulary), remembered)
+    def encoded(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For blocks of rows: first row, row after the last, the ids of all with ``end_id`` after each, first id of each row with the end."""
+        for i, j, chunks, number, first in distinct_chunks(texts, self.cut or WHOLE, self.special):
+            values, start, size = self.known.of(chunks)
+            # the end id is one more chunk after those of each row
+            values, start, size = np.append(values, np.uint32(end_id)), np.append(start, len(values)), np.append(size, np.int32(1))
+            number = np.insert(number, first[1:], len(chunks))
+            first = first + np.arange(len(first))
+            upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(size[number], dtype=np.int64)))[first]
+            a = 0
+            while a < j - i:
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + SOME, "right")) - 1)
+                some = number[first[a] : first[b]]
+                yield i + a, i + b, gathered(values, start[some], size[some]), upto[a : b + 1] - upto[a]
+                a = b
+
+
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> Encoder:
+    return Encoder(tokenizer_path(vocabulary))

@@ -52,17 +52,18 @@ STEPS, KEPT = 64, 64
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of every document."""
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, end = encoder(vocabulary).ids, np.array([end_id], "<u4").tobytes()
-        rows: tuple[list, ...] = ([], [], [], [], [])
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data = ids(text.as_py()) + end
-            for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                part = data[at : at + 4 * capacity]
-                for column, value in zip(rows, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                    column.append(value)
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i, j, ids, upto in encoder(vocabulary).encoded(batch.column(1), end_id):
+            size, many = np.diff(upto), -(-np.diff(upto) // capacity)
+            row = np.repeat(np.arange(j - i), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            start = piece * capacity
+            length = np.minimum(size[row] - start, capacity)
+            crcs = [zlib.crc32(ids[a : a + n]) for a, n in zip((upto[row] + start).tolist(), length.tolist(), strict=True)]
+            columns = [batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return map_batches(id_and_text(docs, id_col, text_col), work, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -5,32 +5,33 @@ the vocabulary can merge lies in a heap by rank. The lowest pair is popped, its
 pairs are pushed, until the heap is empty. The count is the number of bytes less the merges; no identifier is emitted.
 That takes n log n steps for a pre-token of n bytes, however long.
 
-Scale: one narrow map over (doc_id, text), no shuffle. Each Python worker keeps the counts of recent chunks in a cache of
-bounded size, which changes no result.
+Scale: one narrow map over (doc_id, text), no shuffle. Distinct chunks of a block of texts are merged once, and each Python
+worker keeps the counts of recent chunks in a cache of bounded size, which changes no result.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; a null or repeated doc_id gives its row as any other does;
-an empty table gives no rows; other columns of the input are not read.
+of pairs of equal rank the leftmost merges first; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from runfield.llm.chunks import Recent, byte_level_chunks
+from runfield.llm.chunks import BYTE_LEVEL, Recent, Remembered, distinct_chunks, plain_pieces
 from runfield.llm.common import id_and_text, map_batches, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The pattern by which byte-level vocabularies of this family split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Chunks that a worker remembers, twice over.
-CACHED = 400_000
+#: Pieces whose counts a worker remembers, twice over.
+CACHED = 100_000
 
 
 def byte_alphabet() -> list[str]:
@@ -61,7 +62,7 @@ class PairMerger:
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.pattern = regex.compile(PATTERN)
-        self.known = Recent(CACHED, self.of_chunk)
+        self.known, self.pieces = Remembered(lambda chunk: self.of_chunk(chunk).to_bytes(4, "little")), Recent(CACHED, lambda piece: self.merged(piece.encode()))
 
     def merged(self, piece: bytes) -> int:
         """Tokens of one pre-token."""
@@ -100,22 +101,23 @@ class PairMerger:
         return count
 
     def of_chunk(self, chunk: str) -> int:
-        return sum(self.merged(x.encode()) for x in self.pattern.findall(chunk))
-
-    def plain(self, text: str) -> int:
-        return sum(map(self.known.__getitem__, byte_level_chunks(text)))
-
-    def count(self, text: str | None) -> int:
-        """Tokens of a text. The vocabulary's special strings count as one token each, as the library has it by default."""
-        if not text:
-            return 0
-        if any(s in text for s in self.special):
-            between = self.split_special.split(text)
-            return len(between) - 1 + sum(self.plain(x) for x in between if x)
-        return self.plain(text)
-
-
-@lru_cache(maxsize=2)
+        """Tokens of a chunk. The vocabulary's special strings count as one token each, as the library has it by default."""
+        if self.split_special and self.split_special.search(chunk):
+            between = self.split_special.split(chunk)
+            return len(between) - 1 + sum(map(self.of_chunk, between))
+        return sum([self.pieces[x] for x in plain_pieces(chunk) or self.pattern.findall(chunk)])
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text."""
+        out = np.zeros(len(texts), np.int64)
+        for i, j, chunks, number, first in distinct_chunks(texts, BYTE_LEVEL, self.special):
+            values, start, _ = self.known.of(chunks)
+            upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(values[start][number], dtype=np.int64)))
+            out[i:j] = upto[first[1:]] - upto[first[:-1]]
+        return out
+
+
+@lru_cache(maxsize=1)
 def merger(path: str) -> PairMerger:
     return PairMerger(path)
 
@@ -123,15 +125,9 @@ def merger(path: str) -> PairMerger:
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), one row for each row of ``docs``."""
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        count = merger(tokenizer_path(vocabulary)).count
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            texts = part.column(1).to_pylist()
-            tokens = [count(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = pc.fill_null(batch.column(1), "")
+        tokens = merger(tokenizer_path(vocabulary)).counts(texts)
+        return pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(tokens), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return map_batches(id_and_text(docs, id_col, text_col), work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

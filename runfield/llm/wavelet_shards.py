@@ -32,8 +32,6 @@ from runfield.llm.wavelet import Shard, to_bytes
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 SHARD_TOKENS = 2_000_000
-#: Chunks that a worker remembers, twice over.
-REMEMBERED = 250_000
 
 
 def _store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -54,21 +52,21 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
             fs.create_dir(root, recursive=True)
             name = f"part-{part:06d}-{files:06d}-{uuid.uuid4().hex}.wvm"
             with fs.open_output_stream(f"{root}/{name}") as out:
-                out.write(to_bytes(np.frombuffer(b"".join(held), "<u4"), doc_ids, np.array(ends)))
+                out.write(to_bytes(np.concatenate(held), doc_ids, np.array(ends)))
             row = [[part], [files], [f"{folder}/{name}"], [len(doc_ids)], [total]]
             files, held, doc_ids, ends, total = files + 1, [], [], [0], 0
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "file", "path", "n_docs", "n_tokens"])
 
-        end, ids = np.array([end_id], "<u4").tobytes(), encoder(vocabulary, REMEMBERED).ids
+        encoded = encoder(vocabulary).encoded
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                found = ids(text.as_py()) + end
-                if total and total + len(found) // 4 > shard_tokens:
-                    yield closed()
-                held.append(found)
-                doc_ids.append(doc_id.as_py())
-                total += len(found) // 4
-                ends.append(total)
+            for i, j, ids, upto in encoded(batch.column(1), end_id):
+                for doc_id, a, b in zip(batch.column(0).slice(i, j - i).to_pylist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+                    if total and total + b - a > shard_tokens:
+                        yield closed()
+                    held.append(ids[a:b])
+                    doc_ids.append(doc_id)
+                    total += b - a
+                    ends.append(total)
         if doc_ids:
             yield closed()
 
