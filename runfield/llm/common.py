@@ -1,10 +1,8 @@
-"""What the operators share on the Spark side: input columns, the shared folder, written intermediate tables."""
+"""What the operators share on the Spark side: input columns and batches for Python."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,30 +24,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors see: spark.checkpoint.dir, or a new local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir=tempfile.gettempdir())
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` from a Parquet table in the shared folder: computed once, whatever executors are lost later."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(df: DataFrame) -> DataFrame:
     """``df``, after its session is told to send Python at most BATCH_BYTES at a time, unless it has a setting of its own.
 
-    With Spark's default, thousands of long texts are one batch in the memory of both sides.
+    With Spark's default, thousands of long texts are one batch in the memory of both sides. A plan takes the setting from
+    its session when it runs, so there is no narrower place for it.
     """
     conf = df.sparkSession.conf
     if conf.get(_BATCH) == _DEFAULT:

@@ -5,9 +5,11 @@ windows of ``n`` words, an item of fewer words one window of all of them. The ha
 up in the set; each hit is verified word by word against the item's window. What is inside a verified occurrence is hit;
 ``mode`` removes such spans or whole documents.
 
-Scale: one narrow map over the corpus; no shuffle of it. The set is broadcast in parts of at most ``part_windows`` windows:
-a benchmark of more windows takes more passes over the corpus, joined by doc_id and position, with the same result. The
-windows are counted before anything is broadcast.
+Scale: one narrow map over the corpus; no shuffle of it. The set is broadcast in parts of about ``part_windows`` windows and
+``PART_BYTES`` at most: a larger benchmark takes more passes over the corpus, joined by doc_id and position, with the same
+result. Windows and their bytes are summed up before anything is broadcast; the driver holds one part at a time, whose pass
+is written before the next is made. The items of a window that very many hold are dealt to ``DEALS`` entries of it, which
+may lie in different parts. Of a long text, words are hashed in sections, with some 60 bytes for each word held at once.
 
 Defined cases: null, empty and wordless texts have no words and no hits; items whose text has no word or whose item_id is
 null have no window; equal windows of several items count for each; repeated rows are each treated alike; an empty
@@ -27,10 +29,15 @@ from pyspark.sql import types as T
 
 from runfield.llm import textops
 from runfield.llm.common import id_and_text, map_batches
+from runfield.sources.shared import written
 
 N = 10
 #: Windows that one broadcast holds at most; about 300 bytes each in a Python worker.
 PART_WINDOWS = 500_000
+#: Bytes that one broadcast holds at most, as estimated from the words and items of its windows.
+PART_BYTES = 160 << 20
+#: Entries that the items of one window are dealt to by their hash.
+DEALS = 64
 
 
 class WindowSet:
@@ -69,20 +76,26 @@ def _words(text: str) -> F.Column:
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = N, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """size, words, items: each distinct window with the ids (as strings) of the items that hold it."""
+    """size, words, deal, items: each distinct window with the ids (as strings) of the items that hold it, dealt by their hash."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), _words(text_col).alias("all")).where("item is not null and size(all) > 0")
     many = F.transform(F.sequence(F.lit(1), F.size("all") - n + 1), lambda i: F.slice("all", i, n))
     each = items.select("item", F.explode(F.when(F.size("all") < n, F.array("all")).otherwise(many)).alias("words"))
-    return each.groupBy("words").agg(F.collect_set("item").alias("items")).select(F.size("words").alias("size"), "words", "items")
+    return each.groupBy("words", F.pmod(F.xxhash64("item"), F.lit(DEALS)).alias("deal")).agg(F.collect_set("item").alias("items")).select(F.size("words").alias("size"), "words", "deal", "items")
 
 
-def window_sets(benchmark: DataFrame, n: int = N, part_windows: int = PART_WINDOWS, id_col: str = "item_id", text_col: str = "text") -> Iterator[WindowSet]:
-    """The benchmark's windows in sets of at most ``part_windows`` or so each, one set after another."""
-    found = benchmark_windows(benchmark, n, id_col, text_col)
-    parts = max(1, -(-found.count() // part_windows))
-    for k in range(parts):
-        part = found if parts == 1 else found.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == k)
-        yield WindowSet([(r["size"], r["words"], r["items"]) for r in part.toLocalIterator()])
+def window_sets(benchmark: DataFrame, n: int = N, part_windows: int = PART_WINDOWS, part_bytes: int = PART_BYTES, id_col: str = "item_id", text_col: str = "text") -> tuple[int, Iterator[WindowSet]]:
+    """How many sets, and the benchmark's windows in that many sets, made one after another as they are asked for."""
+    found = written(benchmark_windows(benchmark, n, id_col, text_col), "benchmark-windows")
+    bytes_of = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x) + 60)
+    rows, size = found.agg(F.count("*"), F.coalesce(F.sum(bytes_of("words") + bytes_of("items") + 200), F.lit(0))).first()
+    parts = max(1, -(-rows // part_windows), -(-size // part_bytes))
+
+    def made() -> Iterator[WindowSet]:
+        for k in range(parts):
+            part = found if parts == 1 else found.where(F.pmod(F.xxhash64("words", "deal"), F.lit(parts)) == k)
+            yield WindowSet([(r["size"], r["words"], r["items"]) for r in part.toLocalIterator()])
+
+    return parts, made()
 
 
 def _scan(texts: pa.Array, found: WindowSet, use: Callable[[int, int, list[tuple[int, int, int, list[str]]], np.ndarray, np.ndarray, np.ndarray, np.ndarray], None]) -> None:
@@ -109,11 +122,11 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, part_windo
     If the benchmark has more than ``part_windows`` windows, the rows of one doc_id are taken as one document's parts
     only where their texts are equal too.
     """
-    sets, spark = list(window_sets(benchmark, n, part_windows)), docs.sparkSession
+    parts, sets = window_sets(benchmark, n, part_windows)
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
-    if len(sets) > 1:
-        return _hits_by_parts(docs, sets, schema, id_col, text_col)
-    shared = spark.sparkContext.broadcast(sets[0])
+    if parts > 1:
+        return _hits_by_parts(docs, sets, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(next(sets))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_words, n_hit, n_items, digests, names = [], [], [], [], []
@@ -142,11 +155,11 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, part_windo
     return map_batches(id_and_text(docs, id_col, text_col), work, schema)
 
 
-def _hits_by_parts(docs: DataFrame, sets: list[WindowSet], schema: str, id_col: str, text_col: str) -> DataFrame:
-    """One pass for each set; the word ranges and items of a document meet in one small row."""
-    spark, passes = docs.sparkSession, []
+def _hits_by_parts(docs: DataFrame, sets: Iterator[WindowSet], id_col: str, text_col: str) -> DataFrame:
+    """One pass for each set, written before the next is made; the word ranges and items of a document meet in one small row."""
+    passes = []
     for k, part in enumerate(sets):
-        shared = spark.sparkContext.broadcast(part)
+        shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def work(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             n_words, ranges, names = [], [[] for _ in range(batch.num_rows)], [set() for _ in range(batch.num_rows)]
@@ -163,7 +176,10 @@ def _hits_by_parts(docs: DataFrame, sets: list[WindowSet], schema: str, id_col:
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(ranges, kinds), pa.array([sorted(x) for x in names], pa.list_(pa.string()))], names=["doc_id", "text_hash", "n_words", "ranges", "items"])
 
         rows = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-        passes.append(map_batches(rows, work, "doc_id long, text_hash long, n_words long, ranges array<struct<a:long,b:long>>, items array<string>").withColumn("pass", F.lit(k)))
+        # after the first pass, only what was hit goes on
+        found = map_batches(rows, work, "doc_id long, text_hash long, n_words long, ranges array<struct<a:long,b:long>>, items array<string>").where(F.lit(k == 0) | (F.size("ranges") > 0))
+        passes.append(written(found.withColumn("pass", F.lit(k)), "hits"))
+        shared.destroy()
     every = passes[0]
     for one in passes[1:]:
         every = every.unionAll(one)
@@ -188,7 +204,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
     schema = T.StructType([*docs.schema.fields, T.StructField(_free_name(docs), T.ArrayType(T.LongType()))]) if mode == "span" else docs.schema
     if mode == "span":
         out = docs.withColumn(schema.names[-1], F.array().cast("array<long>"))
-    for part in window_sets(benchmark, n, part_windows):
+    parts, sets = window_sets(benchmark, n, part_windows)
+    for part in sets:
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def work(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
@@ -211,6 +228,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
             return pa.RecordBatch.from_arrays([*kept, pa.array(ranges, batch.schema.types[-1])], schema=batch.schema)
 
         out = map_batches(out, work, schema)
+        if parts > 1:
+            out = written(out, "decontaminated")
+            shared.destroy()
     if mode == "document":
         return out
 

@@ -23,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runfield.llm.common import id_and_text, written
+from runfield.llm.common import id_and_text
+from runfield.sources.shared import written
 
 #: Bytes of text in a shard at most.
 LIMIT = 1 << 20

@@ -4,12 +4,15 @@ follow-the-regularised-leader and elastic-net penalties, then temperature calibr
 Characters are letters, each lower-cased by itself; all else is a blank, blanks in a row are one. N-grams of one to three
 characters (not blanks alone) are hashed to ``FEATURES`` features; a text's vector is (1 + ln tf) * idf, of length one.
 Document frequencies count all rows to learn from. The regression is fitted, with per-coordinate FTRL-proximal steps, on a
-bounded sample: of each language at most ``sample_rows`` / number of languages rows of lowest hash; of the
-``max_languages`` most frequent languages. A fifth of the sample, by hash, is held back to fit the temperature by which all
-scores are divided.
+bounded sample: of each language at most ``sample_rows`` / number of languages documents of lowest hash of their ids,
+however often rows repeat; of the ``max_languages`` languages with most ids (the weights of more would not fit the driver:
+rarer ones are not learned). Of each language, every fifth document of the sample is held back to fit the temperature by
+which all scores are divided; languages with fewer than five documents are learned from whole, and if no language has five,
+the temperature is 1.
 
 Scale: two narrow passes over the texts: frequencies (each task sends at most one number for each feature) and
-predictions. The sample, the frequencies and the weights have sizes that don't depend on the corpus.
+predictions. The sample, the frequencies and the weights have sizes that don't depend on the corpus. A text's n-grams are
+counted in sections, so a long text takes some 30 bytes for each of its characters.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with nothing to learn from, all are; ties go
 to the language first in order of code points; rows with a null doc_id are not learned from, but predicted; repeated rows
@@ -19,6 +22,7 @@ are predicted alike; an empty table gives no rows; other columns are not read by
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,6 +38,8 @@ from runfield.llm.common import bounded_batches, id_and_text, map_batches, passe
 FEATURES = 1 << 15
 SAMPLE_ROWS = 2_400
 MAX_LANGUAGES = 1_000
+#: Characters whose n-grams are counted at a time.
+SECTION = 1 << 18
 #: Rows whose crc32(doc_id as text) mod FOLDS is HELD_OUT are never learned from.
 FOLDS, HELD_OUT = 4, 2
 LEAST_SCORE = 0.5
@@ -51,30 +57,40 @@ def _letters() -> np.ndarray:
     return out
 
 
-def _block_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature) of every n-gram, and for each row whether it has a letter."""
+def _block_counts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each row has each feature (rows x FEATURES, flat), and for each row whether it has a letter."""
+    n = len(at) - 1
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     before = np.concatenate((np.zeros(1, np.int64), np.cumsum((data & 0xC0) != 0x80)))
-    row = np.repeat(np.arange(len(at) - 1), np.diff(before[at]))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(before[at]))
     c = _letters()[points]
     kept = np.ones(len(c), bool)
     if len(c):
         kept[1:] = (c[1:] != 0) | (c[:-1] != 0) | (row[1:] != row[:-1])
-    c, row = c[kept].astype(np.uint64), row[kept]
-    has = np.bincount(row[c != 0], minlength=len(at) - 1) > 0
-    rows, hashed = [row[c != 0]], [c[c != 0] * textops.constant(0x9E3779B97F4A7C15)]
-    with np.errstate(over="ignore"):
-        if len(c) > 1:
-            same = row[1:] == row[:-1]
-            two = (c[:-1] << np.uint64(21) | c[1:]) * textops.constant(0xC2B2AE3D27D4EB4F)
-            rows.append(row[1:][same])
-            hashed.append(two[same])
-        if len(c) > 2:
-            same = row[2:] == row[:-2]
-            three = (c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]) * textops.constant(0x165667B19E3779F9)
-            rows.append(row[2:][same])
-            hashed.append(three[same])
-    return np.concatenate(rows), (np.concatenate(hashed) >> np.uint64(64 - 15)).astype(np.int64), has
+    c, row = c[kept], row[kept]
+    count = np.zeros(n * FEATURES, np.int64)
+
+    def add(rows: np.ndarray, hashed: np.ndarray) -> None:
+        nonlocal count
+        count += np.bincount(rows.astype(np.int64) * FEATURES + (hashed >> np.uint64(64 - 15)).astype(np.int64), minlength=n * FEATURES)
+
+    # n-grams that end in each section; two characters before it belong to some of them
+    for s in range(0, len(c), SECTION):
+        lo = max(0, s - 2)
+        x, r, new = c[lo : s + SECTION].astype(np.uint64), row[lo : s + SECTION], s - lo
+        with np.errstate(over="ignore"):
+            there = x[new:] != 0
+            rows, hashed = [r[new:][there]], [x[new:][there] * textops.constant(0x9E3779B97F4A7C15)]
+            a = max(new, 1)
+            same = r[a:] == r[a - 1 : -1]
+            rows.append(r[a:][same])
+            hashed.append(((x[a - 1 : -1] << np.uint64(21) | x[a:]) * textops.constant(0xC2B2AE3D27D4EB4F))[same])
+            a = max(new, 2)
+            same = r[a:] == r[a - 2 : -2]
+            rows.append(r[a:][same])
+            hashed.append(((x[a - 2 : -2] << np.uint64(42) | x[a - 1 : -1] << np.uint64(21) | x[a:]) * textops.constant(0x165667B19E3779F9))[same])
+        add(np.concatenate(rows), np.concatenate(hashed))
+    return count, np.bincount(row[c != 0], minlength=n) > 0
 
 
 def term_counts(texts: pa.Array, most: int = 32) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -83,8 +99,7 @@ def term_counts(texts: pa.Array, most: int = 32) -> Iterator[tuple[int, int, np.
         for a in range(i, j, most):
             b = min(j, a + most)
             lo, hi = at[a - i], at[b - i]
-            row, feature, has = _block_features(data[lo:hi], at[a - i : b - i + 1] - lo)
-            count = np.bincount(row * FEATURES + feature, minlength=(b - a) * FEATURES)
+            count, has = _block_counts(data[lo:hi], at[a - i : b - i + 1] - lo)
             there = np.flatnonzero(count)
             yield a, b, there // FEATURES, there % FEATURES, count[there], has
 
@@ -164,7 +179,8 @@ def held_out(doc_id: str = "doc_id"):
 
 def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES, epochs: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and doc_id is not null").where(~held_out())
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    # an estimate of the distinct ids that have a text; repeated rows are one
+    common = rows.where("text is not null").groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("ids"), "lang").limit(max_languages).collect()
     languages = sorted(r["lang"] for r in common)
     if not languages:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES + 1, 0)), 1.0)
@@ -185,11 +201,16 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int =
 
     per = max(1, sample_rows // len(languages))
     # Of each language, about four times as many ids as wanted lie under a bound on their hashes; only those are ranked.
-    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    bounds = F.create_map(*(F.lit(x) for r in common for x in (r["lang"], min(1 << 30, (1 << 30) * 4 * (per + 25) // r["count"]))))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").where(low <= bounds[F.col("lang")]).distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= per)
-    known = {r["doc_id"]: r["lang"] for r in chosen.select("doc_id", "lang").collect()}  # at most sample_rows
+    # Where the bound leaves too few, all ids of the language are.
+    low, order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    bounds, known = {r["lang"]: min(1 << 30, (1 << 30) * 4 * (per + 25) // r["ids"]) for r in common}, {}
+    while bounds:
+        bound = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair))
+        ids = rows.where("text is not null").select("doc_id", "lang").where(low <= F.try_element_at(bound, F.col("lang"))).distinct()
+        drawn = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per).select("doc_id", "lang").collect()  # at most sample_rows
+        known |= {r["doc_id"]: r["lang"] for r in drawn}
+        got = Counter(r["lang"] for r in drawn)
+        bounds = {lang: 1 << 30 for lang, b in bounds.items() if b < 1 << 30 and got[lang] < per}
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, b, row, feature, count, _ in term_counts(batch.column(1)):
@@ -207,7 +228,10 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int =
 
 
 def _trained(examples: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str], idf: np.ndarray, epochs: int) -> Model:
-    back = [k % 5 == 4 for k in range(len(examples))] if len(examples) >= 50 else [False] * len(examples)
+    seen, back = Counter(), []
+    for _, _, y in examples:
+        seen[y] += 1
+        back.append(seen[y] % 5 == 0)
     learner = FtrlProximal(FEATURES + 1, len(languages))
     prepared = [(np.append(f, FEATURES), np.append(_vectors(np.zeros(len(f), int), f, c, idf, 1), 1.0), y) for f, c, y in examples]
     rng = np.random.default_rng(0)

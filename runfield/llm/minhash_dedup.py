@@ -17,16 +17,19 @@ Steps, each written to the shared folder:
 
 1. One pass over the texts: fingerprint of the words, number of shingles, bands.
 2. Texts with equal words are one class from the start; only their least doc_id goes on.
-3. Bands held by two or more such texts are buckets. In each bucket, all are verified against its least doc_id, and the
-   links found are joined to components.
+3. Bands held by two or more such texts are buckets. In each bucket, all are verified against its least doc_id (its hub),
+   in blocks of ``BLOCK`` that meet the hub one by one, and the links found are joined to components.
 4. Where a bucket still has texts of several components, all texts outside its largest component are verified against
    all texts of other components: the former, in blocks of ``BLOCK``, are a query set, and the bucket's texts are dealt
    in blocks to meet them. No link between candidates is lost, and no pairs are emitted.
 5. Components again, over all links.
 
 Scale: texts are read twice (the second time only candidates' shingles are kept). Groups of copies are collapsed by
-partial aggregation, so that no key holds them. A bucket's rows are narrow; sets of shingles travel once for each block.
-Components come from min-label propagation with shortcuts on links only, whose number is that of linked texts.
+partial aggregation. Where a bucket or a group of copies meets what is known of it as a whole, that is one row on the other
+side of a join with nothing after it but a write or an exchange, so a skew join splits it however large it is; sizes of
+buckets are sums of sizes by component. Sets of shingles travel once for each block. Components come from min-label
+propagation with shortcuts on links only, whose number is that of linked texts. A text is hashed in sections, but its
+distinct shingles are held at once: 8 bytes for each word.
 
 Defined cases: null and wordless texts belong to no group (class_id = doc_id, unless another row of the id has words); rows with a null doc_id are left out, as
 no row could name them; repeated rows and ids are one document, whose texts, if they differ, are all its own; an empty
@@ -38,13 +41,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runfield.llm import textops
-from runfield.llm.common import id_and_text, map_batches, written
+from runfield.llm.common import id_and_text, map_batches
+from runfield.operators.components import propagated
+from runfield.sources.shared import written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -165,42 +169,9 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
-def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    return similarity(a, b) >= least
-
-
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """doc_id, class_id for every doc_id in ``links`` (a, b): the least doc_id that it is joined to.
-
-    Each round gives every vertex the least label among its own and its neighbours' (partial sums before the shuffle), then
-    the label of its label. That takes about the logarithm of a component's diameter in rounds.
-    """
-    spark = links.sparkSession
-    edges = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = written(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("l")), "labels")
-    for _ in range(rounds):
-        near = edges.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("n"))
-        lower = labels.join(near, "a").select("a", F.least("l", "n").alias("l"))
-        jump = labels.select(F.col("a").alias("l"), F.col("l").alias("j"))
-        stepped = written(lower.join(jump, "l", "left").join(labels.select("a", F.col("l").alias("was")), "a").select("a", F.least("l", "j").alias("l"), "was"), "labels")
-        labels = stepped.select("a", "l")
-        if stepped.where("l <> was").isEmpty():
-            return labels.select(F.col("a").alias("doc_id"), F.col("l").alias("class_id"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that are as similar as ``least``."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        # views of the batch's own bytes, one pair at a time
-        alike = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-        return batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    return map_batches(both.select("a", "b", "x", "y"), work, "a long, b long")
+def components(links: DataFrame) -> DataFrame:
+    """doc_id, class_id for every doc_id in ``links`` (a, b): the least doc_id that it is joined to."""
+    return propagated(links).select(F.col("v").alias("doc_id"), F.col("root").alias("class_id"))
 
 
 def _met(bucket_rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -210,23 +181,25 @@ def _met(bucket_rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("long")
     deal = F.pmod(F.xxhash64("doc_id", "key"), F.lit(1 << 30))
-    queries = bucket_rows.where("query").select("key", "doc_id", "comp", F.lit(True).alias("query"), (deal % blocks("n_query")).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), blocks("n_target") - 1)).alias("t"))
-    targets = bucket_rows.select("key", "doc_id", "comp", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), blocks("n_query") - 1)).alias("q"), (deal % blocks("n_target")).alias("t"))
-    dealt = queries.unionAll(targets).join(sets, "doc_id")
-
-    def work(key, rows: pd.DataFrame) -> pd.DataFrame:
-        asked = rows[rows["query"]]
-        rest = rows[~rows["query"]]
-        held = [np.frombuffer(x, np.uint64) for x in rest["shingles"]]
-        sizes, ids, comps = np.array([len(x) for x in held]), rest["doc_id"].to_numpy(), rest["comp"].to_numpy()
-        found = []
-        for doc_id, comp, data in zip(asked["doc_id"], asked["comp"], asked["shingles"], strict=True):
-            own = np.frombuffer(data, np.uint64)
-            near = (comps != comp) & (np.minimum(sizes, len(own)) >= least * np.maximum(sizes, len(own)))
-            found += [(doc_id, int(ids[k])) for k in np.flatnonzero(near) if similarity(own, held[k]) >= least]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("key", "q", "t").applyInPandas(work, "a long, b long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+    queries = bucket_rows.where("query").select("key", "doc_id", "comp", F.lit(True).alias("query"), (deal % blocks("n_query")).alias("q"), every("n_target").alias("t"))
+    targets = bucket_rows.select("key", "doc_id", "comp", F.lit(False).alias("query"), every("n_query").alias("q"), (deal % blocks("n_target")).alias("t"))
+    dealt = queries.unionAll(targets).join(sets, "doc_id").select("key", "q", "t", "doc_id", "comp", "query", "shingles")
+
+    def work(rows: pa.Table) -> pa.Table:
+        asked, ids, comps = (rows[c].to_numpy() for c in ("query", "doc_id", "comp"))
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"]]  # views of the rows' own bytes
+        sizes, target = np.array([len(x) for x in held]), ~asked
+        a, b = [], []
+        for i in np.flatnonzero(asked).tolist():
+            own = held[i]
+            near = target & (comps != comps[i]) & (np.minimum(sizes, len(own)) >= least * np.maximum(sizes, len(own)))
+            found = [k for k in np.flatnonzero(near).tolist() if similarity(own, held[k]) >= least]
+            a += [int(ids[i])] * len(found)
+            b += ids[found].tolist()
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.groupBy("key", "q", "t").applyInArrow(work, "a long, b long")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,16 +213,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     shared = written(keyed.join(buckets, "key"), "buckets")
     sets = written(shingle_sets(source, shared.select("doc_id").distinct()).dropDuplicates(["doc_id", "shingles"]), "shingle-sets")
-    pairs = shared.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = written(_verified(pairs, sets, similarity), "links")
+    # First round: a hub is the one query of all texts that share a bucket of its.
+    members = written(shared.where("doc_id <> hub").select(F.col("hub").alias("key"), "doc_id").distinct(), "members")
+    sizes = written(members.groupBy("key").agg(F.count("*").alias("n_target")), "hub-sizes")
+    asking = sizes.select("key", F.col("key").alias("doc_id"), F.lit(True).alias("query"), "n_target").unionByName(members.join(sizes, "key").select("key", "doc_id", F.lit(False).alias("query"), "n_target"))
+    links = written(_met(asking.select("key", "doc_id", F.col("doc_id").alias("comp"), "query", F.lit(1).cast("long").alias("n_query"), "n_target"), sets, similarity), "links")
     # What the first round leaves: texts outside the largest component of their bucket, other than the hub.
     comps = components(links)
-    open_rows = shared.where("n > 2").join(comps, "doc_id", "left").select("key", "hub", "doc_id", F.coalesce("class_id", "doc_id").alias("comp"))
-    sizes = open_rows.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    rows = open_rows.join(largest.select("key", F.col("top.comp").alias("top")), "key").withColumn("query", (F.col("comp") != F.col("top")) & (F.col("doc_id") != F.col("hub")))
-    counts = rows.groupBy("key").agg(F.count(F.when(F.col("query"), 1)).alias("n_query"), F.count("*").alias("n_target")).where("n_query > 0")
-    more = written(_met(rows.join(counts, "key"), sets, similarity).distinct(), "more-links")
+    open_rows = written(shared.where("n > 2").join(comps, "doc_id", "left").select("key", "hub", "doc_id", F.coalesce("class_id", "doc_id").alias("comp")), "open-rows")
+    parts = open_rows.groupBy("key", "comp").agg(F.count("*").alias("k"), F.max(F.col("doc_id") == F.col("hub")).alias("has_hub"))
+    left = parts.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("k").alias("n_target"), F.max(F.when(F.col("has_hub"), F.col("comp"))).alias("of_hub")).where("comps > 1")
+    left = written(left.select("key", F.col("top.comp").alias("top"), "n_target", (F.col("n_target") - F.col("top.k") - (F.col("of_hub") != F.col("top.comp")).cast("long")).alias("n_query")).where("n_query > 0"), "open-buckets")
+    rows = open_rows.join(left, "key").withColumn("query", (F.col("comp") != F.col("top")) & (F.col("doc_id") != F.col("hub")))
+    more = written(_met(rows, sets, similarity).distinct(), "more-links")
     # Copies are named by their text's representative after components are found, so they are no edges. Rows of one
     # doc_id with different texts are one document: they join the representatives of those texts.
     named = written(worded.join(texts.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).select("doc_id", "rep"), "copies")

@@ -56,10 +56,20 @@ def _merge(v: np.ndarray, ones: np.ndarray, bit: int) -> np.ndarray:
 class Bits:
     """A bit vector with rank and select."""
 
-    def __init__(self, words: np.ndarray, n: int):
+    def __init__(self, words: np.ndarray, n: int, ranks: np.ndarray | None = None):
+        """``ranks``: ones before every ``EVERY``-th bit as stored with the words; the rest is counted from them."""
         self.words, self.n = words, n
-        self.before = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(np.bitwise_count(words), out=self.before[1:])
+        ones, self.before = np.bitwise_count(words), np.zeros(len(words) + 1, np.int64)
+        if ranks is None:
+            np.cumsum(ones, out=self.before[1:])
+            return
+        step = EVERY // 64
+        blocks = np.zeros((-(-len(words) // step), step), np.int64)
+        blocks.reshape(-1)[: len(words)] = ones
+        upto = np.cumsum(blocks, axis=1)
+        if len(ranks) != len(words) // step + 1 or ranks[0] or not np.array_equal(ranks[: len(blocks)][1:], (ranks[: len(blocks)] + upto[:, -1])[:-1]):
+            raise ValueError("ranks do not match their bits")
+        self.before[1:] = (upto + ranks[: len(blocks), None]).reshape(-1)[: len(words)]
 
     def get(self, at: np.ndarray) -> np.ndarray:
         return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
@@ -174,8 +184,5 @@ class Shard:
         null = np.frombuffer(plain["doc_null"], np.uint8)
         self.doc_ids = [None if x else d for d, x in zip(np.frombuffer(plain["doc_ids"], "<i8").tolist(), null, strict=True)]
         self.doc_starts = np.frombuffer(plain["doc_starts"], "<i8")
-        planes = [Bits(np.frombuffer(plain[f"bits{k}"], "<u8").astype(np.uint64, copy=False), header["n_tokens"]) for k in range(header["levels"])]
-        for k, plane in enumerate(planes):
-            if not np.array_equal(plane.before[:: EVERY // 64], np.frombuffer(plain[f"ranks{k}"], "<u4")):
-                raise ValueError(f"ranks of level {k} do not match its bits")
+        planes = [Bits(np.frombuffer(plain[f"bits{k}"], "<u8").astype(np.uint64, copy=False), header["n_tokens"], np.frombuffer(plain[f"ranks{k}"], "<u4").astype(np.int64)) for k in range(header["levels"])]
         self.tokens = WaveletMatrix(planes, header["n_tokens"])

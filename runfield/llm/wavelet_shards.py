@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runfield.llm.common import bounded_batches, id_and_text, map_batches, new_path, written
+from runfield.llm.common import bounded_batches, id_and_text, map_batches
+from runfield.sources.shared import new_path, written
 from runfield.llm.encoding import encoder
 from runfield.llm.wavelet import Shard, to_bytes
 

@@ -39,6 +39,19 @@ def test_hits_equal_brute_force(spark, part_windows):
     assert got == sorted(((-1 if i is None else i), *brute_hits(t, items)) for i, t in rows)
 
 
+@pytest.mark.parametrize("part_bytes", [D.PART_BYTES, 20_000])
+def test_a_window_in_very_many_items(spark, part_bytes):
+    passage = helpers.prose(14, 7)
+    items = [(k, passage if k % 2 else helpers.prose(12, k)) for k in range(600)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    parts, _ = D.window_sets(bench, part_bytes=part_bytes)
+    assert (parts > 5) == (part_bytes < D.PART_BYTES)
+    rows = [(1, "x " + passage), (2, helpers.prose(12, 4) + " " + passage), (3, "none"), (1, "x " + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r)[:6] for r in D.benchmark_hits(docs, bench, part_windows=500_000 if part_bytes == D.PART_BYTES else 100).collect())
+    assert got == sorted((i, *brute_hits(t, items)) for i, t in rows)
+
+
 def test_windows_do_not_cross_texts(spark):
     words = helpers.prose(12, 3).split()
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")

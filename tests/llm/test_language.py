@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -65,3 +66,85 @@ def test_stage_keeps_all_columns(spark):
     docs = helpers.table(spark, "documents")
     kept = L.identified(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+def test_sections_do_not_change_counts(monkeypatch):
+    texts = pa.array(["Ab  c1d " * 9 + "é", "x", helpers.prose(50)])
+    whole = [x[2:5] for x in L.term_counts(texts)]
+    for section in (1, 2, 3, 7):
+        monkeypatch.setattr(L, "SECTION", section)
+        for a, b in zip(whole, [x[2:5] for x in L.term_counts(texts)], strict=True):
+            assert all((x == y).all() for x, y in zip(a, b, strict=True))
+
+
+def test_repeated_rows_of_a_rare_language_do_not_hide_it(spark):
+    docs = helpers.table(spark, "documents").select("doc_id", "text", "lang")
+    text = "zzqa wvok zzur qipz wvaxx zzok urqa. " * 3
+    rare = spark.range(200_000).selectExpr("cast(1000003 as bigint) AS doc_id", f"'{text}' AS text", "'zz' AS lang")
+    assert zlib.crc32(b"1000003") % 4 != 2
+    model = L.fitted(docs.unionByName(rare))
+    assert "zz" in model.languages
+    assert model.predict(pa.array([text]))[0] == ["zz"]
+
+
+def test_model_equals_a_plain_one():
+    """Features, weights and scores once more, number by number."""
+    mask, keys = (1 << 64) - 1, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+    def features(text):
+        chars, out = [], {}
+        for c in text:
+            x = ord(c.lower()) if c.isalpha() else 0
+            if x or not chars or chars[-1]:
+                chars.append(x)
+        for n in (1, 2, 3):
+            for k in range(len(chars) - n + 1):
+                gram = chars[k : k + n]
+                if any(gram):
+                    code = 0
+                    for x in gram:
+                        code = code << 21 | x
+                    f = (code * keys[n - 1] & mask) >> 49
+                    out[f] = out.get(f, 0) + 1
+        return out
+
+    def vector(counts, idf):
+        value = {f: (1 + math.log(c)) * idf[f] for f, c in counts.items()}
+        norm = math.sqrt(sum(v * v for v in value.values()))
+        return {f: v / norm for f, v in value.items()}
+
+    texts = ["the cat sat on the mat.", "le chat est sur le lit", "the dog and the cat", "un chat, un chien!", "a dog on a mat", "le chien et le chat"]
+    languages, y = ["en", "fr"], [0, 1, 0, 1, 0, 1]
+    rng = np.random.default_rng(4)
+    idf = rng.uniform(1, 3, L.FEATURES)
+    examples = []
+    for _, _, row, feature, count, _ in L.term_counts(pa.array(texts)):
+        examples += [(feature[row == k], count[row == k], y[k]) for k in range(len(texts))]
+    model = L._trained(examples, languages, idf, epochs=2)
+    # five or more of neither language: all are learned from and the temperature is 1
+    assert model.temperature == 1
+    z, n = {}, {}
+
+    def weight(f, k):
+        a, b = z.get((f, k), 0.0), n.get((f, k), 0.0)
+        return 0.0 if abs(a) <= 0.02 else -(a - math.copysign(0.02, a)) / ((1 + math.sqrt(b)) / 0.5 + 0.1)
+
+    def chances(x):
+        e = [math.exp(sum(v * weight(f, k) for f, v in x.items())) for k in range(2)]
+        return [v / sum(e) for v in e]
+
+    order = np.random.default_rng(0)
+    for _ in range(2):
+        for i in order.permutation(len(texts)):
+            x = vector(features(texts[i]), idf) | {L.FEATURES: 1.0}
+            p = chances(x)
+            steps = [(f, k, v * (p[k] - (y[i] == k)), weight(f, k)) for f, v in x.items() for k in range(2)]
+            for f, k, g, w in steps:
+                old = n.get((f, k), 0.0)
+                z[f, k] = z.get((f, k), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / 0.5 * w
+                n[f, k] = old + g * g
+    new = ["the cat and a chien", "le mat", "Ünknown dog"]
+    names, scores = model.predict(pa.array(new))
+    for text, name, score in zip(new, names, scores, strict=True):
+        p = chances(vector(features(text), idf) | {L.FEATURES: 1.0})
+        assert name == languages[int(np.argmax(p))] and abs(score - max(p)) < 1e-9
