@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def isqrt_below(n: Column) -> Column:
-    """The greatest integer whose square is less than n; 0 for n = 0."""
-    return F.when(n == 0, F.lit(0)).otherwise(F.ceil(F.sqrt(n.cast("double"))) - 1).cast("long")
+    """The greatest integer whose square is less than n; 0 for n = 0. Exact for all longs: the double root is put right."""
+    m = F.greatest(n.cast("long") - 1, F.lit(0).cast("long"))
+    near = F.floor(F.sqrt(m.cast("double"))).cast("long")
+    # r * r > m, without the product: the quotient is a whole number, at most 2^32, that the division may miss by a fraction
+    over = lambda r: (r > 0) & (r > F.round((m - m % F.greatest(r, F.lit(1))) / F.greatest(r, F.lit(1))))
+    return F.when(over(near), near - 1).when(~over(near + 1), near + 1).otherwise(near)
 
 
 def dot(a: Column, b: Column, *more: Column) -> Column:
@@ -30,7 +34,8 @@ def ordered_pair(a: Column, b: Column) -> tuple[Column, Column]:
 
 def round_up(n: Column, step: Column) -> Column:
     """The least multiple of ``step`` that is at least n; both positive."""
-    return (F.floor((n + step - 1) / step) * step).cast("long")
+    least = (n + step - 1).cast("long")
+    return least - least % step
 
 
 def closest(df: DataFrame, value: str, distance: Column, order: str, by: list[str] | None = None) -> DataFrame:

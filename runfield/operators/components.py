@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runfield.operators.rle import numbered
+from runfield.operators.unify import OFFSETS, touching
 from runfield.sources.shared import written
 
 #: Runs of a block.
@@ -83,12 +84,12 @@ def labelled(seg: DataFrame, rooted: DataFrame) -> DataFrame:
     return seg.join(names, "root").select("slice", "row", "seg", "x0", "x1", "seg_id", "root", "label")
 
 
-def slab_labels(seg: DataFrame, contacts: DataFrame, slices: int) -> tuple[DataFrame, DataFrame]:
+def slab_labels(seg: DataFrame, slices: int) -> tuple[DataFrame, DataFrame]:
     """(rooted, boundary): roots over contacts inside slabs of ``slices`` slices; contacts (a, b) between slabs."""
-    slab = seg.select("seg_id", F.floor(F.col("slice") / slices).cast("int").alias("slab"))
-    named = contacts.join(slab.select(F.col("seg_id").alias("a"), F.col("slab").alias("sa")), "a").join(slab.select(F.col("seg_id").alias("b"), F.col("slab").alias("sb")), "b")
-    rooted = roots(seg.select("seg_id"), named.where("sa = sb").select("a", "b"))
-    return rooted, named.where("sa <> sb").select("a", "b")
+    slab = lambda c: F.floor(F.col(c) / slices)
+    met = touching(seg, seg, OFFSETS, ["seg_id", "slice"], ["seg_id", "slice"])
+    named = written(met.select(F.col("a_seg_id").alias("a"), F.col("b_seg_id").alias("b"), (slab("a_slice") == slab("b_slice")).alias("inside")), "contacts")
+    return roots(seg.select("seg_id"), named.where("inside").select("a", "b")), named.where("not inside").select("a", "b")
 
 
 def reduced(rooted: DataFrame, boundary: DataFrame) -> DataFrame:

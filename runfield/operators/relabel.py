@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runfield.sources.volumes import Dims, generate
+from runfield.operators.rle import every_cell
+from runfield.sources.volumes import Dims
 
 #: Labels that a task counts up at a time.
 BLOCK = 1 << 16
@@ -18,8 +19,7 @@ def label_cells(labelled: DataFrame) -> DataFrame:
 
 def dense_labels(labelled: DataFrame, dims: Dims) -> DataFrame:
     """slice, row, col, label of every cell, 0 in the background."""
-    grid = generate(labelled.sparkSession, dims, F.lit(0)).drop("val")
-    return grid.join(label_cells(labelled), ["slice", "row", "col"], "left").withColumn("label", F.coalesce("label", F.lit(0).cast("long")))
+    return every_cell(labelled, dims, "label", F.lit(0).cast("long")).withColumnRenamed("value", "label")
 
 
 def labels_by_position(er: DataFrame, labelled: DataFrame) -> DataFrame:

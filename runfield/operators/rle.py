@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a slice that are numbered together; what is summed in one task is one row for each such band of rows.
-ROWS = 1024
+from runfield.sources.volumes import Dims
+
+#: Rows of a slice that are numbered together, and slices whose bands are summed up together.
+ROWS, SLICES = 1024, 4096
 
 
 def _in_row():
@@ -26,14 +28,17 @@ def runs(voxels: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, keys: list[str], order: list[str], band: Column, name: str) -> DataFrame:
     """``name``: each row's place, from 1, in the order of ``keys`` (of which the first two are slice and row), then ``order``.
 
-    Rows are ranked inside a band of rows of a slice; bands' sizes are summed up over one row for each band. No task sees
-    all rows.
+    Rows are ranked inside a band of rows of a slice, sizes of bands are summed up inside SLICES slices, and only the sums
+    of those, one for SLICES slices, in one task.
     """
     within = Window.partitionBy("slice", "band").orderBy(*keys, *order)
     banded = rows.withColumn("band", band)
     sizes = banded.groupBy("slice", "band").count()
-    before = Window.orderBy("slice", "band").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("slice", "band", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    sizes = sizes.withColumn("part", F.floor(F.col("slice") / SLICES))
+    running = lambda window, c: F.coalesce(F.sum(c).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("part").agg(F.sum("count").alias("total")).select("part", running(Window.orderBy("part"), "total").alias("part_start"))
+    inside = sizes.select("slice", "band", "part", running(Window.partitionBy("part").orderBy("slice", "band"), "count").alias("inside"))
+    starts = inside.join(parts, "part").select("slice", "band", (F.col("part_start") + F.col("inside")).alias("start"))
     ranked = banded.withColumn("k", F.row_number().over(within))
     return ranked.join(starts, ["slice", "band"]).withColumn(name, (F.col("start") + F.col("k")).cast("long")).drop("band", "start", "k")
 
@@ -74,6 +79,22 @@ def gaps(seg: DataFrame, width: int) -> DataFrame:
     return before.unionByName(tail).where("x0 < x1")
 
 
+def every_cell(seg: DataFrame, dims: Dims, value: str | Column, other: Column) -> DataFrame:
+    """slice, row, col, value of every cell of the grid: that of the run (slice, row, x0, x1) that covers it, or ``other``.
+
+    Runs, the gaps between them and rows without runs are dealt by row and spread out into cells there, so no cell is
+    shuffled, then or in a window over rows. Runs outside ``dims`` have no cell.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    inside = seg.where(F.col("slice").between(0, dims.depth - 1) & F.col("row").between(0, dims.height - 1) & (F.col("x0") >= 0) & (F.col("x1") <= dims.width))
+    rows = seg.sparkSession.range(dims.depth * dims.height).selectExpr(f"cast(id div {dims.height} as int) AS slice", f"cast(id % {dims.height} as int) AS row")
+    bare = rows.join(inside.select("slice", "row").distinct(), ["slice", "row"], "left_anti").withColumn("x0", F.lit(0)).withColumn("x1", F.lit(dims.width))
+    empty = gaps(inside, dims.width).unionByName(bare).withColumn("value", other)
+    # dealt anew, as a union of parts that are dealt by row need not be
+    dealt = inside.select("slice", "row", "x0", "x1", value.alias("value")).unionByName(empty).repartition("slice", "row")
+    return dealt.select("slice", "row", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("col"), "value")
+
+
 def foreground_counts(seg: DataFrame) -> DataFrame:
     """slice, row, n: foreground cells by row."""
     return seg.groupBy("slice", "row").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("n"))

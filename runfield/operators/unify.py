@@ -27,7 +27,8 @@ def _tiled(intervals: DataFrame) -> DataFrame:
 def touching(a: DataFrame, b: DataFrame, offsets: Sequence[tuple[int, int]], keep_a: list[str], keep_b: list[str]) -> DataFrame:
     """Pairs of intervals (slice, row, x0, x1) that touch, b standing at one of the offsets from a.
 
-    An equality join on (slice, row, tile); a pair is taken in the one tile that holds the greater of the two starts.
+    An equality join on (slice, row, tile); a pair is taken in the one tile that holds the greater of the two starts. The
+    columns kept are named a_ and b_; ``o`` is the offset (dz, dy).
     """
     steps = F.array(*(F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy")) for dz, dy in offsets))
     asking = a.select(*(F.col(c).alias(f"a_{c}") for c in {"x0", "x1", *keep_a}), "slice", "row", "x0", "x1", F.explode(steps).alias("o"))
@@ -43,23 +44,22 @@ def contacts(seg: DataFrame, offsets: Sequence[tuple[int, int]] = OFFSETS) -> Da
     return touching(seg, seg, offsets, ["seg_id"], ["seg_id"]).select(F.col("a_seg_id").alias("a"), F.col("b_seg_id").alias("b"))
 
 
-def contacts_by_position(seg: DataFrame, er: DataFrame, width: int) -> DataFrame:
+def contacts_by_position(seg: DataFrame, er: DataFrame) -> DataFrame:
     """The same contacts by equality joins only, through the relative labels of the neighbour row.
 
     ``er`` holds every cell of every row. The runs that a run touches are those numbered from that at column x0 - 1 (or the
-    next, if that is background) to that at column x1 (or the one before).
+    next, if that is background) to that at column x1 (or the one before). Rows of labels meet runs by (slice, row): cells
+    are gathered where the running count of their row left them and take no part in a join.
     """
-    rows = er.groupBy("slice", "row").agg(F.max("er").alias("last"))
-    at = er.select("slice", "row", "col", "er")
+    rows = er.groupBy("slice", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "er"))), lambda x: x["er"]).alias("ers"))
     steps = F.array(*(F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy")) for dz, dy in OFFSETS))
     asking = seg.select("seg_id", "x0", "x1", "slice", "row", F.explode(steps).alias("o")).select("seg_id", (F.col("x0") - 1).alias("lo"), F.col("x1").alias("hi"), (F.col("slice") + F.col("o.dz")).alias("slice"), (F.col("row") + F.col("o.dy")).alias("row"))
-    asking = asking.join(rows, ["slice", "row"])
-    left = at.select("slice", "row", F.col("col").alias("lo"), F.col("er").alias("er0"))
-    right = at.select("slice", "row", F.col("col").alias("hi"), F.col("er").alias("er1"))
-    seen = asking.join(left, ["slice", "row", "lo"], "left").join(right, ["slice", "row", "hi"], "left")
     even = lambda c: F.col(c) % 2 == 0
     # column -1 has no edge before it; column width has all of the row's, and the end of a run that reaches it
-    seen = seen.withColumn("er0", F.coalesce("er0", F.lit(0))).withColumn("er1", F.coalesce("er1", F.col("last") + F.col("last") % 2))
+    last = F.element_at("ers", -1)
+    er0 = F.when(F.col("lo") < 0, F.lit(0).cast("long")).otherwise(F.try_element_at("ers", F.col("lo") + 1))
+    er1 = F.coalesce(F.try_element_at("ers", F.col("hi") + 1), last + last % 2)
+    seen = asking.join(rows, ["slice", "row"]).select("seg_id", "slice", "row", er0.alias("er0"), er1.alias("er1"))
     first = F.when(even("er0"), F.col("er0") + 1).otherwise(F.col("er0"))
     final = F.when(even("er1"), F.col("er1") - 1).otherwise(F.col("er1"))
     each = seen.withColumn("f", first).withColumn("t", final).where("f <= t").select("seg_id", "slice", "row", F.explode(F.expr("sequence(f, t, 2L)")).alias("er"))
@@ -80,12 +80,8 @@ def new_labels(seg: DataFrame, offsets: Sequence[tuple[int, int]] = OFFSETS) ->
 
 def contact_counts(seg: DataFrame) -> DataFrame:
     """slice, row, dz, dy, n: touching pairs of a row with each neighbour row that it touches."""
-    parts = None
-    for dz, dy in OFFSETS:
-        one = touching(seg, seg, [(dz, dy)], ["slice", "row"], []).groupBy(F.col("a_slice").alias("slice"), F.col("a_row").alias("row")).agg(F.count("*").alias("n"))
-        one = one.select("slice", "row", F.lit(dz).alias("dz"), F.lit(dy).alias("dy"), "n")
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    met = touching(seg, seg, OFFSETS, ["slice", "row"], [])
+    return met.groupBy(F.col("a_slice").alias("slice"), F.col("a_row").alias("row"), F.col("o.dz").alias("dz"), F.col("o.dy").alias("dy")).agg(F.count("*").alias("n"))
 
 
 def double_lines(seg: DataFrame) -> DataFrame:
@@ -94,7 +90,8 @@ def double_lines(seg: DataFrame) -> DataFrame:
     ``line`` numbers the intervals of a row from 0. Rows stand at the later slice; a row of the slice before that has no
     row after it stands there too, as the rows of both slices are united.
     """
-    both = seg.select("slice", "row", "x0", "x1").unionByName(seg.select((F.col("slice") + 1).alias("slice"), "row", "x0", "x1"))
+    # equal runs of both slices are one interval, so (x0, x1) orders the intervals of a row in one way only
+    both = seg.select("slice", "row", "x0", "x1").unionByName(seg.select((F.col("slice") + 1).alias("slice"), "row", "x0", "x1")).distinct()
     row = Window.partitionBy("slice", "row").orderBy("x0", "x1")
     reach = F.max("x1").over(row.rowsBetween(Window.unboundedPreceding, -1))
     start = F.when(reach.isNull() | (F.col("x0") > reach), 1).otherwise(0)

@@ -37,9 +37,10 @@ def query(sql: str) -> Callable[[Query], Query]:
 
 
 def activity_dims(spark: SparkSession, sf_dir: str) -> Dims:
-    """Hours, days and users of the activity grid; the last from the table."""
-    top = table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0]
-    return Dims(24, 30, 0 if top is None else int(top) + 1)
+    """Hours, days and users of the activity grid; the last two from the table."""
+    user, day, _ = volumes.activity_place()
+    last = table(spark, sf_dir, "events").select(user.alias("u"), day.alias("d")).where("u is not null and d >= 0").agg(F.max("d"), F.max("u")).first()
+    return Dims(24, *(0 if x is None else int(x) + 1 for x in last))
 
 
 def _activity_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ def src_generate(spark, sf_dir):
     return volumes.generate(spark, activity_dims(spark, sf_dir), "cast((slice * 7 + row * 5 + col * 3) % 256 as int)")
 
 
-@query(o.vox(o.EV, '''SELECT slice, "row", col, CASE WHEN ((((CAST(slice AS BIGINT) * 30 + "row") * 24 + col + 42) % 1048573 * 48271 + 11) % 2147483647) % 65521 * 48271 % 65521 < 16380 THEN 1 ELSE 0 END AS val FROM grid''', o.GRID))
+@query(o.vox(o.EV, '''SELECT slice, "row", col, CASE WHEN ((((CAST(slice AS BIGINT) * (SELECT max("row") + 1 FROM vox) + "row") * 24 + col + 42) % 1048573 * 48271 + 11) % 2147483647) % 65521 * 48271 % 65521 < 16380 THEN 1 ELSE 0 END AS val FROM grid''', o.GRID))
 def src_random(spark, sf_dir):
     return volumes.random_bits(spark, activity_dims(spark, sf_dir), seed=42, density=0.25)
 
@@ -97,7 +98,7 @@ def src_fill_box3d(spark, sf_dir):
 
 
 @query(o.vox(o.EV, '''SELECT CAST(s AS INTEGER) AS slice, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, CASE WHEN v.slice IS NULL THEN 0 ELSE 1 END AS val
-FROM (SELECT unnest(range(0, (SELECT max(slice) + 3 FROM vox))) AS s), (SELECT unnest(range(0, 32)) AS r), (SELECT unnest(range(0, 26)) AS c)
+FROM (SELECT unnest(range(0, (SELECT max(slice) + 3 FROM vox))) AS s), (SELECT unnest(range(0, (SELECT max("row") + 3 FROM vox))) AS r), (SELECT unnest(range(0, 26)) AS c)
 LEFT JOIN vox v ON v.slice + 1 = s AND v."row" + 1 = r AND v.col + 1 = c'''))
 def src_pad(spark, sf_dir):
     return volumes.pad(_activity_dense(spark, sf_dir), activity_dims(spark, sf_dir), 1)
@@ -227,8 +228,7 @@ def unify_contacts(spark, sf_dir):
 @query(o.contacts(o.EV, "SELECT a, b FROM contacts"))
 def unify_contacts_er(spark, sf_dir):
     voxels, dims = volumes.activity(spark, sf_dir), activity_dims(spark, sf_dir)
-    er = written(rle.relative_labels(pipeline.dense(voxels, dims)), "relative-labels")
-    return unify.contacts_by_position(written(rle.segments(voxels), "segments"), er, dims.width)
+    return unify.contacts_by_position(written(rle.segments(voxels), "segments"), rle.relative_labels(pipeline.dense(voxels, dims)))
 
 
 @query(o.contacts(o.SHIP, "SELECT seg_id, (SELECT min(b) FROM contacts c WHERE c.a = seg_id AND dz = 0) AS label FROM seg"))
@@ -254,7 +254,7 @@ def unify_new_labels_bis(spark, sf_dir):
 @query(o.vox(o.SHIP, '''SELECT slice, "row", CAST(line AS INTEGER) AS line, min(x0) AS x0, max(x1) AS x1 FROM (
 SELECT *, sum(start) OVER (PARTITION BY slice, "row" ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) - 1 AS line FROM (
 SELECT *, CASE WHEN x0 <= max(x1) OVER (PARTITION BY slice, "row" ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS start
-FROM (SELECT slice, "row", x0, x1 FROM run UNION ALL SELECT CAST(slice + 1 AS INTEGER), "row", x0, x1 FROM run))) GROUP BY slice, "row", line''', o.RUNS))
+FROM (SELECT slice, "row", x0, x1 FROM run UNION SELECT CAST(slice + 1 AS INTEGER), "row", x0, x1 FROM run))) GROUP BY slice, "row", line''', o.RUNS))
 def seg_double_line(spark, sf_dir):
     return unify.double_lines(rle.runs(volumes.shipments(spark, sf_dir)))
 
@@ -296,17 +296,19 @@ def ccl_count(spark, sf_dir):
 
 @query(o.contacts(o.SHIP, "SELECT a, b FROM contacts WHERE dz = -1 AND slice % 8 = 0"))
 def reduce_boundary_contacts(spark, sf_dir):
-    seg = _ship_segments(spark, sf_dir)
-    return components.slab_labels(seg, unify.contacts(seg), 8)[1]
+    return components.slab_labels(_ship_segments(spark, sf_dir), 8)[1]
 
 
 @query(o.labels(o.SHIP, '''SELECT s.seg_id, s.slab_root, l.root FROM (SELECT n AS seg_id, min(m) AS slab_root FROM slab_reach GROUP BY n) s JOIN labelled l USING (seg_id)''',
     '''slab_e AS (SELECT a, b FROM contacts WHERE NOT (dz = -1 AND slice % 8 = 0) UNION ALL SELECT b, a FROM contacts WHERE NOT (dz = -1 AND slice % 8 = 0)),
 slab_reach(n, m) AS (SELECT seg_id, seg_id FROM seg UNION SELECT e.a, r.m FROM slab_reach r JOIN slab_e e ON e.b = r.n WHERE r.m < e.a)'''))
 def reduce_slab_labels(spark, sf_dir):
-    seg = _ship_segments(spark, sf_dir)
-    rooted, boundary = components.slab_labels(seg, written(unify.contacts(seg), "contacts"), 8)
-    return components.reduced(rooted, boundary).select("seg_id", "slab_root", "root")
+    return components.reduced(*components.slab_labels(_ship_segments(spark, sf_dir), 8)).select("seg_id", "slab_root", "root")
+
+
+@query(o.labels(o.SHIP, "SELECT seg_id, label FROM labelled"))
+def reduce_slab_depth(spark, sf_dir):
+    return pipeline.labelled_runs(volumes.shipments(spark, sf_dir), "slab", slices=3).select("seg_id", "label")
 
 
 # Label images
@@ -333,13 +335,23 @@ def ccl_labels_pixel(spark, sf_dir):
     return relabel.labels_by_position(er, _activity_labelled(spark, sf_dir))
 
 
+@query(o.cells("""vox AS (SELECT CAST(user_id AS INTEGER) AS slice, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS "row", CAST(hour(ts) AS INTEGER) AS col
+  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND CAST(ts AS DATE) >= DATE '2024-01-01' GROUP BY 1, 2, 3 HAVING count(*) * 85 % 256 % 2 = 1)""", 'SELECT slice, "row", col, label FROM cells'))
+def ccl_labels_values(spark, sf_dir):
+    # grey values by the number of events, 85 and 255 odd, 170 even: the lowest bit decides
+    user, day, hour = volumes.activity_place()
+    places = table(spark, sf_dir, "events").select(user.alias("slice"), day.alias("row"), hour.alias("col")).where("slice is not null and row >= 0")
+    values = places.groupBy("slice", "row", "col").agg((F.count("*") * 85 % 256).cast("int").alias("val"))
+    return pipeline.label_image(volumes.foreground(values))
+
+
 @query(o.labels(o.SHIP, """SELECT DISTINCT label, CAST((label % 1048573 * 48271 + 12345) % 65521 % 201 + 55 AS INTEGER) AS r, CAST((label % 1048573 * 40692 + 12345) % 65521 % 201 + 55 AS INTEGER) AS g,
 CAST((label % 1048573 * 69621 + 12345) % 65521 % 201 + 55 AS INTEGER) AS b FROM labelled"""))
 def label_palette(spark, sf_dir):
     return relabel.palette(_ship_labelled(spark, sf_dir))
 
 
-@query(o.cells(o.EV, """SELECT label, count(*) AS n FROM cells GROUP BY label UNION ALL SELECT 0, (SELECT (max(slice) + 1) * 720 FROM vox) - (SELECT count(*) FROM vox)"""))
+@query(o.cells(o.EV, """SELECT label, count(*) AS n FROM cells GROUP BY label UNION ALL SELECT 0, (SELECT (max(slice) + 1) * (max("row") + 1) * 24 FROM vox) - (SELECT count(*) FROM vox)"""))
 def label_histogram(spark, sf_dir):
     return relabel.histogram(relabel.label_cells(_activity_labelled(spark, sf_dir)), activity_dims(spark, sf_dir))
 
@@ -354,6 +366,11 @@ def cca_features(spark, sf_dir):
     return pipeline.component_features(volumes.shipments(spark, sf_dir))
 
 
+@query(o.labels(o.SHIP, 'SELECT label, "S", lo_col, lo_row, lo_slice, hi_col, hi_row, hi_slice FROM (' + o.features("labelled") + ")"))
+def cca_features_chosen(spark, sf_dir):
+    return pipeline.component_features(volumes.shipments(spark, sf_dir), features.FeatureConfig(moments=False))
+
+
 @query(o.labels(o.EV, o.features("labelled")))
 def cca_features_activity(spark, sf_dir):
     return pipeline.component_features(volumes.activity(spark, sf_dir), strategy="slab")
@@ -388,8 +405,7 @@ def cca_features_points_2d(spark, sf_dir):
 def cca_features_merge(spark, sf_dir):
     # features of slabs' components, folded together over the boundary
     seg = _ship_segments(spark, sf_dir)
-    rooted, boundary = components.slab_labels(seg, written(unify.contacts(seg), "contacts"), 8)
-    both = written(components.reduced(rooted, boundary), "reduced")
+    both = written(components.reduced(*components.slab_labels(seg, 8)), "reduced")
     partial = features.of_runs(seg.join(both.select("seg_id", F.col("slab_root").alias("label")), "seg_id"))
     return features.merged(partial, both.select(F.col("slab_root").alias("label"), F.col("root").alias("into")).distinct())
 
@@ -408,6 +424,13 @@ def cca_equals(spark, sf_dir):
     return features.equal(pipeline.component_features(voxels), pipeline.component_features(voxels, strategy="double"))
 
 
+@query(o.labels(o.SHIP, "SELECT count(*) = 0 AS equal, count(*) AS n_differing FROM (SELECT DISTINCT label FROM labelled) WHERE label % 7 = 0 OR label % 10 = 3"))
+def cca_equals_changed(spark, sf_dir):
+    # a seventh of the components with another volume, a tenth missing
+    found = written(pipeline.component_features(volumes.shipments(spark, sf_dir)), "features")
+    return features.equal(found, found.where("label % 10 <> 3").withColumn("S", F.when(F.col("label") % 7 == 0, F.col("S") + 1).otherwise(F.col("S"))))
+
+
 @query(o.labels(o.SHIP, 'SELECT label, CAST("Sx" AS DOUBLE) / "S" AS cx, CAST("Sy" AS DOUBLE) / "S" AS cy, CAST("Sz" AS DOUBLE) / "S" AS cz FROM (' + o.features("labelled") + ")"))
 def cca_centroid(spark, sf_dir):
     return features.centroids(pipeline.component_features(volumes.shipments(spark, sf_dir)))
@@ -422,6 +445,13 @@ def mat_compare(spark, sf_dir):
     return validate.compared(pipeline.label_image(voxels), pipeline.label_image(voxels, strategy="position", dims=dims))
 
 
+@query(o.cells(o.EV, "SELECT count(*) = 0 AS equal, count(*) AS n_differing FROM cells WHERE label >= 5 OR col = 3"))
+def mat_compare_changed(spark, sf_dir):
+    # labels from the fifth on are one greater, and one hour is missing
+    cells = written(relabel.label_cells(_activity_labelled(spark, sf_dir)), "cells")
+    return validate.compared(cells, cells.where("col <> 3").withColumn("label", F.when(F.col("label") >= 5, F.col("label") + 1).otherwise(F.col("label"))))
+
+
 @query(o.cells(o.EV, '''SELECT slice, "row", col, l.label AS "left", r.label AS "right" FROM cells l FULL JOIN turned r USING (slice, "row", col) WHERE l.label IS DISTINCT FROM r.label''',
     'turned AS (SELECT CAST((SELECT max(slice) FROM vox) - slice AS INTEGER) AS slice, "row", col, label FROM cells)'))
 def mat_diff(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 SHIP = """vox AS (SELECT DISTINCT CAST(l_suppkey AS INTEGER) AS slice, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS "row",
   CAST(day(l_shipdate) - 1 AS INTEGER) AS col FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey IS NOT NULL AND l_shipdate IS NOT NULL)"""
 EV = """vox AS (SELECT DISTINCT CAST(user_id AS INTEGER) AS slice, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS "row",
-  CAST(hour(ts) AS INTEGER) AS col FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"""
+  CAST(hour(ts) AS INTEGER) AS col FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND CAST(ts AS DATE) >= DATE '2024-01-01')"""
 EMB = """vox AS (SELECT DISTINCT 0 AS slice, CAST(vec_id AS INTEGER) AS "row", CAST(col AS INTEGER) AS col
   FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS col FROM embeddings) WHERE CAST(x AS DOUBLE) > 0.15)"""
 RUNS = """run AS (SELECT slice, "row", CAST(min(col) AS INTEGER) AS x0, CAST(max(col) + 1 AS INTEGER) AS x1
@@ -56,8 +56,8 @@ def features(rows: str, keys: str = "label", names: str | None = None) -> str:
   max(x1) AS hi_col, CAST(max("row") + 1 AS INTEGER) AS hi_row, CAST(max(slice) + 1 AS INTEGER) AS hi_slice FROM {rows} GROUP BY {keys}"""
 
 
-#: Every cell of the activity grid (24 hours, 30 days, users up to the last).
+#: Every cell of the activity grid (24 hours, days and users up to the last).
 GRID = """grid AS (SELECT CAST(s AS INTEGER) AS slice, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col
-  FROM (SELECT unnest(range(0, (SELECT max(slice) + 1 FROM vox))) AS s), (SELECT unnest(range(0, 30)) AS r), (SELECT unnest(range(0, 24)) AS c))"""
+  FROM (SELECT unnest(range(0, (SELECT max(slice) + 1 FROM vox))) AS s), (SELECT unnest(range(0, (SELECT max("row") + 1 FROM vox))) AS r), (SELECT unnest(range(0, 24)) AS c))"""
 DENSE = """dense AS (SELECT g.slice, g."row", g.col, CASE WHEN v.slice IS NULL THEN 0 ELSE 1 END AS val FROM grid g LEFT JOIN vox v ON g.slice = v.slice AND g."row" = v."row" AND g.col = v.col)"""
 EDGES = """edges AS (SELECT *, CAST(xor(val, coalesce(lag(val) OVER (PARTITION BY slice, "row" ORDER BY col), 0)) AS INTEGER) AS edge FROM dense)"""

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from runfield.operators import components, features, relabel, rle, unify
 from runfield.sources.shared import written
-from runfield.sources.volumes import Dims, generate
+from runfield.sources.volumes import Dims
 
 STRATEGIES = ("band", "position", "double", "slab")
 
 
 def dense(voxels: DataFrame, dims: Dims) -> DataFrame:
     """Every cell with val 0 or 1."""
-    grid = generate(voxels.sparkSession, dims, F.lit(0)).drop("val")
-    return grid.join(voxels.withColumn("set", F.lit(1)), ["slice", "row", "col"], "left").select("slice", "row", "col", F.coalesce("set", F.lit(0)).alias("val"))
+    return rle.every_cell(rle.runs(voxels), dims, F.lit(1), F.lit(0)).withColumnRenamed("value", "val")
 
 
 def labelled_runs(voxels: DataFrame, strategy: str = "band", dims: Dims | None = None, slices: int = 8) -> DataFrame:
@@ -30,14 +29,13 @@ def labelled_runs(voxels: DataFrame, strategy: str = "band", dims: Dims | None =
     if strategy == "position":
         if dims is None:
             raise ValueError("the position strategy needs the grid's dims")
-        links = unify.contacts_by_position(seg, rle.relative_labels(dense(voxels, dims)), dims.width)
+        links = unify.contacts_by_position(seg, rle.relative_labels(dense(voxels, dims)))
     elif strategy == "double":
         links = unify.double_links(seg)
-    else:
+    elif strategy == "band":
         links = unify.contacts(seg)
     if strategy == "slab":
-        rooted, boundary = components.slab_labels(seg, written(links, "contacts"), slices)
-        rooted = components.reduced(rooted, boundary)
+        rooted = components.reduced(*components.slab_labels(seg, slices))
     else:
         rooted = components.roots(seg.select("seg_id"), links)
     return components.labelled(seg, rooted)

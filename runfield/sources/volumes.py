@@ -43,9 +43,14 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User x day since 2024-01-01 x hour of events."""
+    """User x day since 2024-01-01 x hour of events; earlier events lie outside the grid."""
+    return _cells(table(spark, sf_dir, "events"), *activity_place()).where("row >= 0")
+
+
+def activity_place() -> tuple[Column, Column, Column]:
+    """slice, row and col of an event."""
     ts = F.col("ts")
-    return _cells(table(spark, sf_dir, "events"), F.col("user_id"), F.datediff(ts.cast("date"), F.lit("2024-01-01").cast("date")), F.hour(ts))
+    return F.col("user_id").cast("int"), F.datediff(ts.cast("date"), F.lit("2024-01-01").cast("date")), F.hour(ts)
 
 
 def embedding_bits(spark: SparkSession, sf_dir: str, threshold: float = 0.15) -> DataFrame:
@@ -93,13 +98,13 @@ def fill_box(dense: DataFrame, value: int, low: tuple[int, int, int], high: tupl
 
 
 def pad(dense: DataFrame, dims: Dims, before: int, after: int | None = None) -> DataFrame:
-    """A border of zeros around a dense grid; slices get one only if the grid has several."""
+    """A border of zeros around a dense grid, which holds all cells of ``dims``; slices get one only if the grid has several."""
     after = before if after is None else after
     deep = dims.depth > 1
     full = Dims(dims.width + before + after, dims.height + before + after, dims.depth + (before + after) * deep)
-    shifted = dense.select((F.col("slice") + before * deep).alias("slice"), (F.col("row") + before).alias("row"), (F.col("col") + before).alias("col"), F.col("val").alias("inner"))
-    grid = generate(dense.sparkSession, full, F.lit(0)).drop("val")
-    return grid.join(shifted, ["slice", "row", "col"], "left").select("slice", "row", "col", F.coalesce("inner", F.lit(0)).alias("val"))
+    shifted = dense.select((F.col("slice") + before * deep).alias("slice"), (F.col("row") + before).alias("row"), (F.col("col") + before).alias("col"), "val")
+    within = F.col("slice").between(before * deep, before * deep + dims.depth - 1) & F.col("row").between(before, before + dims.height - 1) & F.col("col").between(before, before + dims.width - 1)
+    return shifted.unionByName(generate(dense.sparkSession, full, F.lit(0)).where(~within))
 
 
 def transpose(grid: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -59,6 +60,53 @@ def test_small_blocks_contract_to_the_same_roots(spark):
     assert one == many and len(one) == len({s for s, _ in one})
 
 
+def test_many_equal_runs_of_neighbouring_slices(spark):
+    # rows in which most runs of a slice are those of the slice before, so that intervals tie
+    draw = random.Random(9)
+    cells, row = [], {x for x in range(300) if draw.random() < 0.5}
+    for z in range(12):
+        row = row ^ {draw.randrange(300)}
+        cells += [(z, y, x) for y in range(3) for x in row]
+    grid = voxels(spark, cells)
+    for parts in (1, 7):
+        found = {}
+        for r in unify.double_lines(rle.runs(grid.repartition(parts))).collect():
+            found.setdefault((r["slice"], r["row"]), []).append((r["line"], r["x0"], r["x1"]))
+        for (z, y), lines in found.items():
+            want, covered = [], sorted({x for a, b, x in cells if b == y and a in (z, z - 1)})
+            runs = {(x0, x1) for s in (z, z - 1) for x0, x1 in plain_runs({x for a, b, x in cells if (a, b) == (s, y)})}
+            for x0, x1 in sorted(runs):
+                if want and x0 <= want[-1][1]:
+                    want[-1][1] = max(want[-1][1], x1)
+                else:
+                    want.append([x0, x1])
+            assert covered and sorted(lines) == [(k, *w) for k, w in enumerate(want)]
+    assert labels_of(pipeline.label_image(grid, strategy="double")) == grids.flood(cells)
+
+
+def plain_runs(columns):
+    return [(x, next(e for e in range(x, 10_000) if e not in columns)) for x in sorted(columns) if x - 1 not in columns]
+
+
+def test_numbering_over_parts_of_slices(spark, monkeypatch):
+    monkeypatch.setattr(rle, "SLICES", 3)
+    draw = random.Random(6)
+    cells = [(z, y, x) for z in range(20) for y in range(4) for x in range(9) if draw.random() < 0.4]
+    found = sorted((r["slice"], r["row"], r["x0"], r["seg_id"]) for r in rle.segments(voxels(spark, cells)).collect())
+    assert [f[3] for f in found] == list(range(1, len(found) + 1))
+
+
+def test_every_cell_of_a_grid(spark):
+    cells = [(0, 0, 0), (0, 0, 2), (2, 1, 3), (2, 1, 2), (9, 0, 0), (0, 7, 1)]
+    got = {(r["slice"], r["row"], r["col"]): r["val"] for r in pipeline.dense(voxels(spark, cells), Dims(4, 2, 3)).collect()}
+    assert got == {(z, y, x): int((z, y, x) in cells) for z in range(3) for y in range(2) for x in range(4)}
+
+
+def test_an_empty_box_has_no_features(spark):
+    found = pipeline.labelled_runs(voxels(spark, [(0, 0, 0), (5, 5, 5)]))
+    assert features.in_box(found, (1, 4), (0, 9)).count() == 0 and features.in_box(found, (0, 9), (0, 9), (1, 2)).count() == 1
+
+
 def test_wide_rows_cross_tiles(spark):
     # runs that span, end at and begin at borders of tiles
     edges = [(0, 0, 600), (0, 1, 255), (1, 255, 258), (1, 511, 512), (2, 100, 700)]
@@ -121,11 +169,15 @@ def test_fill_pad_and_random(spark):
 def test_scalars(spark):
     n = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1), (4, 1), (5, 2), (9, 2), (10, 3), (16, 3), (17, 4)], "n long, r long")
     assert n.where(scalars.isqrt_below(F.col("n")) != F.col("r")).isEmpty()
+    large = [2**62, 3037000499**2, 3037000499**2 + 1, 94906267**2, 94906267**2 + 1, 2**53 + 1, 2**63 - 1]
+    roots = {r["n"]: r["r"] for r in spark.createDataFrame([(x,) for x in large], "n long").select("n", scalars.isqrt_below(F.col("n")).alias("r")).collect()}
+    assert roots == {x: math.isqrt(x - 1) for x in large}
     row = spark.range(1)
     least = lambda *v: row.select(scalars.least_positive(*map(F.lit, v)).alias("m")).first()["m"]
     assert (least(3, 0, 2, 5), least(0, 0, 0, 0), least(0, 7, 0, 0)) == (2, 0, 7)
     ups = [row.select(scalars.round_up(F.lit(a), F.lit(64)).alias("u")).first()["u"] for a in (1, 64, 65)]
     assert ups == [64, 64, 128]
+    assert row.select(scalars.round_up(F.lit(2**60 + 1), F.lit(64)).alias("u")).first()["u"] == 2**60 + 64
     pairs = spark.createDataFrame([(0, 0.1, 0.9), (1, 0.5, 0.5), (2, 0.6, 0.5)], "pos int, threshold double, density double")
     assert scalars.closest(pairs, "threshold", F.abs(F.col("density") - 0.5), "pos").first()[0] == 0.5
     assert scalars.closest(pairs.limit(0), "threshold", F.abs(F.col("density") - 0.5), "pos").first()[0] is None
