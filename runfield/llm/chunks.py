@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from runfield.llm import textops
 
 #: Bytes of texts that are cut at a time; a longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Bytes of chunks and of what they give that a worker remembers.
 REMEMBERED = 24 << 20
 #: Longer pieces are not remembered.

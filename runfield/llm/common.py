@@ -1,7 +1,8 @@
-"""What the operators share on the Spark side: input columns and batches for Python."""
+"""What the operators share on the Spark side: input columns, batches for Python, and the memory of Python workers."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _DEFAULT = "67108864b"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,18 +37,45 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch; it may return one batch, several or none."""
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """An object of this Python worker that is costly to make, such as a tokenizer. Only the last one asked for is kept."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def tidied(batches: Iterator[pa.RecordBatch], keeps: bool = False) -> Iterator[pa.RecordBatch]:
+    """``batches``; before each, what the one before it left free goes back to the system.
+
+    Spark uses a worker for one stage after another, and executors count what workers hold. Unless the stage ``keeps`` it,
+    a kept object goes too.
+    """
+    if not keeps:
+        _kept.clear()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+
+
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: T.StructType | str, keeps: bool = False) -> DataFrame:
+    """``mapInArrow`` with a function of one batch; it may return one batch, several or none. ``keeps``: it uses ``kept``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches, keeps):
             made = work(batch)
-            if made is None:
-                continue
             if isinstance(made, pa.RecordBatch):
                 yield made
-            else:
+            elif made is not None:
                 yield from made
+            del made, batch
 
     return bounded_batches(df).mapInArrow(run, schema)
 

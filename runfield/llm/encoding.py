@@ -14,14 +14,13 @@ import json
 import os
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 
 from runfield.llm.chunks import BYTE_LEVEL, WORDS, Cutter, Recent, Remembered, distinct_chunks, gathered, plain_pieces
-from runfield.llm.common import tokenizer_path
+from runfield.llm.common import kept, tokenizer_path
 from runfield.llm.token_counts import PATTERN, byte_alphabet
 
 #: Pieces that a worker remembers, twice over; about 200 bytes each.
@@ -100,6 +99,6 @@ class Encoder:
                 a = b
 
 
-@lru_cache(maxsize=1)
 def encoder(vocabulary: str) -> Encoder:
-    return Encoder(tokenizer_path(vocabulary))
+    """This worker's encoder; stages that use it must say that they keep it."""
+    return kept(f"encoder {vocabulary}", lambda: Encoder(tokenizer_path(vocabulary)))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runfield.llm import textops
-from runfield.llm.common import bounded_batches, id_and_text, map_batches, passed_through
+from runfield.llm.common import bounded_batches, id_and_text, map_batches, passed_through, tidied
 
 FEATURES = 1 << 15
 SAMPLE_ROWS = 2_400
@@ -68,12 +68,7 @@ def _block_counts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     if len(c):
         kept[1:] = (c[1:] != 0) | (c[:-1] != 0) | (row[1:] != row[:-1])
     c, row = c[kept], row[kept]
-    count = np.zeros(n * FEATURES, np.int64)
-
-    def add(rows: np.ndarray, hashed: np.ndarray) -> None:
-        nonlocal count
-        count += np.bincount(rows.astype(np.int64) * FEATURES + (hashed >> np.uint64(64 - 15)).astype(np.int64), minlength=n * FEATURES)
-
+    count = None
     # n-grams that end in each section; two characters before it belong to some of them
     for s in range(0, len(c), SECTION):
         lo = max(0, s - 2)
@@ -89,8 +84,10 @@ def _block_counts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
             same = r[a:] == r[a - 2 : -2]
             rows.append(r[a:][same])
             hashed.append(((x[a - 2 : -2] << np.uint64(42) | x[a - 1 : -1] << np.uint64(21) | x[a:]) * textops.constant(0x165667B19E3779F9))[same])
-        add(np.concatenate(rows), np.concatenate(hashed))
-    return count, np.bincount(row[c != 0], minlength=n) > 0
+        place = np.concatenate(rows).astype(np.int64) * FEATURES + (np.concatenate(hashed) >> np.uint64(64 - 15)).astype(np.int64)
+        more = np.bincount(place, minlength=n * FEATURES)
+        count = more if count is None else count + more
+    return np.zeros(n * FEATURES, np.int64) if count is None else count, np.bincount(row[c != 0], minlength=n) > 0
 
 
 def term_counts(texts: pa.Array, most: int = 32) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -187,7 +184,7 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int =
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(FEATURES, np.int64), 0
-        for batch in batches:
+        for batch in tidied(batches):
             for _, _, _, feature, _, has in term_counts(batch.column(0)):
                 df += np.bincount(feature, minlength=FEATURES)
                 n += int(has.sum())
@@ -217,8 +214,7 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int =
             ends = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends), pa.array(count.astype(np.int32)))], names=["doc_id", "lang", "feature", "count"])
 
-    picked = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in known], "doc_id long"))  # at most sample_rows ids
-    sampled = map_batches(rows.join(picked, "doc_id", "left_semi"), work, "doc_id long, lang string, feature array<int>, count array<int>")
+    sampled = map_batches(rows.where(F.col("doc_id").isin(list(known))), work, "doc_id long, lang string, feature array<int>, count array<int>")
     examples = {}
     each = sampled.groupBy("doc_id").agg(F.min(F.struct("lang", "feature", "count")).alias("x")).select("doc_id", "x.*")  # repeated ids count once
     for r in each.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():  # at most sample_rows

@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
             columns = [batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_batches(id_and_text(docs, id_col, text_col), work, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_batches(id_and_text(docs, id_col, text_col), work, "doc_id long, piece int, start long, length long, ids_crc32 long", keeps=True)
 
 
 def lower_bound(count: np.ndarray, capacity: int) -> int:

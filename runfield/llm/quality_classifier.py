@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runfield.llm import textops
-from runfield.llm.common import bounded_batches, id_and_text, map_batches, passed_through
+from runfield.llm.common import bounded_batches, id_and_text, map_batches, passed_through, tidied
 from runfield.sources.shared import written
 
 BUCKETS = 10_000
@@ -73,7 +73,7 @@ def fitted(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: fl
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets + 2, np.int64), np.zeros(buckets + 2, np.int64)
-        for batch in batches:
+        for batch in tidied(batches):
             known = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             good = np.isin(known, ids.value) & np.asarray(batch.column(0).is_valid())
             for i, j, data, at in textops.blocks(batch.column(1)):

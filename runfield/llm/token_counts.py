@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import heapq
 import json
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from runfield.llm.chunks import BYTE_LEVEL, Recent, Remembered, distinct_chunks, plain_pieces
-from runfield.llm.common import id_and_text, map_batches, tokenizer_path
+from runfield.llm.common import id_and_text, kept, map_batches, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The pattern by which byte-level vocabularies of this family split text before merging.
@@ -117,17 +116,12 @@ class PairMerger:
         return out
 
 
-@lru_cache(maxsize=1)
-def merger(path: str) -> PairMerger:
-    return PairMerger(path)
-
-
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), one row for each row of ``docs``."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = pc.fill_null(batch.column(1), "")
-        tokens = merger(tokenizer_path(vocabulary)).counts(texts)
+        tokens = kept(f"merger {vocabulary}", lambda: PairMerger(tokenizer_path(vocabulary))).counts(texts)
         return pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(tokens), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return map_batches(id_and_text(docs, id_col, text_col), work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(id_and_text(docs, id_col, text_col), work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", keeps=True)

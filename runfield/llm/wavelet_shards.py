@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runfield.llm.common import bounded_batches, id_and_text, map_batches
+from runfield.llm.common import bounded_batches, id_and_text, map_batches, tidied
 from runfield.sources.shared import new_path, written
 from runfield.llm.encoding import encoder
 from runfield.llm.wavelet import Shard, to_bytes
@@ -59,7 +59,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "file", "path", "n_docs", "n_tokens"])
 
         encoded = encoder(vocabulary).encoded
-        for batch in batches:
+        for batch in tidied(batches, keeps=True):
             for i, j, ids, upto in encoded(batch.column(1), end_id):
                 for doc_id, a, b in zip(batch.column(0).slice(i, j - i).to_pylist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True):
                     if total and total + b - a > shard_tokens:
