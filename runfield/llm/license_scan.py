@@ -2,10 +2,10 @@
 
 Lines with a licensing cue are a text's statements; where there are several, all of them together are one more. Each is
 compared with short templates of licence notices. Terms are runs of a-z and 0-9 (A-Z lower-cased). Idf is taken over the
-templates; a term of no template has the greatest idf and counts once for each occurrence. The best template with a cosine
-of ``least_cosine`` or more is the text's own licence. A text with a cue whose statements give none is looked at again: an
-SPDX identifier names its licence; else windows of the length of each notice of ``NOTICES`` are compared with it by the same
-cosine, wherever the notice stands in longer lines or is wrapped. Windows are laid over the text's terms so that one of the
+templates; a term of no template has the greatest idf and counts once for each occurrence. An SPDX identifier names the
+text's own licence; else the best template with a cosine of ``least_cosine`` or more does, unless a template of another
+licence is within ``MARGIN`` of it; a template of one GNU version needs that version's number in the statement. A text with a cue that has none of these is looked at again: windows of the
+length of each notice of ``NOTICES`` are compared with it by the same cosine, wherever the notice stands in longer lines or is wrapped. Windows are laid over the text's terms so that one of the
 notice's key terms meets its place in the notice, and must hold all its key terms (a name, a version) and none of those that
 make it another licence. The longest notice found counts, then the greatest cosine; "all rights reserved" only if it is
 the only one. A licence file is one named as such, or whose matched statements hold
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from runfield.sources.shared import written
 
 LEAST_COSINE = 0.7
+#: How much less the cosine of the next licence must be.
+MARGIN = 0.01
 #: Short notices by which these licences are declared; the first of a tie counts.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -42,15 +44,29 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or any later version"),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or any later version"),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-2.1", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version"),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0"),
     ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("Proprietary", "All rights reserved"),
@@ -70,18 +86,20 @@ NOTICES = [
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution source binary modification conditions", ""),
     ("BSD-2-Clause", _BSD + " " + _AS_IS, "redistribution retain reproduce warranties", "neither endorse"),
     ("BSD-3-Clause", _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _AS_IS, "redistribution retain reproduce endorse", ""),
-    *((f"{short}-{v}.0", text, f"{keys} {v}", bans) for short, name, keys, bans, versions in (
-        ("GPL", "General Public License", "gnu general public", "lesser affero library", "23"),
-        ("LGPL", "Lesser General Public License", "gnu lesser public", "affero", "3"),
-        ("AGPL", "Affero General Public License", "gnu affero public", "lesser", "3"),
+    *((f"{short}-{v}" if "." in v else f"{short}-{v}.0", text, f"{keys} {v.replace('.', ' ')}", bans) for short, name, keys, bans, versions in (
+        ("GPL", "General Public License", "gnu general public", "lesser affero library", ("2", "3")),
+        ("LGPL", "Lesser General Public License", "gnu lesser public", "affero", ("2.1", "3")),
+        ("AGPL", "Affero General Public License", "gnu affero public", "lesser", ("3",)),
     ) for v in versions for text in (
         f"licensed under the GNU {name}, version {v}",
         f"GNU {name} Version {v}",
         _FREE.format("This program", name, v),
     )),
     ("MPL-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", "mozilla 2", ""),
-    ("CC-BY-4.0", "licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution 4", "sharealike noncommercial noderivatives noderivs"),
-    *((f"CC-{k}-4.0", f"licensed under CC {k} 4.0", f"cc by 4 {extra}".strip(), bans) for k, extra, bans in (("BY", "", "sa nc nd"), ("BY-SA", "sa", "nc nd"), ("BY-NC", "nc", "sa nd"))),
+    *((f"CC-{k}-4.0", text, keys, bans) for k, more in (("BY", ""), ("BY-SA", "ShareAlike"), ("BY-NC", "NonCommercial"), ("BY-ND", "NoDerivatives"), ("BY-NC-SA", "NonCommercial-ShareAlike"), ("BY-NC-ND", "NonCommercial-NoDerivatives")) for text, keys, bans in (
+        (f"licensed under a Creative Commons Attribution{'-' * bool(more)}{more} 4.0 International License", f"creative commons attribution 4 {more.lower().replace('-', ' ')}".strip(), " ".join(w for w in ("sharealike", "noncommercial", "noderivatives", "noderivs") if w not in more.lower())),
+        (f"licensed under CC {k} 4.0", f"cc 4 {k.lower().replace('-', ' ')}", " ".join(w for w in ("sa", "nc", "nd") if w not in k.lower().split("-"))),
+    )),
     ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication", "cc0 universal", ""),
     ("Unlicense", "This is free and unencumbered software released into the public domain", "unencumbered public domain", ""),
     ("Proprietary", "All rights reserved", "all rights reserved", ""),
@@ -94,6 +112,12 @@ FILE_NAMES = r"(^|/)(license|licence|copying|notice|unlicense)(\.[a-z]+)?$"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def needs(name: str) -> list[str]:
+    """Terms without which a statement is not of this licence: the version's numbers of GNU licences, which differ in little else."""
+    version = re.search(r"GPL-(\d)\.(\d)", name)
+    return [x for x in version.groups() if x != "0"] if version else []
+
+
 def template_vectors() -> tuple[dict[str, float], float, list[tuple[str, float, list[tuple[str, float]]]]]:
     """Idf by term, the idf of other terms, and for each template its licence, norm and weights."""
     counts = [Counter(re.findall("[a-z0-9]+", text.lower())) for _, text in TEMPLATES]
@@ -108,12 +132,12 @@ def _total(array: Column, value) -> Column:
 
 
 def _matches(statements: Column) -> Column:
-    """For each statement, (cosine, order, licence, words): its best template."""
+    """For each statement, (cosine, order, licence, words, rival): its best template, and the best cosine of another licence."""
     idf, other, templates = template_vectors()
     array = lambda items: f"array({', '.join(items)})"
     pairs = lambda items: array(f"struct('{t}' AS t, {w!r}D AS w)" for t, w in items)
     vocabulary, weights = F.expr(array(f"'{t}'" for t in idf)), F.expr(pairs(idf.items()))
-    vectors = F.expr(array(f"struct({-i} AS i, '{name}' AS name, {norm!r}D AS norm, {pairs((t, w * idf[t]) for t, w in v)} AS v)" for i, (name, norm, v) in enumerate(templates)))
+    vectors = F.expr(array(f"struct({-i} AS i, '{name}' AS name, {norm!r}D AS norm, {array(repr(t) for t in needs(name)) if needs(name) else 'cast(array() as array<string>)'} AS needs, {pairs((t, w * idf[t]) for t, w in v)} AS v)" for i, (name, norm, v) in enumerate(templates)))
 
     def of(statement: Column) -> Column:
         terms = F.regexp_extract_all(statement, F.lit("[a-z0-9]+"), 0)
@@ -123,8 +147,15 @@ def _matches(statements: Column) -> Column:
         known = s["known"]
         count = lambda t: F.size(F.filter(known, lambda x: x == t)).cast("double")
         norm = F.sqrt(_total(F.filter(weights, lambda w: F.array_contains(known, w["t"])), lambda w: F.pow(count(w["t"]) * w["w"], 2)) + F.lit(other * other) * (s["n"] - F.size(known)))
-        cosines = F.transform(vectors, lambda v: F.struct(F.round(_total(v["v"], lambda w: count(w["t"]) * w["w"]) / (norm * v["norm"]), 6).alias("cosine"), v["i"].alias("order"), v["name"].alias("license"), s["n"].alias("words")))
-        return F.array_max(cosines)
+        apt = F.filter(vectors, lambda v: F.forall(v["needs"], lambda t: F.array_contains(known, t)))
+        cosines = F.transform(apt, lambda v: F.struct(F.round(_total(v["v"], lambda w: count(w["t"]) * w["w"]) / (norm * v["norm"]), 6).alias("cosine"), v["i"].alias("order"), v["name"].alias("license"), s["n"].alias("words")))
+
+        def with_rival(each: Column) -> Column:
+            top = F.array_max(each)
+            rival = F.array_max(F.transform(F.filter(each, lambda x: x["license"] != top["license"]), lambda x: x["cosine"]))
+            return F.struct(top["cosine"].alias("cosine"), top["order"].alias("order"), top["license"].alias("license"), top["words"].alias("words"), rival.alias("rival"))
+
+        return F.transform(F.array(cosines), with_rival)[0]
 
     return F.transform(F.filter(F.transform(statements, of), lambda s: F.size(s["known"]) > 0), best)
 
@@ -186,15 +217,15 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     statements = F.when(F.size("lines") > 1, F.concat("lines", F.array(F.concat_ws(" ", "lines")))).otherwise(F.col("lines"))
     rows = rows.select("doc_id", "path", "text", "low", "n_terms", F.when(F.col("lines").isNotNull(), _matches(statements)).alias("m"))
     top = F.array_max("m")
-    rows = rows.select("doc_id", "path", "text", "low", "n_terms", F.coalesce(top["cosine"], F.lit(0.0)).alias("cosine"), top["license"].alias("name"), top["words"].alias("words"))
-    # The second look is at texts with a cue only whose statements are like no template.
-    again = F.col("n_terms").isNotNull() & (F.col("cosine") < least_cosine)
-    rows = rows.withColumn("spdx", F.when(again, _identified(F.col("text"))))
-    rows = rows.withColumn("notice", F.when(again & F.col("spdx").isNull(), _noticed(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), 0), least_cosine)))
+    rows = rows.select("doc_id", "path", "text", "low", "n_terms", F.coalesce(top["cosine"], F.lit(0.0)).alias("cosine"), F.when(top["rival"] <= top["cosine"] - MARGIN, top["license"]).alias("name"), top["words"].alias("words"))
+    # The second look is at texts with a cue only that have no identifier and whose statements are like no one licence.
+    rows = rows.withColumn("spdx", F.when(F.col("n_terms").isNotNull(), _identified(F.col("text"))))
+    again = F.col("n_terms").isNotNull() & F.col("spdx").isNull() & (F.col("name").isNull() | (F.col("cosine") < least_cosine))
+    rows = rows.withColumn("notice", F.when(again, _noticed(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), 0), least_cosine)))
     rows = rows.select("doc_id", "path", "n_terms", F.when(F.col("spdx").isNotNull(), 1.0).otherwise(F.coalesce("notice.cosine", "cosine")).alias("cosine"), F.coalesce("spdx", "notice.license", "name").alias("name"), F.coalesce("notice.words", "words").alias("words"))
     own = F.when(F.col("cosine") >= least_cosine, F.col("name"))
     named = F.coalesce(F.lower("path").rlike(FILE_NAMES), F.lit(False))
-    return rows.select("doc_id", "path", own.alias("own_license"), "cosine", (own.isNotNull() & (named | (2 * F.col("words") >= F.col("n_terms")))).alias("license_file"))
+    return rows.select("doc_id", "path", own.alias("own_license"), "cosine", (own.isNotNull() & (named | F.coalesce(2 * F.col("words") >= F.col("n_terms"), F.lit(False)))).alias("license_file"))
 
 
 def _parent(path: Column) -> Column:
@@ -223,6 +254,8 @@ def licenses(docs: DataFrame, **options) -> DataFrame:
 
 
 def documents_with_paths(documents: DataFrame) -> DataFrame:
-    """``documents`` laid out as files: source / thousands of ids / hundreds of ids / id.txt."""
+    """``documents`` laid out as files: source / thousands of ids / hundreds of ids / id.txt; as they are if they have a path."""
+    if "path" in {c.lower() for c in documents.columns}:
+        return documents
     part = lambda n: F.floor(F.col("doc_id") / n).cast("string")
     return documents.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), part(1000), part(100), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))

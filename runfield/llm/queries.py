@@ -103,10 +103,10 @@ FROM fit WHERE k = 1
 """
 
 _L = license_scan
-_VALUES = ", ".join(f"({i}, '{name}', '{text.lower()}')" for i, (name, text) in enumerate(_L.TEMPLATES))
+_VALUES = ", ".join(f"({i}, '{name}', {_L.needs(name)!r}::VARCHAR[], '{text.lower()}')" for i, (name, text) in enumerate(_L.TEMPLATES))
 
 OP6_SQL = f"""
-WITH template(i, license, body) AS (VALUES {_VALUES}),
+WITH template(i, license, needs, body) AS (VALUES {_VALUES}),
 tterm AS (SELECT i, term, count(*) AS n FROM (SELECT i, unnest(regexp_extract_all(body, '[a-z0-9]+')) AS term FROM template) GROUP BY i, term),
 idf AS (SELECT term, ln((1 + {len(_L.TEMPLATES)}) / (1.0 + count(*))) + 1 AS w FROM tterm GROUP BY term),
 tvec AS (SELECT i, term, n * w AS w FROM tterm JOIN idf USING (term)),
@@ -123,15 +123,23 @@ numbered AS (SELECT row_number() OVER () AS s, doc_id, regexp_extract_all(body,
 sterm AS (SELECT s, term, count(*) AS n FROM (SELECT s, unnest(terms) AS term FROM numbered) GROUP BY s, term),
 snorm AS (SELECT s, sqrt(sum(CASE WHEN w IS NULL THEN n * power(ln(1 + {len(_L.TEMPLATES)}) + 1, 2) ELSE power(n * w, 2) END)) AS norm FROM sterm LEFT JOIN idf USING (term) GROUP BY s),
 dots AS (SELECT s, v.i, sum(t.n * f.w * v.w) AS dot FROM sterm t JOIN idf f USING (term) JOIN tvec v USING (term) GROUP BY s, v.i),
-ranked AS (
-  SELECT n.doc_id, round(d.dot / (a.norm * b.norm), 6) AS cosine, p.license, len(n.terms) AS words,
-    row_number() OVER (PARTITION BY n.doc_id ORDER BY round(d.dot / (a.norm * b.norm), 6) DESC, d.i, p.license DESC, len(n.terms) DESC) AS k
+scored AS (
+  SELECT n.doc_id, s, d.i, round(d.dot / (a.norm * b.norm), 6) AS cosine, p.license, len(n.terms) AS words
   FROM dots d JOIN snorm a USING (s) JOIN tnorm b ON b.i = d.i JOIN template p ON p.i = d.i JOIN numbered n USING (s)
+  WHERE list_has_all(n.terms, p.needs)
+),
+best AS (SELECT s, license, max(cosine) AS c FROM scored GROUP BY s, license),
+rivals AS (SELECT a.s, a.license, coalesce(max(b.c), 0.0) AS rival FROM best a LEFT JOIN best b ON a.s = b.s AND a.license <> b.license GROUP BY a.s, a.license),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, i, license DESC, words DESC, rival DESC) AS k FROM scored JOIN rivals USING (s, license)
 ),
+spdx AS (SELECT doc_id, coalesce(m.name, w) AS name FROM (SELECT doc_id, regexp_extract(text, '{_L.IDENTIFIER}', 1) AS w FROM documents WHERE regexp_matches(text, '{_L.IDENTIFIER}'))
+  LEFT JOIN (VALUES {", ".join(f"('{a}', '{b}')" for a, b in sorted(_L.SPDX.items()))}) m(id, name) ON m.id = lower(w)),
 own AS (
-  SELECT d.doc_id, d.path, d.dir, coalesce(r.cosine, 0.0) AS cosine, CASE WHEN r.cosine >= {_L.LEAST_COSINE} THEN r.license END AS own_license,
-    coalesce(r.cosine >= {_L.LEAST_COSINE} AND 2 * r.words >= len(regexp_extract_all(d.low, '[a-z0-9]+')), false) AS license_file
-  FROM doc d LEFT JOIN ranked r ON r.doc_id = d.doc_id AND r.k = 1
+  SELECT *, coalesce(own_license IS NOT NULL AND 2 * words >= n_terms, false) AS license_file FROM (
+  SELECT d.doc_id, d.path, d.dir, CASE WHEN x.name IS NOT NULL THEN 1.0 ELSE coalesce(r.cosine, 0.0) END AS cosine,
+    coalesce(x.name, CASE WHEN r.cosine >= {_L.LEAST_COSINE} AND r.rival <= r.cosine - {_L.MARGIN} THEN r.license END) AS own_license, r.words, len(regexp_extract_all(d.low, '[a-z0-9]+')) AS n_terms
+  FROM doc d LEFT JOIN ranked r ON r.doc_id = d.doc_id AND r.k = 1 LEFT JOIN spdx x ON x.doc_id = d.doc_id)
 ),
 licensed AS (SELECT dir AS above, own_license AS dir_license FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path) AS k FROM own WHERE license_file) WHERE k = 1),
 climb AS (SELECT dir, dir AS above, 3 AS depth FROM (SELECT DISTINCT dir FROM own)

@@ -103,6 +103,45 @@ def test_notices_inside_lines_wrapped_and_spdx(spark):
     assert got[9]["license_file"] and got[12]["license_file"] and not got[8]["license_file"]
 
 
+FREE = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU {} as published by\nthe Free Software Foundation; either version {} of the License, or\n(at your option) any later version."
+
+
+def test_versions_and_variants_are_told_apart(spark):
+    by = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    texts = [
+        (FREE.format("General Public License", "2"), "GPL-2.0"), (FREE.format("General Public License", "3"), "GPL-3.0"),
+        (FREE.format("General Public License", "2").replace("\n", " "), "GPL-2.0"), (FREE.format("General Public License", "3").replace("\n", " "), "GPL-3.0"),
+        (FREE.format("Lesser General Public License", "2.1"), "LGPL-2.1"), (FREE.format("Lesser General Public License", "2.1").replace("\n", " "), "LGPL-2.1"),
+        (FREE.format("Lesser General Public License", "3"), "LGPL-3.0"), (FREE.format("Affero General Public License", "3").replace("\n", " "), "AGPL-3.0"),
+        (by.format(""), "CC-BY-4.0"), (by.format("-ShareAlike"), "CC-BY-SA-4.0"), (by.format("-NonCommercial-NoDerivatives"), "CC-BY-NC-ND-4.0"),
+        ("Licensed under CC BY-ND 4.0", "CC-BY-ND-4.0"), ("Licensed under CC BY 4.0", "CC-BY-4.0"),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/", "Apache-2.0"),
+        ("Copyright (c) 2024, Someone\nAll rights reserved.\n// SPDX-License-Identifier: MIT", "MIT"),
+        ("This work is licensed under the GNU General Public License", None),
+    ]
+    docs = spark.createDataFrame([(i, t, f"d/{i}.txt") for i, (t, _) in enumerate(texts)], "doc_id long, text string, path string")
+    got = {r["doc_id"]: r["own_license"] for r in L.scanned(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for _, name in texts]
+
+
+def test_many_licensed_directories(spark):
+    names = ["MIT", "Apache-2.0", "GPL-2.0"]
+    rows, want = [], {}
+    for d in range(60):
+        if d % 3:
+            rows.append((10_000 + d, f"SPDX-License-Identifier: {names[d % 3]}", f"top/{d}/LICENSE"))
+        for k in range(5):
+            rows.append((d * 10 + k, helpers.prose(20, k), f"top/{d}/a/b{k}/file.txt"))
+            want[d * 10 + k] = (names[d % 3], f"top/{d}") if d % 3 else (None, None)
+    got = {r["doc_id"]: (r["license"], r["license_dir"]) for r in L.licenses(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    assert {k: got[k] for k in want} == want
+
+
+def test_a_path_of_the_input_is_kept(spark):
+    docs = spark.createDataFrame([(1, "x", "own/path.txt")], "doc_id long, text string, path string")
+    assert L.documents_with_paths(docs).first()["path"] == "own/path.txt"
+
+
 def test_license_odd_rows(spark):
     for docs in (helpers.odd(spark), helpers.none(spark)):
         assert L.licenses(L.documents_with_paths(docs)).count() == docs.count()
