@@ -89,10 +89,16 @@ def _placed(sizes: DataFrame, buckets: DataFrame, step: int) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, step: int = STEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns as Parquet at ``path``, a folder ``_shard=<bits>`` for each shard; returns the placement.
 
-    Rows are shuffled once, by shard; a shard is at most ``limit`` bytes of text, so no task holds more than a few.
+    Rows are shuffled once, by shard; a shard is at most ``limit`` bytes of text, so no task holds more than a few. Where
+    ``docs`` has a column ``_shard`` of its own, that of the folders is named with one more ``_`` at its end, or as many as
+    it takes.
     """
     placed = shards(docs, limit, step, id_col, text_col)
-    which = placed.select(F.col("doc_id").alias("_id"), F.concat(F.lit("b"), "shard").alias("_shard")).distinct()
-    out = docs.join(which, docs[id_col].cast("long").eqNullSafe(which["_id"])).drop("_id")
-    out.repartition("_shard").sortWithinPartitions("_shard").write.partitionBy("_shard").parquet(path)
+    which = placed.select(F.struct(F.col("doc_id").alias("id"), F.concat(F.lit("b"), "shard").alias("shard")).alias("w")).distinct()
+    name = "_shard"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    one = docs.select(F.struct("*").alias("d"), F.col(id_col).cast("long").alias("k"))
+    out = one.join(which, F.col("k").eqNullSafe(F.col("w.id"))).select("d.*", F.col("w.shard").alias(name))
+    out.repartition(name).sortWithinPartitions(name).write.partitionBy(name).parquet(path)
     return placed

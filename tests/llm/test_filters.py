@@ -112,6 +112,47 @@ def test_features_count_tokens_pairs_and_triples():
     assert (bucket[row == 2] == 1001).sum() == 6 and (bucket[row == 0] >= 1000).sum() == 3 and not (bucket[row == 0] == 1001).any()
 
 
+def test_weights_equal_plain_ones(spark):
+    """log(target / raw) and its sum over a document, counted once more without arrays."""
+    import math
+    from collections import Counter
+
+    from runfield.llm import textops
+
+    texts = {1: "a b c, a b c, a b c", 2: "good plain words here", 3: "other words, here and there", 4: None, 5: "a b"}
+    labels = spark.createDataFrame([(2, 1), (3, 1), (1, 0), (99, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["log_weight"] for r in C.scored(docs, labels, buckets=50).collect()}
+
+    def key(text):
+        raw = text.encode()
+        return int(textops.span_hashes(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))[0])
+
+    def grams(text):
+        tokens = [key(t.decode()) for t in plain_features(text or "")]
+        out = [t % 50 for t in tokens]
+        out += [int(textops.windows(np.array(tokens[k : k + 2], np.uint64), 2)[0]) % 50 for k in range(len(tokens) - 1)]
+        seen, fresh = set(), []
+        for k in range(len(tokens) - 2):
+            fresh.append(tuple(tokens[k : k + 3]) not in seen)
+            seen.add(tuple(tokens[k : k + 3]))
+        repeats = fresh.count(False) > C.REPEATS * len(fresh)
+        return out + [50 if f or not repeats else 51 for f in fresh]
+
+    raw, target = Counter({b: C.ALPHA for b in range(52)}), Counter()
+    for i, t in texts.items():
+        for b in grams(t):
+            raw[b] += 1
+            target[b] += i in (2, 3)
+
+    def weight(b):
+        part = range(50) if b < 50 else range(50, 52)
+        share = raw[b] / sum(raw[x] for x in part)
+        return math.log((target[b] + C.PRIOR * share) / (sum(target[x] for x in part) + C.PRIOR) / share)
+
+    assert all(abs(got[i] - sum(map(weight, grams(t)))) < 1e-9 for i, t in texts.items()) and got[4] == 0
+
+
 def test_classifier_keeps_good_and_drops_bad(spark):
     docs, labels = helpers.table(spark, "documents", "sf0.01"), helpers.table(spark, "labels", "sf0.01")
     got = C.resampled(docs, labels).join(labels, "doc_id").toPandas()

@@ -49,6 +49,11 @@ def test_written_shards_hold_all_rows(spark, tmp_path):
     X.write_shards(docs, f"file://{tmp_path}/out", 100_000)
     back = spark.read.parquet(f"file://{tmp_path}/out")
     assert back.count() == docs.count() and set(docs.columns) < set(back.columns)
+    clash = docs.selectExpr("*", "doc_id AS _id", "'mine' AS _shard", "1 AS d", "2 AS w")
+    X.write_shards(clash, f"file://{tmp_path}/clash", 100_000)
+    back = spark.read.parquet(f"file://{tmp_path}/clash")
+    assert set(back.columns) == {*clash.columns, "_shard_"} and {r["_shard"] for r in back.collect()} == {"mine"}
+    assert back.where("_id <=> doc_id").count() == docs.count()
 
 
 def test_statements_and_inheritance(spark):
