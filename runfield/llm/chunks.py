@@ -27,6 +27,8 @@ LONGEST = 64
 _MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 #: Letters below are Latin and older than any vocabulary; all of them are composed, and no mark among them joins another.
 _LATIN = "\u0250"
+#: A chunk of letters, a blank before them or not, and marks after them. Each of these letters is one when lowered, too.
+_PLAIN = rf"^(?P<letters> ?[A-Za-zÀ-ÖØ-öø-įĲ-ſ]+)(?P<marks>[{re.escape(_MARKS)}]*)$"
 #: A place before white space, after anything else.
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?=\s)")
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -63,6 +65,16 @@ def plain_pieces(chunk: str) -> tuple[str, ...]:
     return (letters, chunk[at:]) if at < len(chunk) else (chunk,)
 
 
+def split_plain(chunks: pa.Array, lower: bool = False) -> tuple[list[str | None], list[str | None]]:
+    """Letters and marks of each chunk, as ``plain_pieces`` has them, by Arrow; None for chunks that it doesn't know to be plain.
+
+    ``lower``: letters are lowered, after the chunk as it is was found to be plain, as other letters may become Latin ones.
+    """
+    found = pc.extract_regex(chunks, _PLAIN)
+    letters, marks = (pc.if_else(found.is_valid(), found.field(name), None) for name in ("letters", "marks"))
+    return tuple(x.to_numpy(zero_copy_only=False).tolist() for x in (pc.utf8_lower(letters) if lower else letters, marks))
+
+
 def distinct_chunks(texts: pa.Array, cutter: Cutter, special: list[str]) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
     """For blocks of rows: first row, row after the last, distinct chunks, each chunk's number among them, first chunk of each row with the end.
 
@@ -86,9 +98,9 @@ def distinct_chunks(texts: pa.Array, cutter: Cutter, special: list[str]) -> Iter
 
 
 class Remembered:
-    """What ``make`` gives for chunks, bytes of unsigned 32-bit integers each. Bounded by bytes: beyond, only the last block's stay."""
+    """What ``make`` gives for new chunks, bytes of unsigned 32-bit integers each. Bounded by bytes: beyond, only the last block's stay."""
 
-    def __init__(self, make: Callable[[str], bytes], most: int = REMEMBERED):
+    def __init__(self, make: Callable[[pa.Array], list[bytes]], most: int = REMEMBERED):
         self.make, self.most = make, most
         self._forget()
 
@@ -99,7 +111,7 @@ class Remembered:
         """values, and for each of the distinct ``chunks`` where its own start there and how many there are."""
         at = pc.index_in(chunks, value_set=self.keys)
         new = chunks.filter(pc.is_null(at))
-        made = [self.make(x) for x in new.to_pylist()]
+        made = self.make(new)
         place = pc.fill_null(at, -1).to_numpy(zero_copy_only=False)
         place = np.where(place < 0, len(self.keys) - 1 + np.cumsum(place < 0), place)
         self.size = np.concatenate((self.size, np.fromiter(map(len, made), np.int32, len(made)) // 4))

@@ -12,14 +12,16 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-from runfield.llm.chunks import BYTE_LEVEL, WORDS, Cutter, Recent, Remembered, distinct_chunks, gathered, plain_pieces
+from runfield.llm.chunks import BYTE_LEVEL, WORDS, Cutter, Recent, Remembered, distinct_chunks, gathered, plain_pieces, split_plain
 from runfield.llm.common import kept, tokenizer_path
 from runfield.llm.token_counts import PATTERN, byte_alphabet
 
@@ -65,13 +67,24 @@ class Encoder:
         self.cut, pattern = _cutter(spec) or (None, "")
         self.split = regex.compile(pattern).findall
         self.alphabet = dict(enumerate(byte_alphabet()))
-        self.known, self.pieces = Remembered(self._chunk), Recent(CACHED, self._piece)
+        self.known, self.pieces = Remembered(self._chunks), Recent(CACHED, self._piece)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _chunks(self, chunks: pa.Array) -> list[bytes]:
+        if self.cut is None:
+            return [self._whole(x) for x in chunks.to_pylist()]
+        letters, marks = split_plain(chunks, lower=bool(self.normalizer))
+        pieces, texts = self.pieces, chunks.to_numpy(zero_copy_only=False).tolist()
+        if self.special:
+            special = pc.match_substring_regex(chunks, "|".join(map(re.escape, self.special)))
+            for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+                letters[i] = None
+        return [self._chunk(x) if a is None else pieces[a] + pieces[b] if b else pieces[a] for x, a, b in zip(texts, letters, marks, strict=True)]
+
     def _chunk(self, chunk: str) -> bytes:
-        if self.cut is None or self.has_special(chunk):
+        if self.has_special(chunk):
             return self._whole(chunk)
         plain = plain_pieces(chunk.lower() if self.normalizer else chunk)
         if not plain:
@@ -79,7 +92,9 @@ class Encoder:
         return b"".join([self.pieces[x] for x in plain])
 
     def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.alphabet))]
+        # of printable ASCII, the alphabet changes the blank only
+        shown = piece.replace(" ", self.alphabet[32]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.merge(shown)]
         return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def encoded(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

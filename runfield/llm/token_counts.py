@@ -61,7 +61,7 @@ class PairMerger:
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.pattern = regex.compile(PATTERN)
-        self.known, self.pieces = Remembered(lambda chunk: self.of_chunk(chunk).to_bytes(4, "little")), Recent(CACHED, lambda piece: self.merged(piece.encode()))
+        self.known, self.pieces = Remembered(lambda chunks: [self.of_chunk(x).to_bytes(4, "little") for x in chunks.to_numpy(zero_copy_only=False).tolist()]), Recent(CACHED, lambda piece: self.merged(piece.encode()))
 
     def merged(self, piece: bytes) -> int:
         """Tokens of one pre-token."""
