@@ -191,3 +191,68 @@ def test_differences_of_images(spark):
     assert validate.compared(a, a).first()["equal"] and not validate.compared(a, b).first()["equal"]
     assert relabel.rendered(a).first()["line"] == " 1  2"
     assert {r["label"]: r["n"] for r in relabel.histogram(a.where("label = 2"), Dims(2, 1)).collect()} == {0: 1, 1: 0, 2: 1}
+
+
+def plain_roots(pairs):
+    """For each vertex, the least that it is joined to: a flood over neighbours."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    out = {}
+    for start in sorted(near):
+        stack = [start]
+        while stack:
+            v = stack.pop()
+            if v not in out:
+                out[v] = start
+                stack += near[v]
+    return out
+
+
+def connected_of(spark, pairs, finish, rounds=None):
+    import pandas as pd
+
+    edges = spark.createDataFrame(pd.DataFrame(pairs, columns=["a", "b"]))
+    return {r["v"]: r["root"] for r in components.connected(edges, finish, rounds).collect()}
+
+
+@pytest.mark.parametrize(("length", "most"), [(300, 20), (3000, 25), (100_000, 40)])
+def test_chains_in_random_order_settle(spark, length, most):
+    names = list(range(1, length + 1))
+    random.Random(length).shuffle(names)
+    rounds = []
+    found = connected_of(spark, list(zip(names, names[1:])), max(4, length // 1000), rounds)
+    assert found == dict.fromkeys(names, 1)
+    print(length, rounds)
+    assert 0 < len(rounds) <= most
+
+
+@pytest.mark.parametrize("finish", [0, 5, 10_000])
+def test_components_of_odd_graphs(spark, finish):
+    draw = random.Random(7)
+    two_minima = [(1, 50), (50, 51), (51, 52), (52, 53), (53, 2)]
+    star = [(500, x) for x in range(501, 700)] + [(x, 499) for x in range(700, 720)]
+    ascending = [(x, x + 1) for x in range(1000, 1100)]
+    alone = [(2000 + 2 * x, 2001 + 2 * x) for x in range(40)]
+    scattered = [(draw.randrange(3000, 3300), draw.randrange(3000, 3300)) for _ in range(160)]
+    pairs = two_minima + star + ascending + alone + scattered + two_minima
+    pairs = [(a, b) if draw.random() < 0.5 else (b, a) for a, b in pairs]
+    found = connected_of(spark, pairs, finish)
+    assert found == plain_roots([(a, b) for a, b in pairs if a != b])
+
+
+def test_components_of_no_edges(spark):
+    assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.connected(spark.createDataFrame([(3, 3)], "a long, b long"), 0).count() == 0
+
+
+def test_a_long_grid_of_small_blocks(spark):
+    # a U of 200 slices: both arms begin in the first slice and meet in the last; a block holds one slice
+    cells = [(z, 0, x) for z in range(200) for x in (0, 4)] + [(199, 0, x) for x in range(5)]
+    seg = rle.segments(voxels(spark, sorted(set(cells))))
+    rounds = []
+    links = unify.contacts(seg)
+    found = components.roots(seg.select("seg_id"), links, block=2, finish=8, rounds=rounds).collect()
+    assert {r["root"] for r in found} == {1} and len(found) == 399
+    assert 0 < len(rounds) <= 20
