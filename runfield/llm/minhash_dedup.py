@@ -25,11 +25,11 @@ Steps, each written to the shared folder:
 5. Components again, over all links.
 
 Scale: texts are read twice (the second time only candidates' shingles are kept). Groups of copies are collapsed by
-partial aggregation. Where a bucket or a group of copies meets what is known of it as a whole, that is one row on the other
-side of a join with nothing after it but a write or an exchange, so a skew join splits it however large it is; sizes of
-buckets are sums of sizes by component. Sets of shingles travel once for each block. Components come from min-label
-propagation with shortcuts on links only, whose number is that of linked texts. A text is hashed in sections, but its
-distinct shingles are held at once: 8 bytes for each word.
+partial aggregation. Where a bucket or a group of copies meets what is known of it as a whole, that is one row of a written
+table on the other side of a join, with nothing after it but a write or an exchange, so a skew join splits it however large
+it is; sizes of buckets are sums of sizes by component. Sets of shingles travel once for each block. Components come from
+contraction of links only, whose number is that of linked texts; its rounds grow with their logarithm, however long a chain
+of versions is. A text is hashed in sections, but its distinct shingles are held at once: 8 bytes for each word.
 
 Defined cases: null and wordless texts belong to no group (class_id = doc_id, unless another row of the id has words); rows with a null doc_id are left out, as
 no row could name them; repeated rows and ids are one document, whose texts, if they differ, are all its own; an empty
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from runfield.llm import textops
 from runfield.llm.common import id_and_text, map_batches
-from runfield.operators.components import propagated
+from runfield.operators.components import connected
 from runfield.sources.shared import written
 
 SHINGLE = 5
@@ -171,7 +171,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def components(links: DataFrame) -> DataFrame:
     """doc_id, class_id for every doc_id in ``links`` (a, b): the least doc_id that it is joined to."""
-    return propagated(links).select(F.col("v").alias("doc_id"), F.col("root").alias("class_id"))
+    return connected(links).select(F.col("v").alias("doc_id"), F.col("root").alias("class_id"))
 
 
 def _met(bucket_rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -202,6 +202,15 @@ def _met(bucket_rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return dealt.groupBy("key", "q", "t").applyInArrow(work, "a long, b long")
 
 
+def in_buckets(keyed: DataFrame) -> DataFrame:
+    """key, doc_id, hub (the least doc_id of the key), n (its rows): rows of ``keyed`` (key, doc_id) whose key has several.
+
+    Buckets are written, so that both sides of the join are exchanges and a skew join splits a hot key.
+    """
+    buckets = written(keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    return keyed.join(buckets, "key")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the least doc_id of its group): a row for each distinct doc_id."""
     source = id_and_text(docs, id_col, text_col)
@@ -210,8 +219,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     # One row for each distinct text, under the least doc_id that has it.
     texts = written(worded.groupBy("fp1", "fp2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep")), "distinct-texts")
     keyed = written(texts.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key")).distinct(), "band-keys")
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    shared = written(keyed.join(buckets, "key"), "buckets")
+    shared = written(in_buckets(keyed), "shared-buckets")
     sets = written(shingle_sets(source, shared.select("doc_id").distinct()).dropDuplicates(["doc_id", "shingles"]), "shingle-sets")
     # First round: a hub is the one query of all texts that share a bucket of its.
     members = written(shared.where("doc_id <> hub").select(F.col("hub").alias("key"), "doc_id").distinct(), "members")
