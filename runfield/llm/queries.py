@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runfield.llm import decontaminate, extendible_sharding, language_id, license_scan, minhash_dedup, packing, quality_classifier, quality_rules, token_counts, wavelet_shards
+from runfield.llm import decontaminate, exact_dedup, extendible_sharding, fill_in_middle, language_id, license_scan, minhash_dedup, packing, quality_classifier, quality_rules, source_divergence, token_counts, wavelet_shards
 from runfield.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digested(fill_in_middle.transformed(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_wavelet_shards": op2_wavelet_shards,
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -200,4 +215,54 @@ base AS (
 SELECT *, NOT base_failed AND 100 * lost_words <= {_R.MOST_LOST} * n_words AS kept FROM base
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_minhash_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_license_scan": OP6_SQL, "op9_quality_rules": OP9_SQL, "op10_sharding": OP10_SQL}
+_D = source_divergence
+_TERMS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_P = f"CAST(1 + (CAST({_D.SCALE} AS HUGEINT) * ({{n}} + 1)) // ({{total}} + terms) AS BIGINT)"
+
+OP11_SQL = f"""
+WITH doc AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS w FROM documents),
+tok AS (SELECT r, lang, source, unnest(w) AS term FROM doc),
+kept AS (SELECT lang, term, count(*) AS in_lang FROM tok GROUP BY lang, term HAVING count(DISTINCT r) >= {_D.LEAST_DOCS}),
+n AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY lang, source, term),
+whole AS (SELECT lang, count(*) AS terms, sum(in_lang) AS lang_total FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+total AS (SELECT lang, source, sum(n) AS total FROM n GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, {_P.format(n="coalesce(n.n, 0)", total="coalesce(t.total, 0)")} AS p, {_P.format(n="k.in_lang", total="lang_total")} AS q
+  FROM grp g JOIN kept k USING (lang) JOIN whole w USING (lang) LEFT JOIN total t ON t.lang = g.lang AND t.source = g.source LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term
+),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+rows AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM grp x JOIN grp y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN apart a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q
+)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows) WHERE part = 'pair' OR rank <= {_D.TOP}
+"""
+
+OP12_SQL = r"""
+WITH doc AS (SELECT doc_id, row_number() OVER () AS r, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
+FROM doc WINDOW w AS (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST, r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+"""
+
+_F = fill_in_middle
+
+OP13_SQL = rf"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('{_F.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+drawn AS (SELECT *, len(u) AS n, {", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))} FROM doc),
+formed AS (
+  SELECT *, CASE WHEN text = '' OR contains(text, '{_F.PREFIX}') OR contains(text, '{_F.SUFFIX}') OR contains(text, '{_F.MIDDLE}') OR h3 % 100 >= {_F.RATE} THEN 'plain' WHEN h4 % 100 < {_F.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form,
+    least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM drawn
+),
+cut AS (SELECT *, array_to_string(list_slice(u, 1, a), '') AS prefix, array_to_string(list_slice(u, a + 1, b), '') AS middle, array_to_string(list_slice(u, b + 1, n), '') AS suffix FROM formed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '{_F.PREFIX}' || prefix || '{_F.SUFFIX}' || suffix || '{_F.MIDDLE}' || middle WHEN 'spm' THEN '{_F.SUFFIX}' || suffix || '{_F.PREFIX}' || prefix || '{_F.MIDDLE}' || middle ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_minhash_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_license_scan": OP6_SQL, "op9_quality_rules": OP9_SQL, "op10_sharding": OP10_SQL,
+    "op11_source_divergence": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_fill_in_middle": OP13_SQL,
+}
