@@ -7,9 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runfield.operators.rle import ROWS, numbered
+from runfield.sources.shared import written
+
 SUMS = ("S", "Sx", "Sy", "Sz")
 LOWS = ("lo_col", "lo_row", "lo_slice")
 HIGHS = ("hi_col", "hi_row", "hi_slice")
+#: Place of a part's first run in raster order.
+FIRST = ("first_slice", "first_row", "first_x0")
 
 
 @dataclass(frozen=True)
@@ -33,7 +38,8 @@ def _run_values() -> dict[str, Column]:
     }
 
 
-def _folded(rows: DataFrame, keys: list[str], config: FeatureConfig = FeatureConfig()) -> DataFrame:
+def folded(rows: DataFrame, keys: list[str], config: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """Partial features added up by ``keys``."""
     how = {c: F.sum for c in SUMS} | {c: F.min for c in LOWS} | {c: F.max for c in HIGHS}
     kind = lambda c: "long" if c in SUMS else "int"
     return rows.groupBy(*keys).agg(*(how[c](c).cast(kind(c)).alias(c) for c in config.columns))
@@ -42,7 +48,7 @@ def _folded(rows: DataFrame, keys: list[str], config: FeatureConfig = FeatureCon
 def of_runs(labelled: DataFrame, config: FeatureConfig = FeatureConfig(), keys: tuple[str, ...] = ("label",)) -> DataFrame:
     """Features by label (and other keys) from runs; ``lo_*`` are inclusive and ``hi_*`` exclusive bounds."""
     values = _run_values()
-    return _folded(labelled.select(*keys, *(values[c].alias(c) for c in config.columns)), list(keys), config)
+    return folded(labelled.select(*keys, *(values[c].alias(c) for c in config.columns)), list(keys), config)
 
 
 def of_runs_2d(labelled: DataFrame) -> DataFrame:
@@ -76,7 +82,19 @@ def by_row(labelled: DataFrame) -> DataFrame:
 
 def merged(partial: DataFrame, names: DataFrame) -> DataFrame:
     """Features of ``partial`` (label and features) folded together under ``names`` (label, into)."""
-    return _folded(partial.join(names, "label").drop("label").withColumnRenamed("into", "label"), ["label"])
+    return folded(partial.join(names, "label").drop("label").withColumnRenamed("into", "label"), ["label"])
+
+
+def of_parts(parts: DataFrame, names: DataFrame) -> DataFrame:
+    """Features by label from partial ones: ``parts`` (comp, features, FIRST: place of its first run), ``names`` (comp, root).
+
+    A comp without a name is its own root. Labels are numbered in raster order of components' first runs.
+    """
+    rooted = parts.join(names.select("comp", "root"), "comp", "left").withColumn("root", F.coalesce("root", "comp"))
+    rooted = written(rooted.select("root", *FIRST, *FeatureConfig().columns), "rooted-parts")
+    starts = rooted.groupBy("root").agg(F.min(F.struct(*FIRST)).alias("f")).select("root", F.col("f.first_slice").alias("slice"), F.col("f.first_row").alias("row"), F.col("f.first_x0").alias("x0"))
+    labels = numbered(starts, ["slice", "row"], ["x0"], F.floor(F.col("row") / ROWS), "label").select("root", "label")
+    return folded(rooted, ["root"]).join(labels, "root").select("label", *FeatureConfig().columns)
 
 
 def normalized(features: DataFrame, names: DataFrame) -> DataFrame:

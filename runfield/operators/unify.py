@@ -16,6 +16,8 @@ ABOVE, BACK, BACK_ABOVE, BACK_BELOW = (0, -1), (-1, 0), (-1, -1), (-1, 1)
 OFFSETS = (ABOVE, BACK, BACK_ABOVE, BACK_BELOW)
 #: Columns of a tile. Runs meet by tile, so a row of very many runs isn't joined with all of its neighbour row.
 TILE = 256
+#: Columns of a tile of the dense image, whose cells one task holds as an array.
+CELLS = 4096
 
 
 def _tiled(intervals: DataFrame) -> DataFrame:
@@ -24,19 +26,30 @@ def _tiled(intervals: DataFrame) -> DataFrame:
     return intervals.withColumn("tile", F.explode(F.sequence(tile("x0"), tile("x1"))))
 
 
+def asking(a: DataFrame, offsets: Sequence[tuple[int, int]], keep: list[str]) -> DataFrame:
+    """Intervals of ``a`` under each (s, r, tile) that they look at; columns kept are named a_, ``o`` is the offset (dz, dy)."""
+    steps = F.array(*(F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy")) for dz, dy in offsets))
+    each = a.select(*(F.col(c).alias(f"a_{c}") for c in dict.fromkeys(["x0", "x1", *keep])), "slice", "row", "x0", "x1", F.explode(steps).alias("o"))
+    return _tiled(each.select("*", (F.col("slice") + F.col("o.dz")).alias("s"), (F.col("row") + F.col("o.dy")).alias("r"))).drop("slice", "row", "x0", "x1")
+
+
+def asked(b: DataFrame, keep: list[str]) -> DataFrame:
+    """Intervals of ``b`` under each (s, r, tile) that they lie in; columns kept are named b_."""
+    return _tiled(b.select(*(F.col(c).alias(f"b_{c}") for c in dict.fromkeys(["x0", "x1", *keep])), "x0", "x1", F.col("slice").alias("s"), F.col("row").alias("r"))).drop("x0", "x1")
+
+
+def banded(met: DataFrame) -> DataFrame:
+    """Those of the pairs of ``asking`` and ``asked`` that touch, each in the one tile that holds the greater of the two starts."""
+    band = (F.col("a_x1") >= F.col("b_x0")) & (F.col("b_x1") >= F.col("a_x0"))
+    return met.where(band & (F.floor(F.greatest("a_x0", "b_x0") / TILE) == F.col("tile")))
+
+
 def touching(a: DataFrame, b: DataFrame, offsets: Sequence[tuple[int, int]], keep_a: list[str], keep_b: list[str]) -> DataFrame:
     """Pairs of intervals (slice, row, x0, x1) that touch, b standing at one of the offsets from a.
 
-    An equality join on (slice, row, tile); a pair is taken in the one tile that holds the greater of the two starts. The
-    columns kept are named a_ and b_; ``o`` is the offset (dz, dy).
+    An equality join on (slice, row, tile). The columns kept are named a_ and b_; ``o`` is the offset (dz, dy).
     """
-    steps = F.array(*(F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy")) for dz, dy in offsets))
-    asking = a.select(*(F.col(c).alias(f"a_{c}") for c in {"x0", "x1", *keep_a}), "slice", "row", "x0", "x1", F.explode(steps).alias("o"))
-    asking = _tiled(asking.select("*", (F.col("slice") + F.col("o.dz")).alias("s"), (F.col("row") + F.col("o.dy")).alias("r"))).drop("slice", "row", "x0", "x1")
-    asked = _tiled(b.select(*(F.col(c).alias(f"b_{c}") for c in {"x0", "x1", *keep_b}), "x0", "x1", F.col("slice").alias("s"), F.col("row").alias("r"))).drop("x0", "x1")
-    met = asking.join(asked, ["s", "r", "tile"])
-    band = (F.col("a_x1") >= F.col("b_x0")) & (F.col("b_x1") >= F.col("a_x0"))
-    return met.where(band & (F.floor(F.greatest("a_x0", "b_x0") / TILE) == F.col("tile")))
+    return banded(asking(a, offsets, keep_a).join(asked(b, keep_b), ["s", "r", "tile"]))
 
 
 def contacts(seg: DataFrame, offsets: Sequence[tuple[int, int]] = OFFSETS) -> DataFrame:
@@ -48,18 +61,27 @@ def contacts_by_position(seg: DataFrame, er: DataFrame) -> DataFrame:
     """The same contacts by equality joins only, through the relative labels of the neighbour row.
 
     ``er`` holds every cell of every row. The runs that a run touches are those numbered from that at column x0 - 1 (or the
-    next, if that is background) to that at column x1 (or the one before). Rows of labels meet runs by (slice, row): cells
-    are gathered where the running count of their row left them and take no part in a join.
+    next, if that is background) to that at column x1 (or the one before). Labels meet runs by (slice, row, tile of CELLS
+    columns): cells are gathered where the running count of their row left them, and a task holds those of a tile at most.
     """
-    rows = er.groupBy("slice", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "er"))), lambda x: x["er"]).alias("ers"))
+    tile = lambda c: F.floor(F.col(c) / CELLS).cast("int")
+    # a tile ends with the first cell of the next, so that the cell after a run's last one is in the last one's tile
+    own = F.array(tile("col"))
+    shared = F.when((F.col("col") % CELLS == 0) & (F.col("col") > 0), F.array(tile("col"), tile("col") - 1)).otherwise(own)
+    cells = er.select("slice", "row", "col", "er", F.explode(shared).alias("tile"))
+    rows = cells.groupBy("slice", "row", "tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "er"))), lambda x: x["er"]).alias("ers"))
     steps = F.array(*(F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy")) for dz, dy in OFFSETS))
-    asking = seg.select("seg_id", "x0", "x1", "slice", "row", F.explode(steps).alias("o")).select("seg_id", (F.col("x0") - 1).alias("lo"), F.col("x1").alias("hi"), (F.col("slice") + F.col("o.dz")).alias("slice"), (F.col("row") + F.col("o.dy")).alias("row"))
+    runs = seg.select("seg_id", (F.col("x0") - 1).alias("lo"), (F.col("x1") - 1).alias("hi"), "slice", "row", F.explode(steps).alias("o"))
+    asking = runs.select("seg_id", "lo", "hi", (F.col("slice") + F.col("o.dz")).alias("slice"), (F.col("row") + F.col("o.dy")).alias("row"))
+    asking = asking.withColumn("tile", F.explode(F.array_distinct(F.array(tile("hi"), F.greatest(tile("lo"), F.lit(0))))))
     even = lambda c: F.col(c) % 2 == 0
+    at = lambda c: F.try_element_at("ers", F.col(c) - F.col("tile") * CELLS + 1)
     # column -1 has no edge before it; column width has all of the row's, and the end of a run that reaches it
     last = F.element_at("ers", -1)
-    er0 = F.when(F.col("lo") < 0, F.lit(0).cast("long")).otherwise(F.try_element_at("ers", F.col("lo") + 1))
-    er1 = F.coalesce(F.try_element_at("ers", F.col("hi") + 1), last + last % 2)
-    seen = asking.join(rows, ["slice", "row"]).select("seg_id", "slice", "row", er0.alias("er0"), er1.alias("er1"))
+    er0 = F.when(F.col("lo") < 0, F.lit(0).cast("long")).when(tile("lo") == F.col("tile"), at("lo"))
+    er1 = F.when(tile("hi") == F.col("tile"), F.coalesce(F.try_element_at("ers", F.col("hi") - F.col("tile") * CELLS + 2), last + last % 2))
+    seen = asking.join(rows, ["slice", "row", "tile"]).select("seg_id", "slice", "row", er0.alias("er0"), er1.alias("er1"))
+    seen = seen.groupBy("seg_id", "slice", "row").agg(F.max("er0").alias("er0"), F.max("er1").alias("er1"))
     first = F.when(even("er0"), F.col("er0") + 1).otherwise(F.col("er0"))
     final = F.when(even("er1"), F.col("er1") - 1).otherwise(F.col("er1"))
     each = seen.withColumn("f", first).withColumn("t", final).where("f <= t").select("seg_id", "slice", "row", F.explode(F.expr("sequence(f, t, 2L)")).alias("er"))

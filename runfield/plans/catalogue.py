@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runfield.functions import scalars
-from runfield.operators import components, features, relabel, rle, unify, validate
+from runfield.operators import bitrows, boxes, components, features, relabel, rle, sweep, unify, validate
+from runfield.operators.stored import StoredRuns
 from runfield.plans import oracle as o
 from runfield.plans import pipeline
-from runfield.sources import volumes
-from runfield.sources.shared import written
+from runfield.plans.growing import GrowingVolume
+from runfield.sources import raw, volumes
+from runfield.sources.shared import new_path, written
 from runfield.sources.volumes import Dims, table
+from runfield.streaming import rows as arriving
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -165,17 +168,42 @@ def fn_round_up(spark, sf_dir):
 @query("""WITH d AS (SELECT event_type, t, CAST(count(CASE WHEN value > t THEN 1 END) AS DOUBLE) / count(*) AS density FROM events, (SELECT unnest(range(0, 200, 5)) AS t) GROUP BY event_type, t)
 SELECT event_type, CAST(t AS INTEGER) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY abs(density - 0.5), t) AS k FROM d) WHERE k = 1""")
 def fn_find_closest(spark, sf_dir):
-    # a threshold is counted once for each distinct value, whatever the number of events
-    counts = table(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    tried = counts.withColumn("threshold", F.explode(F.sequence(F.lit(0), F.lit(195), F.lit(5))))
-    density = F.sum(F.when(F.col("value") > F.col("threshold"), F.col("n")).otherwise(0)).cast("double") / F.sum("n")
-    found = tried.groupBy("event_type", "threshold").agg(density.alias("density"))
-    return scalars.closest(found, "threshold", F.abs(F.col("density") - 0.5), "threshold", ["event_type"])
+    return sweep.nearest(sweep.of_steps(table(spark, sf_dir, "events"), "event_type", "value", 5, 40), "event_type", 0.5)
+
+
+@query("""WITH c AS (SELECT event_type, value, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type, value),
+d AS (SELECT event_type, value, CAST(sum(n) OVER (PARTITION BY event_type) - sum(n) OVER (PARTITION BY event_type ORDER BY value) AS DOUBLE) / sum(n) OVER (PARTITION BY event_type) AS density FROM c)
+SELECT event_type, value AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY abs(density - 0.25), value) AS k FROM d) WHERE k = 1""")
+def fn_find_closest_value(spark, sf_dir):
+    # thresholds are the values of the table
+    return sweep.nearest(sweep.of_values(table(spark, sf_dir, "events"), "event_type", "value"), "event_type", 0.25)
+
+
+# Raw volumes
+
+
+@query(o.vox(o.EV, 'SELECT slice, "row", col, val FROM dense', o.GRID, o.DENSE))
+def src_raw_volume(spark, sf_dir):
+    # written as bytes and read again, by stripes that are smaller than a slice
+    voxels, dims = volumes.activity(spark, sf_dir), activity_dims(spark, sf_dir)
+    path = new_path(spark, "raw-volume")
+    raw.write_volume(voxels.withColumn("val", F.lit(1)), path, dims, stripe=512)
+    return raw.read_volume(spark, path, stripe=max(1, dims.height // 3))
 
 
 # Run-length encoding
 
 
+@query(o.vox(o.SHIP, 'SELECT slice, "row", x0, x1 FROM run', o.RUNS))
+def rle_packed(spark, sf_dir):
+    return bitrows.runs(bitrows.packed(volumes.shipments(spark, sf_dir)))
+
+
+@query(o.vox(o.EMB, 'SELECT slice, "row", count(*) AS n FROM vox GROUP BY slice, "row"'))
+def seg_count_packed(spark, sf_dir):
+    return bitrows.volumes(bitrows.packed(volumes.embedding_bits(spark, sf_dir)))
+
+
 @query(o.vox(o.EV, 'SELECT slice, "row", col, val, edge FROM edges', o.GRID, o.DENSE, o.EDGES))
 def rle_edges(spark, sf_dir):
     return rle.edges(_activity_dense(spark, sf_dir))
@@ -225,6 +253,11 @@ def unify_contacts(spark, sf_dir):
     return unify.contacts(_ship_segments(spark, sf_dir))
 
 
+@query(o.contacts(o.SHIP, "SELECT a, b FROM contacts"))
+def unify_contacts_stored(spark, sf_dir):
+    return StoredRuns.store(_ship_segments(spark, sf_dir), buckets=16).contacts()
+
+
 @query(o.contacts(o.EV, "SELECT a, b FROM contacts"))
 def unify_contacts_er(spark, sf_dir):
     voxels, dims = volumes.activity(spark, sf_dir), activity_dims(spark, sf_dir)
@@ -386,6 +419,65 @@ def cca_features_box(spark, sf_dir):
     return features.in_box(_ship_labelled(spark, sf_dir), (2, 60), (10, 70), (5, 4000))
 
 
+#: For each order a box: from a slice and a row named by its keys, up to 6 slices and 9 rows; every 40th up to 46 rows.
+_BOXES = """boxes AS (SELECT o_orderkey AS box, o_custkey % {depth} AS z0, o_custkey % {depth} + o_custkey % 6 AS z1, o_orderkey % 84 AS y0, o_orderkey % 84 + o_orderkey % 9 + CASE WHEN o_orderkey % 40 = 0 THEN 37 ELSE 0 END AS y1,
+  o_custkey % 20 AS x0, o_custkey % 20 + o_orderkey % 11 AS x1, o_orderkey % 50 AS expected FROM {orders})"""
+_SHIP_DEPTH = "(SELECT max(slice) + 1 FROM vox)"
+
+
+def _order_boxes(spark: SparkSession, sf_dir: str, voxels: DataFrame) -> DataFrame:
+    depth = voxels.agg(F.max("slice") + 1).first()[0] or 1
+    orders = table(spark, sf_dir, "orders").where("o_orderkey is not null and o_custkey is not null")
+    spans = "o_orderkey % 9 + case when o_orderkey % 40 = 0 then 37 else 0 end"
+    return orders.selectExpr(
+        "o_orderkey AS box", f"o_custkey % {depth} AS z0", f"o_custkey % {depth} + o_custkey % 6 AS z1", "o_orderkey % 84 AS y0", f"o_orderkey % 84 + {spans} AS y1",
+        "o_custkey % 20 AS x0", "o_custkey % 20 + o_orderkey % 11 AS x1", "o_orderkey % 50 AS expected",
+    )
+
+
+@query(o.labels(o.SHIP, o.features('labelled JOIN boxes ON slice BETWEEN z0 AND z1 AND "row" BETWEEN y0 AND y1', "box, label").replace("x0", "labelled.x0").replace("x1", "labelled.x1"), _BOXES.format(depth=_SHIP_DEPTH, orders="orders")))
+def cca_features_boxes(spark, sf_dir):
+    voxels = volumes.shipments(spark, sf_dir)
+    return boxes.in_boxes(written(pipeline.labelled_runs(voxels), "labelled"), _order_boxes(spark, sf_dir, voxels))
+
+
+@query(o.labels(o.SHIP, """SELECT box, (SELECT coalesce(bool_and(label = expected), true) FROM labelled l WHERE slice BETWEEN z0 AND z1 AND "row" BETWEEN y0 AND y1 AND l.x0 <= b.x1 AND l.x1 > b.x0) AS ok FROM boxes b""", _BOXES.format(depth=_SHIP_DEPTH, orders="orders")))
+def label_test_areas(spark, sf_dir):
+    voxels = volumes.shipments(spark, sf_dir)
+    return boxes.areas_have(written(pipeline.labelled_runs(voxels), "labelled"), _order_boxes(spark, sf_dir, voxels))
+
+
+@query(o.labels(o.SHIP, o.features("labelled")))
+def cca_features_growing(spark, sf_dir):
+    # the volume is added slab by slab
+    voxels = volumes.shipments(spark, sf_dir)
+    depth = voxels.agg(F.max("slice") + 1).first()[0] or 1
+    slices = -(-depth // 5)
+    path = new_path(spark, "by-slab")
+    voxels.withColumn("slab", F.expr(f"slice div {slices}")).write.partitionBy("slab").parquet(path)
+    cells = spark.read.schema("slice int, row int, col int, slab int").parquet(path)
+    volume = GrowingVolume(spark, new_path(spark, "growing"), slices)
+    for slab in range(-(-depth // slices)):
+        volume.add(slab, cells.where(F.col("slab") == slab).drop("slab"))
+    return volume.features()
+
+
+@query(o.labels(o.EV, o.features("labelled")))
+def cca_features_stream(spark, sf_dir):
+    # days arrive in four portions; the state of a slab of users goes from one to the next
+    voxels, dims = volumes.activity(spark, sf_dir), activity_dims(spark, sf_dir)
+    cells = written(arriving.dealt(voxels), "dealt-cells")
+    source, sink, state = (new_path(spark, f"rows-{k}") for k in ("source", "sink", "state"))
+    days = -(-max(dims.height, 1) // 4)
+    for k in range(4):
+        portion = cells.where(F.col("row").between(k * days, (k + 1) * days - 1))
+        if k == 3:
+            portion = portion.unionByName(arriving.endings(cells, dims.height + 1))
+        portion.write.mode("append").parquet(source)
+        arriving.advanced(spark, source, sink, state)
+    return arriving.features_of(written(spark.read.schema(arriving.OUTPUT).parquet(sink), "stream-output"))
+
+
 @query(o.labels(o.SHIP, o.features("labelled", 'slice, "row", label')))
 def cca_features_rows(spark, sf_dir):
     return features.by_row(_ship_labelled(spark, sf_dir))
@@ -460,6 +552,13 @@ def mat_diff(spark, sf_dir):
     return validate.differences(cells, cells.withColumn("slice", F.lit(last) - F.col("slice")))
 
 
+@query(o.cells(o.EV, 'SELECT slice, "row", col, label AS "left", label + 1 AS "right" FROM cells WHERE slice % 37 = 5 AND col = 3'))
+def mat_diff_tiles(spark, sf_dir):
+    # an image with a few changed cells; only their tiles are joined by cell
+    cells = written(relabel.label_cells(_activity_labelled(spark, sf_dir)), "cells")
+    return validate.differences_by_tiles(cells, cells.withColumn("label", F.when((F.col("slice") % 37 == 5) & (F.col("col") == 3), F.col("label") + 1).otherwise(F.col("label"))), 16)
+
+
 @query(o.cells(o.SHIP, 'SELECT coalesce(bool_and(label = 1), true) AS ok FROM cells WHERE slice BETWEEN 0 AND 3 AND "row" BETWEEN 0 AND 5'))
 def label_test_area(spark, sf_dir):
     return validate.area_has(relabel.label_cells(_ship_labelled(spark, sf_dir)), (0, 0, 0), (3, 5, 30), 1)
