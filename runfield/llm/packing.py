@@ -5,7 +5,8 @@ packed in groups of about ``group_pieces``. Within a group, a node of the search
 enumerates fillings around it: those that no other piece left could improve (undominated), least waste first, then fewest
 pieces. Best-fit decreasing gives the first incumbent; if it meets the lower bound (that of Martello and Toth), it is the
 answer. Otherwise descents without going back follow one filling at each node: first the one of fewest and largest pieces,
-then, ``DRAWS`` times, fillings drawn so that what is left keeps its mix of lengths. Then branch and bound: a branch is cut
+then, ``DRAWS`` times, fillings drawn so that what is left keeps its mix of lengths; then fillings that put long pieces with
+each other, for several notions of long. Then branch and bound: a branch is cut
 off as soon as its waste is more than an answer with one sequence fewer than the incumbent may have. A quick search looks at
 a few fillings of a node only and gives up after ``STALLED`` nodes without a better answer; a second one enumerates all
 undominated fillings of any number of pieces, so that an answer found before the nodes are used up is the least possible.
@@ -16,7 +17,8 @@ Scale: texts are encoded in one narrow map; only (doc_id, piece, start, length,
 place in the written table of pieces, so groups are even whatever is repeated. A group at its bound wastes less than one
 sequence; with thousands of pieces in a group that is below 0.02 %.
 
-Defined cases: a null or empty text is the end id alone; repeated rows and ids are packed each for itself; an empty table
+Defined cases: a null or empty text is the end id alone; pieces of equal length (ties) are taken in the order of the written
+table of pieces; a very long text is many pieces, of which all but the last fill a sequence each; repeated rows and ids are packed each for itself; an empty table
 gives no rows; other columns are not read.
 """
 
@@ -44,6 +46,8 @@ GROUP_PIECES = 16_384
 NODES = 20_000
 #: Fillings that a node of the quick search branches on at most, best first.
 BRANCHES = 6
+#: Shares of the pieces that a descent does not take as long, and the finest step between those tried.
+SHARES, FINEST = (0.5, 0.6, 0.7, 0.8, 0.9), 0.01
 #: Descents by drawn fillings, and nodes of the quick search after which it gives up unless it found a better answer.
 DRAWS, STALLED = 3, 5_000
 #: Steps of an enumeration that count as one node, and nodes of a path that keep theirs; others start again if gone back to.
@@ -266,18 +270,45 @@ def filled(left: np.ndarray, room: int, rng: np.random.Generator | None) -> list
     return taken
 
 
-def descent(count: np.ndarray, capacity: int, rng: np.random.Generator | None = None) -> list[list[int]]:
-    """Bins by one filling around the largest piece left, again and again."""
+def descent(count: np.ndarray, capacity: int, rng: np.random.Generator | None = None, long: int | None = None) -> list[list[int]]:
+    """Bins by one filling around the largest piece left, again and again.
+
+    Pieces of more than ``long`` are put together first: around one of them, the greatest of the others that fits, again and
+    again, and only then what fills the rest. So they leave the shorter ones, of which more go into a bin, to each other.
+    """
     left, bins, largest = count.copy(), [], len(count) - 1
     while largest:
-        if left[largest]:
-            left[largest] -= 1
-            bins.append([largest, *filled(left, capacity - largest, rng)])
-        else:
+        if not left[largest]:
             largest -= 1
+            continue
+        left[largest] -= 1
+        one, room = [largest], capacity - largest
+        while long is not None and largest > long and len(fit := np.flatnonzero(left[long + 1 : room + 1])):
+            one.append(int(fit[-1]) + long + 1)
+            left[one[-1]] -= 1
+            room -= one[-1]
+        bins.append([*one, *filled(left, room, rng)])
     return bins
 
 
+def steered(lengths: np.ndarray, capacity: int, bound: int, best: list[list[int]]) -> list[list[int]]:
+    """``best``, or fewer bins by descents with other notions of a long piece: first five shares of all pieces, then between the best ones."""
+    count, ordered, rng = np.bincount(lengths, minlength=capacity + 1).astype(np.int64), np.sort(lengths), np.random.default_rng(0)
+    tried: dict[float, int] = {}
+    step = SHARES[1] - SHARES[0]
+    shares = SHARES
+    while step > FINEST:
+        for share in shares:
+            if len(best) > bound and share not in tried and 0 < share < 1:
+                found = descent(count, capacity, rng, int(ordered[int(share * len(ordered))]))
+                tried[share] = len(found)
+                best = min(best, found, key=len)
+        step /= 2
+        middle = min(tried, key=tried.get, default=0.5)
+        shares = (middle - step, middle + step)
+    return best
+
+
 def pack(lengths: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
     """Bins of lengths, as few as the search finds."""
     count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
@@ -285,6 +316,8 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> l
     for how in (None, *[rng] * DRAWS):
         if len(best) > bound:
             best = min(best, descent(count, capacity, how), key=len)
+    if len(best) > bound:
+        best = steered(lengths, capacity, bound, best)
     if len(best) > bound:
         best, seen = _quick(lengths, capacity, nodes, best)
     if len(best) > bound and seen < nodes:

@@ -160,6 +160,19 @@ def test_bin_completion_comes_near_the_bound():
         assert len(bins) <= most < len(packing.best_fit_decreasing(np.bincount(lengths, minlength=2049), 2048))
 
 
+def test_long_pieces_are_left_to_each_other():
+    # best fit is 4 to 6 % over the bound on such lengths; each of ten draws has to come near it
+    for seed in range(10):
+        lengths = np.random.default_rng(seed).integers(400, 1101, 800)
+        count = np.bincount(lengths, minlength=2049)
+        bins = packing.pack(lengths, nodes=100)
+        assert sorted(x for b in bins for x in b) == sorted(lengths.tolist()) and max(map(sum, bins)) <= 2048
+        assert len(bins) <= 1.01 * packing.lower_bound(count, 2048) + 1 < len(packing.best_fit_decreasing(count, 2048))
+    lengths = np.random.default_rng(0).integers(500, 1001, 4000)
+    found = packing.steered(lengths, 2048, 0, packing.best_fit_decreasing(np.bincount(lengths, minlength=2049), 2048))
+    assert sorted(x for b in found for x in b) == sorted(lengths.tolist()) and len(found) <= 1530
+
+
 def test_fillings_of_many_pieces_are_tried():
     bins = packing.pack(np.array([1048, 1038, 340, 340, 330, 250, 250, 250, 250]))
     assert sorted(sorted(b) for b in bins) == [[250, 250, 250, 250, 1048], [330, 340, 340, 1038]]
