@@ -5,7 +5,7 @@ file whenever ``shard_tokens`` tokens are in it, so memory stays bounded however
 document is a shard of its own). Files are written to the shared folder under a name of their own for each attempt; a
 small table lists the files of the attempts that succeeded, so a lost or repeated task leaves no trace in the result.
 
-Scale: one range shuffle of (doc_id, text); ids never are shuffled. The start of each shard is a running sum over the
+Scale: one range shuffle of (doc_id, text), by the text's hash within an id; ids never are shuffled. The start of each shard is a running sum over the
 list of files, first within a task's files, then over tasks.
 
 Defined cases: a null text has the end id only; null doc_ids come first; repeated doc_ids are ordered by their texts'
@@ -33,6 +33,8 @@ from runfield.llm.wavelet import Shard, to_bytes
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 SHARD_TOKENS = 2_000_000
+#: Files that a reading task takes where there are very many.
+FILES = 64
 
 
 def _store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -71,7 +73,9 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
         if doc_ids:
             yield closed()
 
-    ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # ranges of (doc_id, hash), so that rows of one id, or of none, are not all in one task
+    order = ("doc_id", F.xxhash64("text"))
+    ordered = id_and_text(docs, id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
     files = written(bounded_batches(ordered).mapInArrow(work, "part long, file long, path string, n_docs long, n_tokens long"), "shard-files")
     tasks = files.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task that wrote
@@ -96,7 +100,9 @@ def read_shards(files: DataFrame) -> DataFrame:
             )
 
     listed = written(files, "shard-list")
-    spread = listed.select("path", "start").repartition(max(1, listed.count()))
+    # a task for each file while they are few, else one for FILES of them
+    many, few = listed.count(), 4 * listed.sparkSession.sparkContext.defaultParallelism
+    spread = listed.select("path", "start").repartition(max(1, min(many, few), -(-many // FILES)))
     return map_batches(spread, work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
