@@ -178,16 +178,18 @@ def _hits_by_parts(docs: DataFrame, sets: Iterator[WindowSet], id_col: str, text
         rows = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
         # after the first pass, only what was hit goes on
         found = map_batches(rows, work, "doc_id long, text_hash long, n_words long, ranges array<struct<a:long,b:long>>, items array<string>").where(F.lit(k == 0) | (F.size("ranges") > 0))
-        passes.append(written(found.withColumn("pass", F.lit(k)), "hits"))
+        # rows of one id and text have equal parts: they become one with their number, before and after the shuffle
+        once = found.groupBy("doc_id", "text_hash").agg(*(F.any_value(c).alias(c) for c in ("n_words", "ranges", "items")), F.count("*").alias("copies"))
+        passes.append(written(once.withColumn("copies", F.col("copies") * int(k == 0)), "hits"))
         shared.destroy()
     every = passes[0]
     for one in passes[1:]:
         every = every.unionAll(one)
-    # Repeated rows of one id and text have equal parts: they are counted in one pass and given back as often.
-    joined = every.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count(F.when(F.col("pass") == 0, 1)).alias("copies"))
+    # One row from each pass at most; repeated rows were counted in the first and are given back as often.
+    joined = every.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("copies").alias("copies"))
     ordered = F.array_sort("ranges")
     hit = F.aggregate(ordered, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), r["b"] - F.greatest(r["a"], s["end"]))).alias("n"), F.greatest(s["end"], r["b"]).alias("end")))["n"]
-    out = joined.withColumn("n_hit", hit).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    out = joined.withColumn("n_hit", hit).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
 
 
