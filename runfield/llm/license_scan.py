@@ -14,10 +14,11 @@ of the nearest directory above them that has one.
 
 Scale: DataFrame operations only. Whole texts are searched where they are scanned; only (doc_id, path, licence) goes on.
 Inheritance is decided for directories, of which there are far fewer than files, by equality joins of each directory with
-its ancestors; files then join their directory. A directory with very many files is one key of a join whose other side has
-one row for it, so Spark's skew join may split it.
+its ancestors; files then join their directory. A directory with very many files is one key of a join whose other side, a
+written table, has one row for it, so Spark's skew join splits it.
 
-Defined cases: a null or empty text has no statement; a null path is in no directory (and inherits nothing); of several
+Defined cases: a null or empty text has no statement; a very long text is searched whole, in lists of its terms only if it has
+a cue; a null path is in no directory (and inherits nothing); of several
 licence files in a directory, that of greatest cosine counts, then the least path; templates that tie go by the order
 below; repeated rows are each given back; an empty table gives no rows; other columns are not read.
 """
@@ -243,7 +244,7 @@ def inherited(found: DataFrame) -> DataFrame:
     ancestors = F.transform(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(parts))), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("above")))
     climbs = dirs.select("dir", F.explode(ancestors).alias("a")).select("dir", "a.depth", "a.above")
     nearest = climbs.join(licensed, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "dir_license")).alias("n")).select("dir", F.col("n.above").alias("license_dir"), F.col("n.dir_license").alias("dir_license"))
-    out = found.join(nearest, "dir", "left")
+    out = found.join(written(nearest, "nearest"), "dir", "left")
     takes = F.col("own_license").isNull() & F.col("dir_license").isNotNull()
     return out.select("doc_id", "path", "own_license", "cosine", "license_file", F.coalesce("own_license", "dir_license").alias("license"), F.when(F.col("own_license").isNotNull(), "own").when(takes, "inherited").otherwise("none").alias("origin"), F.when(takes, F.col("license_dir")).alias("license_dir"))
 
