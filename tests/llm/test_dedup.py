@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from runfield.llm import minhash_dedup as M
 from tests.llm import helpers
@@ -105,6 +106,34 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_a_long_chain_of_versions_is_one_group(spark):
+    # each version has 8 words of 100 other than the one before it, so only neighbours are alike
+    draw = np.random.default_rng(11)
+    words, rows = [f"w{k}" for k in range(100)], []
+    order = draw.permutation(1500)
+    for k in range(1500):
+        for at in draw.choice(100, 4, replace=False).tolist():
+            words[at] = f"v{k}x{at}"
+        rows.append((int(order[k]), " ".join(words)))
+    got = {r["doc_id"]: r["class_id"] for r in M.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_a_hot_bucket_is_split(spark):
+    keyed = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 20_000).alias("key"), F.col("id").alias("doc_id"))
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.shuffle.partitions": "20"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        met = M.in_buckets(M.written(keyed, "keyed"))
+        assert len(met.collect()) == 60_000
+        assert "skew=true" in met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_one_id_with_several_texts_joins_them(spark):
     a, b = helpers.prose(60, 1), helpers.prose(60, 2)
     rows = [(5, a), (5, b), (7, a), (3, b), (5, None), (5, a), (9, None), (9, None)]
