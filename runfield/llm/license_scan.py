@@ -4,13 +4,18 @@ Lines with a licensing cue are a text's statements; where there are several, all
 compared with short templates of licence notices. Terms are runs of a-z and 0-9 (A-Z lower-cased). Idf is taken over the
 templates; a term of no template has the greatest idf and counts once for each occurrence. An SPDX identifier names the
 text's own licence; else the best template with a cosine of ``least_cosine`` or more does, unless a template of another
-licence is within ``MARGIN`` of it; a template of one GNU version needs that version's number in the statement. A text with a cue that has none of these is looked at again: windows of the
-length of each notice of ``NOTICES`` are compared with it by the same cosine, wherever the notice stands in longer lines or is wrapped. Windows are laid over the text's terms so that one of the
-notice's key terms meets its place in the notice, and must hold all its key terms (a name, a version) and none of those that
-make it another licence. The longest notice found counts, then the greatest cosine; "all rights reserved" only if it is
-the only one. A licence file is one named as such, or whose matched statements hold
-at least half of its words; it licenses its directory. Of all other texts, those without a licence of their own take that
-of the nearest directory above them that has one.
+licence is within ``MARGIN`` of it. A licence that has a version needs its number in the statement, and some have terms that
+they never hold (``NEEDS``, ``BANS``). Statements that say what a text is not, or that name licences of two families, count
+for nothing, and "all rights reserved" only alone in its line or with a sign of copyright.
+
+A text with a cue that has none of these, and no such statement, is looked at again: windows of the length of each notice of
+``NOTICES`` are compared with it by the same cosine, wherever the notice stands in longer lines or is wrapped. Windows are
+laid over the text's terms so that one of the notice's key terms meets its place in the notice, and must hold all its key
+terms (a name, a version) and none of those that make it another licence. The longest notice found counts, then the
+greatest cosine; "all rights reserved" only if it is the only one.
+
+A licence file is one named as such, or whose matched statements hold at least half of its words; it licenses its directory.
+Of all other texts, those without a licence of their own take that of the nearest directory above them that has one.
 
 Scale: DataFrame operations only. Whole texts are searched where they are scanned; only (doc_id, path, licence) goes on.
 Inheritance is decided for directories, of which there are far fewer than files, by equality joins of each directory with
@@ -70,8 +75,31 @@ TEMPLATES = [
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0"),
     ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("ISC", "Released under the ISC License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
     ("Proprietary", "All rights reserved"),
 ]
+#: Terms without which a statement is not of a licence, for licences that differ from others in little else; GNU ones: see ``needs``.
+NEEDS = {
+    "Apache-2.0": "apache 2", "MPL-2.0": "mozilla 2", "BSL-1.0": "", "EPL-2.0": "eclipse 2", "CC0-1.0": "cc0 1", "CC-BY-4.0": "4", "CC-BY-SA-4.0": "4", "CC-BY-NC-4.0": "4", "CC-BY-ND-4.0": "4",
+    "CC-BY-NC-SA-4.0": "4", "CC-BY-NC-ND-4.0": "4", "BSD-3-Clause": "redistribution source binary",
+}
+#: Terms that a statement of MIT's permission, or of any other Boost's, does not have.
+BANS = {"MIT": "organization accompanying"}
+#: Names of families; a statement that has two is an offer of either, or a list, and no licence of the text.
+FAMILIES = "apache mit gnu mozilla bsd creative boost isc eclipse zlib".split()
+#: A statement that says what a text is not.
+NEGATED = r"\b(not|never|isn.t|aren.t) ((yet|being|currently|intended|meant|to|be|made) )*(re)?(licen[cs]ed|leased|available|distributed|covered|under)\b|\bno licen[cs]e\b"
+#: "All rights reserved" tells of a licence alone in its line, or with a sign of copyright.
+SIGNED = r"copyright|\(c\)|©|^[^a-z0-9]*all rights reserved[^a-z0-9]*$"
+_RESERVED = r"(copyright|\(c\)|©)[^\n]*all rights reserved|all rights reserved[^\n]*(copyright|\(c\)|©)|(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*(\n|$)"
 #: Fixed values for the second look: licence, notice, key terms (all needed), terms of other licences (none allowed).
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 _AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
@@ -82,8 +110,8 @@ NOTICES = [
     ("Apache-2.0", "Apache License Version 2.0, January 2004", "apache 2", ""),
     ("MIT", "Released under the MIT License", "under mit license", ""),
     ("MIT", "Licensed under the MIT license", "under mit license", ""),
-    ("MIT", _MIT, "permission granted charge software documentation", ""),
-    ("MIT", _MIT + ' (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.', "permission granted sublicense noninfringement", ""),
+    ("MIT", _MIT, "permission granted charge software documentation", BANS["MIT"]),
+    ("MIT", _MIT + ' (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.', "permission granted sublicense noninfringement", BANS["MIT"]),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution source binary modification conditions", ""),
     ("BSD-2-Clause", _BSD + " " + _AS_IS, "redistribution retain reproduce warranties", "neither endorse"),
     ("BSD-3-Clause", _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _AS_IS, "redistribution retain reproduce endorse", ""),
@@ -108,15 +136,20 @@ NOTICES = [
 #: Identifiers of the second look that go by another name here; all others are named as they are written.
 SPDX = {f"{k.lower()}-{v}{end}": f"{k}-{v}" for k in ("GPL", "LGPL", "AGPL") for v in ("2.0", "2.1", "3.0") for end in ("", "+", "-only", "-or-later")} | {n.lower(): n for n in dict.fromkeys(n for n, *_ in NOTICES) if n != "Proprietary"}
 IDENTIFIER = r"(?i)spdx-license-identifier:[ \t]*(\(?[a-z0-9][a-z0-9.+-]*\)?(?:[ \t]+(?:or|and|with)[ \t]+\(?[a-z0-9][a-z0-9.+-]*\)?)*)"
-CUES = r"licen[cs]|copyright|rights reserved|public domain|spdx|permission is hereby|free software|unencumbered|redistribut"
+CUES = r"licen[cs]|copyright|rights reserved|public domain|spdx|permission is hereby|hereby granted|free software|unencumbered|redistribut"
 FILE_NAMES = r"(^|/)(license|licence|copying|notice|unlicense)(\.[a-z]+)?$"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def needs(name: str) -> list[str]:
-    """Terms without which a statement is not of this licence: the version's numbers of GNU licences, which differ in little else."""
+    """Terms without which a statement is not of this licence: those of NEEDS, and the version's numbers of GNU licences."""
     version = re.search(r"GPL-(\d)\.(\d)", name)
-    return [x for x in version.groups() if x != "0"] if version else []
+    return [x for x in version.groups() if x != "0"] if version else NEEDS.get(name, "").split()
+
+
+def bans(name: str) -> list[str]:
+    """Terms that a statement of this licence does not have."""
+    return BANS.get(name, "").split()
 
 
 def template_vectors() -> tuple[dict[str, float], float, list[tuple[str, float, list[tuple[str, float]]]]]:
@@ -137,18 +170,22 @@ def _matches(statements: Column) -> Column:
     idf, other, templates = template_vectors()
     array = lambda items: f"array({', '.join(items)})"
     pairs = lambda items: array(f"struct('{t}' AS t, {w!r}D AS w)" for t, w in items)
+    terms_of = lambda items: array(map(repr, items)) if items else "cast(array() as array<string>)"
+    marks = F.expr(array(map(repr, [*FAMILIES, *(t for name in BANS for t in bans(name))])))
+    families = F.expr(array(map(repr, FAMILIES)))
     vocabulary, weights = F.expr(array(f"'{t}'" for t in idf)), F.expr(pairs(idf.items()))
-    vectors = F.expr(array(f"struct({-i} AS i, '{name}' AS name, {norm!r}D AS norm, {array(repr(t) for t in needs(name)) if needs(name) else 'cast(array() as array<string>)'} AS needs, {pairs((t, w * idf[t]) for t, w in v)} AS v)" for i, (name, norm, v) in enumerate(templates)))
+    vectors = F.expr(array(f"struct({-i} AS i, '{name}' AS name, {norm!r}D AS norm, {terms_of(needs(name))} AS needs, {terms_of(bans(name))} AS bans, {pairs((t, w * idf[t]) for t, w in v)} AS v)" for i, (name, norm, v) in enumerate(templates)))
 
     def of(statement: Column) -> Column:
         terms = F.regexp_extract_all(statement, F.lit("[a-z0-9]+"), 0)
-        return F.struct(F.filter(terms, lambda t: F.array_contains(vocabulary, t)).alias("known"), F.size(terms).alias("n"))
+        known = F.filter(terms, lambda t: F.array_contains(vocabulary, t))
+        return F.struct(known.alias("known"), F.size(terms).alias("n"), F.array_intersect(terms, marks).alias("marks"), statement.rlike(SIGNED).alias("signed"))
 
     def best(s: Column) -> Column:
         known = s["known"]
         count = lambda t: F.size(F.filter(known, lambda x: x == t)).cast("double")
         norm = F.sqrt(_total(F.filter(weights, lambda w: F.array_contains(known, w["t"])), lambda w: F.pow(count(w["t"]) * w["w"], 2)) + F.lit(other * other) * (s["n"] - F.size(known)))
-        apt = F.filter(vectors, lambda v: F.forall(v["needs"], lambda t: F.array_contains(known, t)))
+        apt = F.filter(vectors, lambda v: F.forall(v["needs"], lambda t: F.array_contains(known, t)) & ~F.arrays_overlap(v["bans"], s["marks"]) & ((v["name"] != "Proprietary") | s["signed"]))
         cosines = F.transform(apt, lambda v: F.struct(F.round(_total(v["v"], lambda w: count(w["t"]) * w["w"]) / (norm * v["norm"]), 6).alias("cosine"), v["i"].alias("order"), v["name"].alias("license"), s["n"].alias("words")))
 
         def with_rival(each: Column) -> Column:
@@ -158,11 +195,21 @@ def _matches(statements: Column) -> Column:
 
         return F.transform(F.array(cosines), with_rival)[0]
 
-    return F.transform(F.filter(F.transform(statements, of), lambda s: F.size(s["known"]) > 0), best)
+    clear = F.filter(F.transform(F.filter(statements, lambda x: ~x.rlike(NEGATED)), of), lambda s: (F.size(s["known"]) > 0) & (F.size(F.array_intersect(s["marks"], families)) < 2))
+    return F.filter(F.transform(clear, best), lambda m: m["license"].isNotNull())
+
+
+def _barred(low: Column) -> Column:
+    """Whether a lower-cased text says what it is not, or names several licences in one line; it is then not looked at again."""
+    several = F.exists(F.split(low, "\n"), lambda x: x.rlike(CUES) & (F.size(F.filter(F.expr(f"array({', '.join(map(repr, FAMILIES))})"), lambda f: F.array_contains(F.regexp_extract_all(x, F.lit("[a-z0-9]+"), 0), f))) > 1))
+    return low.rlike(NEGATED) | several
+
 
+def _noticed(terms: Column, least_cosine: float, reserved: Column) -> Column:
+    """(general, words, cosine, order, licence) of the notice found among the terms of a text; null if there is none.
 
-def _noticed(terms: Column, least_cosine: float) -> Column:
-    """(general, words, cosine, order, licence) of the notice found among the terms of a text; null if there is none."""
+    ``reserved``: whether "all rights reserved" counts.
+    """
     split = lambda text: re.findall("[a-z0-9]+", text.lower())
     counts = [Counter(split(text)) for _, text, *_ in NOTICES]
     df = Counter(t for c in counts for t in c)
@@ -196,7 +243,7 @@ def _noticed(terms: Column, least_cosine: float) -> Column:
 
     def found(pair: Column) -> Column:
         each = F.transform(F.expr(array(notices)), lambda v: F.transform(windows(pair["t"], pair["at"], v), lambda w: scored(w, v)))
-        return F.array_max(F.filter(F.flatten(each), lambda x: x["cosine"] >= least_cosine))
+        return F.array_max(F.filter(F.flatten(each), lambda x: (x["cosine"] >= least_cosine) & (x["general"] | reserved)))
 
     # One-element arrays bind terms and spots once.
     return F.transform(F.array(F.struct(terms.alias("t"), spots.alias("at"))), found)[0]
@@ -222,7 +269,8 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     # The second look is at texts with a cue only that have no identifier and whose statements are like no one licence.
     rows = rows.withColumn("spdx", F.when(F.col("n_terms").isNotNull(), _identified(F.col("text"))))
     again = F.col("n_terms").isNotNull() & F.col("spdx").isNull() & (F.col("name").isNull() | (F.col("cosine") < least_cosine))
-    rows = rows.withColumn("notice", F.when(again, _noticed(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), 0), least_cosine)))
+    again = again & ~_barred(F.col("low"))
+    rows = rows.withColumn("notice", F.when(again, _noticed(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), 0), least_cosine, F.col("low").rlike(_RESERVED))))
     rows = rows.select("doc_id", "path", "n_terms", F.when(F.col("spdx").isNotNull(), 1.0).otherwise(F.coalesce("notice.cosine", "cosine")).alias("cosine"), F.coalesce("spdx", "notice.license", "name").alias("name"), F.coalesce("notice.words", "words").alias("words"))
     own = F.when(F.col("cosine") >= least_cosine, F.col("name"))
     named = F.coalesce(F.lower("path").rlike(FILE_NAMES), F.lit(False))

@@ -118,10 +118,11 @@ FROM fit WHERE k = 1
 """
 
 _L = license_scan
-_VALUES = ", ".join(f"({i}, '{name}', {_L.needs(name)!r}::VARCHAR[], '{text.lower()}')" for i, (name, text) in enumerate(_L.TEMPLATES))
+_quoted = lambda text: text.replace("'", "''")
+_VALUES = ", ".join(f"({i}, '{name}', {_L.needs(name)!r}::VARCHAR[], {_L.bans(name)!r}::VARCHAR[], '{_quoted(text.lower())}')" for i, (name, text) in enumerate(_L.TEMPLATES))
 
 OP6_SQL = f"""
-WITH template(i, license, needs, body) AS (VALUES {_VALUES}),
+WITH template(i, license, needs, bans, body) AS (VALUES {_VALUES}),
 tterm AS (SELECT i, term, count(*) AS n FROM (SELECT i, unnest(regexp_extract_all(body, '[a-z0-9]+')) AS term FROM template) GROUP BY i, term),
 idf AS (SELECT term, ln((1 + {len(_L.TEMPLATES)}) / (1.0 + count(*))) + 1 AS w FROM tterm GROUP BY term),
 tvec AS (SELECT i, term, n * w AS w FROM tterm JOIN idf USING (term)),
@@ -134,14 +135,15 @@ doc AS (
 ),
 cued AS (SELECT doc_id, low, list_filter(string_split(low, chr(10)), lambda x: regexp_matches(x, '{_L.CUES}')) AS lines FROM doc WHERE regexp_matches(low, '{_L.CUES}')),
 stated AS (SELECT doc_id, unnest(CASE WHEN len(lines) > 1 THEN list_append(lines, array_to_string(lines, ' ')) ELSE lines END) AS body FROM cued),
-numbered AS (SELECT row_number() OVER () AS s, doc_id, regexp_extract_all(body, '[a-z0-9]+') AS terms FROM stated),
+worded AS (SELECT doc_id, body, regexp_extract_all(body, '[a-z0-9]+') AS terms FROM stated WHERE NOT regexp_matches(body, '{_L.NEGATED}')),
+numbered AS (SELECT row_number() OVER () AS s, doc_id, body, terms FROM worded WHERE len(list_intersect(list_distinct(terms), {_L.FAMILIES!r})) < 2),
 sterm AS (SELECT s, term, count(*) AS n FROM (SELECT s, unnest(terms) AS term FROM numbered) GROUP BY s, term),
 snorm AS (SELECT s, sqrt(sum(CASE WHEN w IS NULL THEN n * power(ln(1 + {len(_L.TEMPLATES)}) + 1, 2) ELSE power(n * w, 2) END)) AS norm FROM sterm LEFT JOIN idf USING (term) GROUP BY s),
 dots AS (SELECT s, v.i, sum(t.n * f.w * v.w) AS dot FROM sterm t JOIN idf f USING (term) JOIN tvec v USING (term) GROUP BY s, v.i),
 scored AS (
   SELECT n.doc_id, s, d.i, round(d.dot / (a.norm * b.norm), 6) AS cosine, p.license, len(n.terms) AS words
   FROM dots d JOIN snorm a USING (s) JOIN tnorm b ON b.i = d.i JOIN template p ON p.i = d.i JOIN numbered n USING (s)
-  WHERE list_has_all(n.terms, p.needs)
+  WHERE list_has_all(n.terms, p.needs) AND NOT list_has_any(n.terms, p.bans) AND (p.license <> 'Proprietary' OR regexp_matches(n.body, '{_L.SIGNED}'))
 ),
 best AS (SELECT s, license, max(cosine) AS c FROM scored GROUP BY s, license),
 rivals AS (SELECT a.s, a.license, coalesce(max(b.c), 0.0) AS rival FROM best a LEFT JOIN best b ON a.s = b.s AND a.license <> b.license GROUP BY a.s, a.license),

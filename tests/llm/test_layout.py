@@ -129,6 +129,30 @@ def test_versions_and_variants_are_told_apart(spark):
     assert [got[i] for i in range(len(texts))] == [name for _, name in texts]
 
 
+def test_notices_that_are_of_no_or_of_another_licence(spark):
+    boost = "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    texts = [
+        (f"Boost Software License - Version 1.0 - August 17th, 2003\n\n{boost} (the \"Software\") to use, reproduce, display", "BSL-1.0"), (boost, "BSL-1.0"),
+        ("This file is not released under the MIT License.", None), ("This work isn't licensed under CC BY-NC 4.0.", None),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", None),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", None),
+        ("we heard that all rights reserved for members of the club were lost, " + helpers.prose(30, 5), None),
+        ("Copyright (c) 2021 A Company of a Long Name and Partners. All rights reserved.", "Proprietary"), ("All rights reserved.", "Proprietary"),
+        ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions", "MPL-2.0"),
+        ("Mozilla Public License Version 1.1", None), ("Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS", "EPL-2.0"),
+        (isc, "ISC"), ("Licensed under the Apache License, Version 1.1", None), ("Released under the MIT License.", "MIT"),
+    ]
+    docs = spark.createDataFrame([(i, t, f"f/{i}.txt") for i, (t, _) in enumerate(texts)], "doc_id long, text string, path string")
+    got = {r["doc_id"]: r["own_license"] for r in L.scanned(docs).collect()}
+    assert [(texts[i][0], got[i]) for i in range(len(texts))] == texts
+
+
+def test_a_long_text_with_a_cue(spark):
+    docs = spark.createDataFrame([(1, helpers.prose(60_000, 6) + "\nReleased under the MIT License.\n" + "license " * 3000, "a.txt")], "doc_id long, text string, path string")
+    assert L.scanned(docs).first()["own_license"] == "MIT"
+
+
 def test_many_licensed_directories(spark):
     names = ["MIT", "Apache-2.0", "GPL-2.0"]
     rows, want = [], {}
