@@ -44,7 +44,12 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], band: Column, n
 
 
 def segments(voxels: DataFrame) -> DataFrame:
-    seg = runs(voxels).withColumn("seg", (F.row_number().over(_in_row().orderBy("x0")) - 1).cast("int"))
+    return numbered_runs(runs(voxels))
+
+
+def numbered_runs(found: DataFrame) -> DataFrame:
+    """Segments of runs (slice, row, x0, x1)."""
+    seg = found.withColumn("seg", (F.row_number().over(_in_row().orderBy("x0")) - 1).cast("int"))
     return numbered(seg, ["slice", "row"], ["x0"], F.floor(F.col("row") / ROWS), "seg_id").select("slice", "row", "seg", "x0", "x1", "seg_id")
 
 

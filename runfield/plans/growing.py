@@ -38,19 +38,26 @@ class GrowingVolume:
     def __init__(self, spark: SparkSession, path: str, slices: int):
         self.spark, self.path, self.slices = spark, path.rstrip("/"), slices
 
-    def _there(self, name: str) -> bool:
+    def _slabs(self, name: str) -> list[int]:
+        """The slabs that a table has, from the names of its folders."""
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+        return sorted(int(n.removeprefix("slab=")) for n in names if n.startswith("slab="))
 
     def _put(self, df: DataFrame, name: str) -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slab").parquet(f"{self.path}/{name}")
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.path}/{name}")
+    def read(self, name: str, low: int = 0, high: int | None = None) -> DataFrame:
+        """A table's slabs from ``low`` to ``high``, both included; files of others are not even listed."""
+        slabs = [s for s in self._slabs(name) if low <= s and (high is None or s <= high)]
+        if not slabs:
+            return self.spark.createDataFrame([], _SCHEMAS[name])
+        return self.spark.read.schema(_SCHEMAS[name]).option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{name}/slab={s}" for s in slabs))
 
     def last_slab(self) -> int | None:
         """The last slab that was added; slabs without cells leave nothing."""
-        return self.read("names").agg(F.max("slab")).first()[0] if self._there("names") else None
+        return max(self._slabs("names"), default=None)
 
     def add(self, slab: int, voxels: DataFrame) -> None:
         """Adds the cells of one slab; cells of other slabs are refused."""
@@ -74,11 +81,8 @@ class GrowingVolume:
         starts = runs.groupBy("comp").agg(first.alias("f")).select("comp", *(F.col(f"f.{c[6:]}").alias(c) for c in features.FIRST))
         self._put(features.of_runs(runs, keys=("comp",)).join(starts, "comp").select("*", at), "parts")
         comps = runs.select("comp").distinct()
-        if not self._there("names") or not self._there("faces"):
-            self._put(comps.select("comp", F.col("comp").alias("root"), at), "names")
-            return
-        face = self.read("faces").where(F.col("slab") == slab - 1)
-        before = self.read("names").where(F.col("slab") == slab - 1).select("comp", "root")
+        face = self.read("faces", slab - 1, slab - 1)
+        before = self.read("names", slab - 1, slab - 1).select("comp", "root")
         met = unify.touching(runs.where(F.col("slice") == low), face, unify.OFFSETS, ["comp"], ["comp"])
         links = met.select(F.col("a_comp").alias("new"), F.col("b_comp").alias("comp")).distinct().join(before, "comp")
         joined = written(components.connected(links.select(F.col("new").alias("a"), F.col("root").alias("b"))), "joined")
@@ -92,7 +96,7 @@ class GrowingVolume:
         if least is None:
             return
         # a component reaches from the slab of its root to the one before this, without a gap
-        held = self.read("names").where(F.col("slab").between(least >> RUN_BITS, slab - 1))
+        held = self.read("names", least >> RUN_BITS, slab - 1)
         touched = [r[0] for r in held.join(changed, held["root"] == changed["old"], "left_semi").select("slab").distinct().collect()]
         whole = held.where(F.col("slab").isin(touched)).join(changed, held["root"] == changed["old"], "left")
         anew = written(whole.select("comp", F.coalesce("now", "root").alias("root"), "slab"), "renamed")

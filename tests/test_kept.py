@@ -297,3 +297,24 @@ def test_removed_tables_are_gone(spark):
     files = table.inputFiles()
     removed(table)
     assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+# Measurements
+
+
+def test_stages_are_measured(spark):
+    from runfield.plans.measures import Sampler, measured
+
+    cells = drawn(16, 6, 20, 40, 0.1)
+    stages = measured(voxels(spark, cells))
+    expected = grids.flood(cells)
+    assert list(stages) == ["encode", "contacts", "components", "labels", "relabel", "features"]
+    assert stages["encode"].counts["cells"] == stages["relabel"].counts["cells"] == len(cells)
+    assert stages["components"].counts["components"] == stages["features"].counts["components"] == len(set(expected.values()))
+    assert stages["contacts"].counts["contacts"] == unify.contacts(rle.segments(voxels(spark, cells))).count()
+    assert all(s.seconds > 0 and s.rate(next(iter(s.counts))) > 0 for s in stages.values()) and stages["components"].rounds == []
+    assert stages["encode"].shuffle_bytes > 0 and stages["relabel"].shuffle_bytes == 0
+    sampler = Sampler(spark)
+    with sampler.stage("none") as s:
+        assert sampler.kept(s, voxels(spark, []), cells=F.count(F.lit(1)), reach=F.max("col")).count() == 0
+    assert sampler.stages["none"].counts == {"cells": 0, "reach": 0}
