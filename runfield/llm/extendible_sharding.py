@@ -71,19 +71,21 @@ def directory(sizes: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFra
 def shards(docs: DataFrame, limit: int = LIMIT, step: int = STEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, depth, prefix, shard (the prefix as bits, '' for a lone shard), shard_bytes, oversize: a row for each of ``docs``."""
     sizes = written(hashed_sizes(docs, id_col, text_col), "sizes")
-    return _placed(sizes, directory(sizes, limit, step), step)
+    return _placed(sizes, directory(sizes, limit, step))
 
 
-def _placed(sizes: DataFrame, buckets: DataFrame, step: int) -> DataFrame:
-    """Each row with its bucket: one join for each ``step`` of depths that the directory has, by the bucket's own depth."""
-    depths = [r["depth"] for r in buckets.select("depth").distinct().collect()]  # 61 at most
-    if not depths:
-        depths = [0]
-    keys = F.array(*(F.struct(F.lit(d).alias("depth"), _prefix(F.col("h"), d).alias("prefix")) for d in sorted(depths)))
-    # A document lies in one bucket: of its prefixes at the depths in use, one is in the directory.
-    tried = sizes.select("*", F.explode(keys).alias("key")).select("doc_id", "n_bytes", "key.depth", "key.prefix")
+def _placed(sizes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Each row with its bucket: one join by the prefix of as many bits as the shallowest bucket has.
+
+    Of the buckets below that prefix, as many as extendible hashing split it into, a row is in the one whose whole prefix it
+    has; rows go into the shuffle once each, whatever depths are in use.
+    """
+    least = buckets.agg(F.min("depth")).first()[0] or 0
+    rows = sizes.withColumn("key", _prefix(F.col("h"), least))
+    named = buckets.withColumn("key", F.expr(f"shiftright(prefix, depth - {least})"))
     bits = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(conv(prefix, 10, 2), depth, '0')"))
-    return tried.join(buckets, ["depth", "prefix"]).select("doc_id", "n_bytes", F.col("depth").cast("int").alias("depth"), "prefix", bits.alias("shard"), "shard_bytes", "oversize")
+    met = rows.join(named, "key").where(F.expr(f"shiftright(h, {BITS} - depth) = prefix"))
+    return met.select("doc_id", "n_bytes", F.col("depth").cast("int").alias("depth"), "prefix", bits.alias("shard"), "shard_bytes", "oversize")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, step: int = STEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
