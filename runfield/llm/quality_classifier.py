@@ -15,7 +15,7 @@ document. The k-th largest key is found by counting keys in ever finer intervals
 
 Defined cases: null, empty and blank texts have no n-grams and weight 1, so they are kept unless k cuts them off; a null
 doc_id draws its noise as id 0 would; rows that tie with the k-th key are all kept; without target rows or documents every
-weight is 1; other columns are carried by ``kept_documents`` and not read by ``scored``.
+weight is 1; a very long text is a block of its own, whose n-grams are held at once, some 50 bytes for each token; other columns are carried by ``kept_documents`` and not read by ``scored``.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from runfield.llm import language_id as L
 from tests.llm import helpers
@@ -62,6 +63,46 @@ def test_temperature_lowers_confidence_of_wrong_logits():
     assert L._temperature(logits, y) > 2
 
 
+def test_temperature_is_the_one_of_least_loss():
+    rng = np.random.default_rng(1)
+    for true in (0.4, 1.0, 2.5):
+        logits = rng.normal(0, 3, (6000, 4))
+        chance = np.exp(logits / true)
+        chance /= chance.sum(axis=1, keepdims=True)
+        y = (chance.cumsum(axis=1) < rng.random((6000, 1))).sum(axis=1)
+
+        def loss(t):
+            e = logits / t
+            return float(np.mean(np.log(np.exp(e).sum(axis=1)) - e[np.arange(len(y)), y]))
+
+        found = L._temperature(logits, y)
+        assert abs(found / true - 1) < 0.1
+        assert loss(found) <= min(loss(t) for t in np.geomspace(0.1, 10, 60)) + 1e-9
+
+
+def test_languages_beyond_the_limit_are_not_learned(spark):
+    docs = helpers.table(spark, "documents")
+    model = L.fitted(docs, max_languages=2)
+    counts = docs.where(~L.held_out()).where("lang is not null").groupBy("lang").count().orderBy(F.desc("count")).limit(2).collect()
+    assert model.languages == sorted(r["lang"] for r in counts)
+    assert {r["lang_pred"] for r in L.predicted(docs, model).collect()} <= {*model.languages, "und"}
+
+
+def test_idf_counts_every_row_to_learn_from(spark):
+    docs = helpers.table(spark, "documents")
+    more = docs.unionByName(docs.where("doc_id < 40")).unionByName(docs.where("doc_id < 9").withColumn("text", F.lit(None).cast("string")))
+    model = L.fitted(more)
+    df, n = np.zeros(L.FEATURES), 0
+    for r in more.where("lang is not null").collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2:
+            continue
+        for _, _, _, feature, _, has in L.term_counts(pa.array([r["text"]], pa.string())):
+            df[feature] += 1
+            n += int(has.sum())
+    assert np.allclose(model.idf, np.log((1 + n) / (1 + df)) + 1) and n > 100
+    assert model.temperature > 0 and model.weights.shape == (L.FEATURES + 1, len(model.languages))
+
+
 def test_stage_keeps_all_columns(spark):
     docs = helpers.table(spark, "documents")
     kept = L.identified(docs)

@@ -135,6 +135,20 @@ def least_bins(lengths, capacity):
     return best
 
 
+def test_rows_of_one_id_are_dealt_over_tasks(spark):
+    library = Tokenizer.from_file(public_tokenizers.path(BYTE))
+    rows = [(7, helpers.prose(40, k)) for k in range(200)] + [(None, helpers.prose(40, 1000 + k)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    files = wavelet_shards.written(wavelet_shards.write_shards(docs, wavelet_shards.new_path(spark, "one-id"), shard_tokens=1500), "files")
+    assert len({r["path"].rsplit("/", 1)[-1].split("-")[1] for r in files.collect()}) > 2
+    got = sorted((r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in wavelet_shards.read_shards(files).collect())
+    ids = [(i or 0, np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4")) for i, t in rows]
+    assert got == sorted((i, len(x), zlib.crc32(x.tobytes())) for i, x in ids)
+    starts = wavelet_shards.read_shards(files).orderBy("start").collect()
+    assert [r["start"] for r in starts] == [0, *np.cumsum([r["n_tokens"] for r in starts])[:-1]]
+    assert [r["doc_id"] for r in starts] == [None] * 200 + [7] * 200
+
+
 def test_bin_completion_is_optimal_on_small_cases():
     rng = np.random.default_rng(0)
     for _ in range(150):
