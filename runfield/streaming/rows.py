@@ -17,7 +17,7 @@ What a stream gives out, by ``kind``:
     upper  a: component of the run (slice, row, x0), in the first slice of its slab
     late   slice, row, x0: a cell that arrived after its row was complete; it is in no component
 
-Rows may come in any order within a micro-batch. A cell that comes twice counts once. A negative column is no cell: it only
+Coordinates are 0 or more; a cell that lacks one is no cell. Rows may come in any order within a micro-batch. A cell that comes twice counts once. A negative column is no cell: it only
 says that all rows before its own are complete, as ``endings`` does at the end for every slab.
 """
 
@@ -51,7 +51,7 @@ def dealt(voxels: DataFrame, slices: int = SLICES) -> DataFrame:
     """Cells by slab; those of a slab's first slice go to the slab before it, too."""
     own = F.expr(f"cast(slice div {slices} as int)")
     slabs = F.when((F.col("slice") % slices == 0) & (F.col("slice") > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    return voxels.select(F.explode(slabs).alias("slab"), "slice", "row", "col")
+    return voxels.where("slice is not null and row is not null and col is not null").select(F.explode(slabs).alias("slab"), "slice", "row", "col")
 
 
 def endings(cells: DataFrame, row: int) -> DataFrame:
