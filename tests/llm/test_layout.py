@@ -171,6 +171,23 @@ def test_a_path_of_the_input_is_kept(spark):
     assert L.documents_with_paths(docs).first()["path"] == "own/path.txt"
 
 
+def test_a_hot_directory_is_split(spark):
+    hot = "concat(if(id % 2 = 0, 'hot', concat('d', cast(id % 20000 as string))), '/', cast(id as string), '.txt')"
+    found = spark.range(60_000).selectExpr("id AS doc_id", f"{hot} AS path", "if(id % 20000 < 2, 'MIT', cast(null as string)) AS own_license", "1.0D AS cosine", "id % 20000 < 2 AS license_file")
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.shuffle.partitions": "20"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        out = L.inherited(found)
+        rows = out.collect()
+        assert len(rows) == 60_000 and sum(r["origin"] == "inherited" for r in rows) > 29_000
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_license_odd_rows(spark):
     for docs in (helpers.odd(spark), helpers.none(spark)):
         assert L.licenses(L.documents_with_paths(docs)).count() == docs.count()
