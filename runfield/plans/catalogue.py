@@ -184,11 +184,11 @@ def fn_find_closest_value(spark, sf_dir):
 
 @query(o.vox(o.EV, 'SELECT slice, "row", col, val FROM dense', o.GRID, o.DENSE))
 def src_raw_volume(spark, sf_dir):
-    # written as bytes and read again, by stripes that are smaller than a slice
+    # written as bytes, in stripes that are smaller than a slice, and read again
     voxels, dims = volumes.activity(spark, sf_dir), activity_dims(spark, sf_dir)
     path = new_path(spark, "raw-volume")
-    raw.write_volume(voxels.withColumn("val", F.lit(1)), path, dims, stripe=512)
-    return raw.read_volume(spark, path, stripe=max(1, dims.height // 3))
+    raw.write_volume(voxels.withColumn("val", F.lit(1)), path, dims, stripe=max(1, dims.height // 3))
+    return raw.read_volume(spark, path)
 
 
 # Run-length encoding

@@ -202,10 +202,18 @@ def test_a_raw_volume_by_stripes(spark):
     path = new_path(spark, "raw").removeprefix("file://")
     raw.write_volume(spark.createDataFrame(cells, "slice int, row int, col int, val int"), path, dims, stripe=3)
     expected = {(z, y, x): 0 for z in range(5) for y in range(7) for x in range(13)} | {c[:3]: c[3] & 255 for c in cells}
-    for stripe in (1, 2, 3, 50):
-        back = raw.read_volume(spark, path, stripe)
-        assert {(r["slice"], r["row"], r["col"]): r["val"] for r in back.collect()} == expected
+    found = lambda back: {(r["slice"], r["row"], r["col"]): r["val"] for r in back.collect()}
+    for rows in (0, 1, 2, 3, 50):
+        assert found(raw.read_volume(spark, path, rows)) == expected
     assert raw.read_volume(spark, path, 4).rdd.getNumPartitions() > 5
+    # groups of two stripes, one file each; a task for each group, stored or not, but none for each stripe
+    for file, groups in ((13 * 3 * 2, 6), (1, 12), (1 << 20, 1)):
+        path = new_path(spark, "raw").removeprefix("file://")
+        raw.write_volume(spark.createDataFrame(cells, "slice int, row int, col int, val int"), path, dims, stripe=3, file=file)
+        assert raw.read_volume(spark, path).rdd.getNumPartitions() == groups
+        for rows in (0, 2, 4):
+            assert found(raw.read_volume(spark, path, rows)) == expected
+        assert len([n for n in os.listdir(path) if n.endswith(".raw")]) <= groups
     # one file, as another program would write it
     whole = os.path.join(path, "..", "whole.bin")
     with open(whole, "wb") as f:
