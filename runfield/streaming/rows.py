@@ -43,6 +43,8 @@ OUTPUT = "kind string, a long, b long, slice int, row int, x0 int, " + ", ".join
 COMP_BITS = 40
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A store sets disk aside for its logs unless told otherwise, several MB for each partition and run, however little it holds.
+_SETTINGS = {_PROVIDER: _ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 #: Columns of the arrays in the state: runs and cells, and open components.
 _RUN, _OPEN = 5, 1 + len(_PART)
 
@@ -221,14 +223,16 @@ def advanced(spark: SparkSession, source: str, sink: str, checkpoint: str, slice
 
     It may be called again whenever there are more cells, by another application too.
     """
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {name: spark.conf.get(name, None) for name in _SETTINGS}
+    for name, value in _SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         stream = labelled(spark.readStream.schema(CELLS).parquet(source), slices)
         query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def features_of(given: DataFrame) -> DataFrame:
