@@ -255,6 +255,26 @@ def test_boxes_against_one_by_one(spark):
     assert {r["box"]: r["ok"] for r in boxes.areas_have(labelled, table).collect()} == ok
 
 
+def small_boxes(spark):
+    draw = random.Random(14)
+    cells = drawn(13, 20, 30, 6, 0.15)
+    asked = [(k, z, z + draw.randrange(7), y, y + draw.choice([0, 3, 8, 25]), 0, draw.randrange(6), draw.randrange(1, 4)) for k in range(30) for z, y in [(draw.randrange(18), draw.randrange(28))]]
+    return written(pipeline.labelled_runs(voxels(spark, cells)), "labelled"), asked, "box long, z0 int, z1 int, y0 int, y1 int, x0 int, x1 int, expected long"
+
+
+def test_small_boxes_are_added_up_where_they_meet_runs(spark):
+    labelled, asked, schema = small_boxes(spark)
+    found = boxes.in_boxes(labelled, spark.createDataFrame(asked, schema))
+    assert "hashpartitioning(box" not in found._jdf.queryExecution().executedPlan().toString()
+    # the same rows where regions are so small that most boxes are large ones
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(found) == key(boxes.in_boxes(labelled, spark.createDataFrame(asked, schema), regions=((1, 1),))) != []
+    # boxes of one name, of whatever sizes and places, are one
+    names = [(k // 2 if k < 10 else k, *rest) for k, *rest in asked]
+    folded = features.folded(found.withColumn("box", F.expr("if(box < 10, box div 2, box)")), ["box", "label"])
+    assert key(boxes.in_boxes(labelled, spark.createDataFrame(names, schema))) == key(folded)
+
+
 def test_tiles_of_a_box_are_its_rows_once(spark):
     table = spark.createDataFrame([(1, 3, 37, 2, 90), (2, 5, 5, 7, 7), (3, 16, 31, 16, 31), (4, 0, 3, 1, 2)], "box long, z0 int, z1 int, y0 int, y1 int")
     seen = {}
