@@ -275,6 +275,18 @@ def test_small_boxes_are_added_up_where_they_meet_runs(spark):
     assert key(boxes.in_boxes(labelled, spark.createDataFrame(names, schema))) == key(folded)
 
 
+def test_areas_answer_each_row_by_regions(spark):
+    labelled, asked, schema = small_boxes(spark)
+    table = spark.createDataFrame([*asked, (99, 0, 0, 90, 95, 0, 5, 1)], schema)
+    found = boxes.areas_have(labelled, table)
+    assert "hashpartitioning(box" not in found._jdf.queryExecution().executedPlan().toString()
+    key = lambda df: sorted(map(tuple, df.collect()))
+    by_name = key(found)
+    assert by_name == key(boxes.areas_have(labelled, table, regions=((1, 1),))) and len({ok for _, ok in by_name}) == 2
+    one = key(boxes.areas_have(labelled, table.withColumn("box", F.lit(7))))
+    assert one == sorted((7, ok) for _, ok in by_name)
+
+
 def test_tiles_of_a_box_are_its_rows_once(spark):
     table = spark.createDataFrame([(1, 3, 37, 2, 90), (2, 5, 5, 7, 7), (3, 16, 31, 16, 31), (4, 0, 3, 1, 2)], "box long, z0 int, z1 int, y0 int, y1 int")
     seen = {}
