@@ -20,9 +20,15 @@ def _in_row():
 
 
 def runs(voxels: DataFrame) -> DataFrame:
-    """slice, row, x0, x1. One shuffle by row; cells of a run are those whose column less their rank in the row is equal."""
-    rank = F.row_number().over(_in_row().orderBy("col"))
-    return voxels.withColumn("g", F.col("col") - rank).groupBy("slice", "row", "g").agg(F.min("col").alias("x0"), (F.max("col") + 1).alias("x1")).drop("g")
+    """slice, row, x0, x1. One shuffle by row and one sort; a cell that comes twice counts once.
+
+    Of a sorted row only the first and the last cell of each run are kept, so no task gathers runs or cells in memory.
+    """
+    order = _in_row().orderBy("col")
+    before, after = F.lag("col").over(order), F.lead("col").over(order)
+    ends = voxels.select("slice", "row", "col", (before.isNull() | (before < F.col("col") - 1)).alias("first"), (after.isNull() | (after > F.col("col") + 1)).alias("last")).where("first or last")
+    last = F.when(F.col("last"), F.col("col")).otherwise(F.lead("col").over(order))
+    return ends.withColumn("x1", last + 1).where("first").select("slice", "row", F.col("col").alias("x0"), "x1")
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str], band: Column, name: str) -> DataFrame:
@@ -79,9 +85,12 @@ def relative_labels(dense: DataFrame) -> DataFrame:
 def gaps(seg: DataFrame, width: int) -> DataFrame:
     """slice, row, x0, x1 of the background between, before and after the runs of every row that has runs."""
     order = _in_row().orderBy("x0")
-    before = seg.select("slice", "row", F.coalesce(F.lag("x1").over(order), F.lit(0)).alias("x0"), F.col("x0").alias("x1"))
-    tail = seg.groupBy("slice", "row").agg(F.max("x1").alias("x0")).withColumn("x1", F.lit(width))
-    return before.unionByName(tail).where("x0 < x1")
+    start, after = F.coalesce(F.lag("x1").over(order), F.lit(0)), F.lead("x0").over(order)
+    sided = seg.select("slice", "row", start.alias("start"), "x0", "x1", after.isNull().alias("last"))
+    gap = lambda a, b: F.struct(a.alias("x0"), b.alias("x1"))
+    own, tail = gap(F.col("start"), F.col("x0")), gap(F.col("x1"), F.lit(width))
+    each = F.explode(F.when(F.col("last"), F.array(own, tail)).otherwise(F.array(own)))
+    return sided.select("slice", "row", each.alias("gap")).select("slice", "row", "gap.x0", "gap.x1").where("x0 < x1")
 
 
 def every_cell(seg: DataFrame, dims: Dims, value: str | Column, other: Column) -> DataFrame:

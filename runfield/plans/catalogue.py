@@ -47,19 +47,19 @@ def activity_dims(spark: SparkSession, sf_dir: str) -> Dims:
 
 
 def _activity_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.dense(volumes.activity(spark, sf_dir), activity_dims(spark, sf_dir))
+    return pipeline.dense(volumes.activity(spark, sf_dir, distinct=False), activity_dims(spark, sf_dir))
 
 
 def _ship_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(rle.segments(volumes.shipments(spark, sf_dir)), "segments")
+    return written(rle.segments(volumes.shipments(spark, sf_dir, distinct=False)), "segments")
 
 
 def _ship_labelled(spark: SparkSession, sf_dir: str, strategy: str = "band") -> DataFrame:
-    return pipeline.labelled_runs(volumes.shipments(spark, sf_dir), strategy)
+    return pipeline.labelled_runs(volumes.shipments(spark, sf_dir, distinct=False), strategy)
 
 
 def _activity_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(pipeline.labelled_runs(volumes.activity(spark, sf_dir)), "labelled")
+    return written(pipeline.labelled_runs(volumes.activity(spark, sf_dir, distinct=False)), "labelled")
 
 
 # Sources and reshaping
@@ -114,7 +114,7 @@ def reshape_transpose(spark, sf_dir):
 
 @query(o.vox(o.SHIP, 'SELECT CAST(max(col) + 1 AS INTEGER) AS width, CAST(max("row") + 1 AS INTEGER) AS height, CAST(max(slice) + 1 AS INTEGER) AS depth FROM vox'))
 def meta_dims(spark, sf_dir):
-    return volumes.dimensions(volumes.shipments(spark, sf_dir))
+    return volumes.dimensions(volumes.shipments(spark, sf_dir, distinct=False))
 
 
 @query(o.vox(o.SHIP, 'SELECT slice, "row", col, (CAST(slice AS BIGINT) * (SELECT max("row") + 1 FROM vox) + "row") * (SELECT max(col) + 1 FROM vox) + col AS pos FROM vox'))
@@ -196,7 +196,7 @@ def src_raw_volume(spark, sf_dir):
 
 @query(o.vox(o.SHIP, 'SELECT slice, "row", x0, x1 FROM run', o.RUNS))
 def rle_packed(spark, sf_dir):
-    return bitrows.runs(bitrows.packed(volumes.shipments(spark, sf_dir)))
+    return bitrows.runs(bitrows.packed(volumes.shipments(spark, sf_dir, distinct=False)))
 
 
 @query(o.vox(o.EMB, 'SELECT slice, "row", count(*) AS n FROM vox GROUP BY slice, "row"'))
@@ -211,12 +211,12 @@ def rle_edges(spark, sf_dir):
 
 @query(o.vox(o.SHIP, 'SELECT slice, "row", x0, x1 FROM run', o.RUNS))
 def rle_halfopen(spark, sf_dir):
-    return rle.runs(volumes.shipments(spark, sf_dir))
+    return rle.runs(volumes.shipments(spark, sf_dir, distinct=False))
 
 
 @query(o.vox(o.SHIP, 'SELECT slice, "row", x0, CAST(x1 - 1 AS INTEGER) AS x1 FROM run', o.RUNS))
 def rle_closed(spark, sf_dir):
-    return rle.closed(rle.runs(volumes.shipments(spark, sf_dir)))
+    return rle.closed(rle.runs(volumes.shipments(spark, sf_dir, distinct=False)))
 
 
 @query(o.vox(o.EV, 'SELECT slice, "row", col, val, CAST(sum(edge) OVER (PARTITION BY slice, "row" ORDER BY col) AS BIGINT) AS er FROM edges', o.GRID, o.DENSE, o.EDGES))
@@ -227,22 +227,22 @@ def rle_er(spark, sf_dir):
 @query(o.vox(o.SHIP, '''SELECT * FROM (SELECT slice, "row", coalesce(lag(x1) OVER (PARTITION BY slice, "row" ORDER BY x0), 0) AS x0, x0 AS x1 FROM run
 UNION ALL SELECT slice, "row", max(x1), 31 FROM run GROUP BY slice, "row") WHERE x0 < x1''', o.RUNS))
 def seg_gaps(spark, sf_dir):
-    return rle.gaps(rle.runs(volumes.shipments(spark, sf_dir)), 31)
+    return rle.gaps(rle.runs(volumes.shipments(spark, sf_dir, distinct=False)), 31)
 
 
 @query(o.vox(o.SHIP, 'SELECT slice, "row", CAST(greatest(x0 - 1, 0) AS INTEGER) AS x0, CAST(least(x1, 30) AS INTEGER) AS x1 FROM run', o.RUNS))
 def seg_widen(spark, sf_dir):
-    return rle.widened(rle.closed(rle.runs(volumes.shipments(spark, sf_dir))), 31)
+    return rle.widened(rle.closed(rle.runs(volumes.shipments(spark, sf_dir, distinct=False))), 31)
 
 
 @query(o.vox(o.SHIP, 'SELECT slice, "row", count(*) AS n FROM vox GROUP BY slice, "row"'))
 def seg_count_foreground(spark, sf_dir):
-    return rle.foreground_counts(rle.runs(volumes.shipments(spark, sf_dir)))
+    return rle.foreground_counts(rle.runs(volumes.shipments(spark, sf_dir, distinct=False)))
 
 
 @query(o.seg(o.SHIP, 'SELECT slice, "row", seg, x0, x1, seg_id FROM seg'))
 def seg_ids(spark, sf_dir):
-    return rle.segments(volumes.shipments(spark, sf_dir))
+    return rle.segments(volumes.shipments(spark, sf_dir, distinct=False))
 
 
 # Contacts
@@ -260,7 +260,7 @@ def unify_contacts_stored(spark, sf_dir):
 
 @query(o.contacts(o.EV, "SELECT a, b FROM contacts"))
 def unify_contacts_er(spark, sf_dir):
-    voxels, dims = volumes.activity(spark, sf_dir), activity_dims(spark, sf_dir)
+    voxels, dims = volumes.activity(spark, sf_dir, distinct=False), activity_dims(spark, sf_dir)
     return unify.contacts_by_position(written(rle.segments(voxels), "segments"), rle.relative_labels(pipeline.dense(voxels, dims)))
 
 
@@ -289,7 +289,7 @@ SELECT *, sum(start) OVER (PARTITION BY slice, "row" ORDER BY x0, x1 ROWS UNBOUN
 SELECT *, CASE WHEN x0 <= max(x1) OVER (PARTITION BY slice, "row" ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS start
 FROM (SELECT slice, "row", x0, x1 FROM run UNION SELECT CAST(slice + 1 AS INTEGER), "row", x0, x1 FROM run))) GROUP BY slice, "row", line''', o.RUNS))
 def seg_double_line(spark, sf_dir):
-    return unify.double_lines(rle.runs(volumes.shipments(spark, sf_dir)))
+    return unify.double_lines(rle.runs(volumes.shipments(spark, sf_dir, distinct=False)))
 
 
 @query(o.labels(o.SHIP, "SELECT seg_id, label FROM labelled"))
@@ -341,7 +341,7 @@ def reduce_slab_labels(spark, sf_dir):
 
 @query(o.labels(o.SHIP, "SELECT seg_id, label FROM labelled"))
 def reduce_slab_depth(spark, sf_dir):
-    return pipeline.labelled_runs(volumes.shipments(spark, sf_dir), "slab", slices=3).select("seg_id", "label")
+    return pipeline.labelled_runs(volumes.shipments(spark, sf_dir, distinct=False), "slab", slices=3).select("seg_id", "label")
 
 
 # Label images
@@ -396,17 +396,17 @@ _FLAT = 'SELECT slice, label, "S", "Sx", "Sy", lo_col, lo_row, hi_col, CAST(hi_r
 
 @query(o.labels(o.SHIP, o.features("labelled")))
 def cca_features(spark, sf_dir):
-    return pipeline.component_features(volumes.shipments(spark, sf_dir))
+    return pipeline.component_features(volumes.shipments(spark, sf_dir, distinct=False))
 
 
 @query(o.labels(o.SHIP, 'SELECT label, "S", lo_col, lo_row, lo_slice, hi_col, hi_row, hi_slice FROM (' + o.features("labelled") + ")"))
 def cca_features_chosen(spark, sf_dir):
-    return pipeline.component_features(volumes.shipments(spark, sf_dir), features.FeatureConfig(moments=False))
+    return pipeline.component_features(volumes.shipments(spark, sf_dir, distinct=False), features.FeatureConfig(moments=False))
 
 
 @query(o.labels(o.EV, o.features("labelled")))
 def cca_features_activity(spark, sf_dir):
-    return pipeline.component_features(volumes.activity(spark, sf_dir), strategy="slab")
+    return pipeline.component_features(volumes.activity(spark, sf_dir, distinct=False), strategy="slab")
 
 
 @query(o.labels(o.EMB, _FLAT + o.features("labelled", "slice, label") + ")"))
@@ -437,20 +437,20 @@ def _order_boxes(spark: SparkSession, sf_dir: str, voxels: DataFrame) -> DataFra
 
 @query(o.labels(o.SHIP, o.features('labelled JOIN boxes ON slice BETWEEN z0 AND z1 AND "row" BETWEEN y0 AND y1', "box, label").replace("x0", "labelled.x0").replace("x1", "labelled.x1"), _BOXES.format(depth=_SHIP_DEPTH, orders="orders")))
 def cca_features_boxes(spark, sf_dir):
-    voxels = volumes.shipments(spark, sf_dir)
+    voxels = volumes.shipments(spark, sf_dir, distinct=False)
     return boxes.in_boxes(written(pipeline.labelled_runs(voxels), "labelled"), _order_boxes(spark, sf_dir, voxels))
 
 
 @query(o.labels(o.SHIP, """SELECT box, (SELECT coalesce(bool_and(label = expected), true) FROM labelled l WHERE slice BETWEEN z0 AND z1 AND "row" BETWEEN y0 AND y1 AND l.x0 <= b.x1 AND l.x1 > b.x0) AS ok FROM boxes b""", _BOXES.format(depth=_SHIP_DEPTH, orders="orders")))
 def label_test_areas(spark, sf_dir):
-    voxels = volumes.shipments(spark, sf_dir)
+    voxels = volumes.shipments(spark, sf_dir, distinct=False)
     return boxes.areas_have(written(pipeline.labelled_runs(voxels), "labelled"), _order_boxes(spark, sf_dir, voxels))
 
 
 @query(o.labels(o.SHIP, o.features("labelled")))
 def cca_features_growing(spark, sf_dir):
     # the volume is added slab by slab
-    voxels = volumes.shipments(spark, sf_dir)
+    voxels = volumes.shipments(spark, sf_dir, distinct=False)
     depth = voxels.agg(F.max("slice") + 1).first()[0] or 1
     slices = -(-depth // 5)
     path = new_path(spark, "by-slab")
@@ -504,7 +504,7 @@ def cca_features_merge(spark, sf_dir):
 
 @query(o.labels(o.SHIP, 'SELECT (SELECT max(label) FROM labelled) + 1 - label AS label, * EXCLUDE (label) FROM (' + o.features("labelled") + ")"))
 def cca_normalize(spark, sf_dir):
-    found = written(pipeline.component_features(volumes.shipments(spark, sf_dir)), "features")
+    found = written(pipeline.component_features(volumes.shipments(spark, sf_dir, distinct=False)), "features")
     top = found.agg(F.max("label").alias("top"))
     names = found.select(F.col("label").alias("src")).crossJoin(F.broadcast(top)).select("src", (F.col("top") + 1 - F.col("src")).alias("dst"))
     return features.normalized(found, names)
@@ -512,20 +512,20 @@ def cca_normalize(spark, sf_dir):
 
 @query(o.labels(o.SHIP, "SELECT count(*) > 0 AS equal, CAST(0 AS BIGINT) AS n_differing FROM labelled"))
 def cca_equals(spark, sf_dir):
-    voxels = volumes.shipments(spark, sf_dir)
+    voxels = volumes.shipments(spark, sf_dir, distinct=False)
     return features.equal(pipeline.component_features(voxels), pipeline.component_features(voxels, strategy="double"))
 
 
 @query(o.labels(o.SHIP, "SELECT count(*) = 0 AS equal, count(*) AS n_differing FROM (SELECT DISTINCT label FROM labelled) WHERE label % 7 = 0 OR label % 10 = 3"))
 def cca_equals_changed(spark, sf_dir):
     # a seventh of the components with another volume, a tenth missing
-    found = written(pipeline.component_features(volumes.shipments(spark, sf_dir)), "features")
+    found = written(pipeline.component_features(volumes.shipments(spark, sf_dir, distinct=False)), "features")
     return features.equal(found, found.where("label % 10 <> 3").withColumn("S", F.when(F.col("label") % 7 == 0, F.col("S") + 1).otherwise(F.col("S"))))
 
 
 @query(o.labels(o.SHIP, 'SELECT label, CAST("Sx" AS DOUBLE) / "S" AS cx, CAST("Sy" AS DOUBLE) / "S" AS cy, CAST("Sz" AS DOUBLE) / "S" AS cz FROM (' + o.features("labelled") + ")"))
 def cca_centroid(spark, sf_dir):
-    return features.centroids(pipeline.component_features(volumes.shipments(spark, sf_dir)))
+    return features.centroids(pipeline.component_features(volumes.shipments(spark, sf_dir, distinct=False)))
 
 
 # Comparisons and text
@@ -533,7 +533,7 @@ def cca_centroid(spark, sf_dir):
 
 @query(o.cells(o.EV, "SELECT count(*) > 0 AS equal, CAST(0 AS BIGINT) AS n_differing FROM cells"))
 def mat_compare(spark, sf_dir):
-    voxels, dims = volumes.activity(spark, sf_dir), activity_dims(spark, sf_dir)
+    voxels, dims = volumes.activity(spark, sf_dir, distinct=False), activity_dims(spark, sf_dir)
     return validate.compared(pipeline.label_image(voxels), pipeline.label_image(voxels, strategy="position", dims=dims))
 
 

@@ -29,22 +29,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _cells(df: DataFrame, slice_: Column, row: Column, col: Column) -> DataFrame:
-    """Distinct cells; rows in which a coordinate is null name no cell."""
+def _cells(df: DataFrame, slice_: Column, row: Column, col: Column, distinct: bool = True) -> DataFrame:
+    """Cells, distinct ones if they are to be; rows in which a coordinate is null name no cell."""
     cells = df.select(slice_.cast("int").alias("slice"), row.cast("int").alias("row"), col.cast("int").alias("col"))
-    return cells.where("slice is not null and row is not null and col is not null").distinct()
+    cells = cells.where("slice is not null and row is not null and col is not null")
+    return cells.distinct() if distinct else cells
 
 
-def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier x month since 1995 x day of month of returned line items."""
+def shipments(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+    """Supplier x month since 1995 x day of month of returned line items. Runs need no ``distinct`` cells, which take a shuffle."""
     day = F.col("l_shipdate")
     returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
-    return _cells(returned, F.col("l_suppkey"), (F.year(day) - 1995) * 12 + F.month(day) - 1, F.dayofmonth(day) - 1)
+    return _cells(returned, F.col("l_suppkey"), (F.year(day) - 1995) * 12 + F.month(day) - 1, F.dayofmonth(day) - 1, distinct)
 
 
-def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User x day since 2024-01-01 x hour of events; earlier events lie outside the grid."""
-    return _cells(table(spark, sf_dir, "events"), *activity_place()).where("row >= 0")
+def activity(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+    """User x day since 2024-01-01 x hour of events; earlier events lie outside the grid. ``distinct`` as in ``shipments``."""
+    return _cells(table(spark, sf_dir, "events"), *activity_place(), distinct).where("row >= 0")
 
 
 def activity_place() -> tuple[Column, Column, Column]:

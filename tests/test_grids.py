@@ -256,3 +256,21 @@ def test_a_long_grid_of_small_blocks(spark):
     found = components.roots(seg.select("seg_id"), links, block=2, finish=8, rounds=rounds).collect()
     assert {r["root"] for r in found} == {1} and len(found) == 399
     assert 0 < len(rounds) <= 20
+
+
+def test_runs_and_gaps_keep_nothing_in_memory(spark):
+    draw = random.Random(21)
+    cells = sorted({(draw.randrange(3), draw.randrange(4), draw.randrange(30)) for _ in range(200)})
+    grid = voxels(spark, cells + cells[::3])
+    rows, expected = rle.runs(grid), []
+    for z, y, x in cells:
+        if expected and expected[-1][:2] == [z, y] and expected[-1][3] == x:
+            expected[-1][3] = x + 1
+        else:
+            expected.append([z, y, x, x + 1])
+    key = lambda df: sorted(list(r) for r in df.select("slice", "row", "x0", "x1").collect())
+    assert key(rows) == expected
+    filled = {(z, y, x) for z, y in {c[:2] for c in cells} for x in range(32)} - set(cells)
+    assert {(z, y, x) for z, y, a, b in key(rle.gaps(rows, 32)) for x in range(a, b)} == filled
+    plan = rle.gaps(rows, 32)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "Union" not in plan and plan.count("Exchange hashpartitioning") == 1
