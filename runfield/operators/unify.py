@@ -106,36 +106,43 @@ def contact_counts(seg: DataFrame) -> DataFrame:
     return met.groupBy(F.col("a_slice").alias("slice"), F.col("a_row").alias("row"), F.col("o.dz").alias("dz"), F.col("o.dy").alias("dy")).agg(F.count("*").alias("n"))
 
 
+def _lined(placed: DataFrame) -> DataFrame:
+    """``placed`` (slice, row, x0, x1) with ``line``: which of the intervals that touching ones of its row coalesce to, from 0."""
+    row = Window.partitionBy("slice", "row").orderBy("x0", "x1")
+    reach = F.max("x1").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    start = F.when(reach.isNull() | (F.col("x0") > reach), 1).otherwise(0)
+    island = F.sum("start").over(row.rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("start", start).withColumn("line", (island - 1).cast("int")).drop("start")
+
+
+def _placed(seg: DataFrame, keep: list[str]) -> DataFrame:
+    """Runs at their own slice and at the next."""
+    both = F.explode(F.array("slice", F.col("slice") + 1)).alias("slice")
+    return seg.select(both, "row", "x0", "x1", *keep)
+
+
 def double_lines(seg: DataFrame) -> DataFrame:
     """slice, row, line, x0, x1: each row's runs united with those of the same row one slice back; touching runs coalesce.
 
     ``line`` numbers the intervals of a row from 0. Rows stand at the later slice; a row of the slice before that has no
     row after it stands there too, as the rows of both slices are united.
     """
-    # equal runs of both slices are one interval, so (x0, x1) orders the intervals of a row in one way only
-    both = seg.select("slice", "row", "x0", "x1").unionByName(seg.select((F.col("slice") + 1).alias("slice"), "row", "x0", "x1")).distinct()
-    row = Window.partitionBy("slice", "row").orderBy("x0", "x1")
-    reach = F.max("x1").over(row.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.when(reach.isNull() | (F.col("x0") > reach), 1).otherwise(0)
-    island = F.sum("start").over(row.rowsBetween(Window.unboundedPreceding, 0))
-    lines = both.withColumn("start", start).withColumn("line", (island - 1).cast("int"))
-    return lines.groupBy("slice", "row", "line").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    # equal runs of both slices overlap, so whichever comes first, both are in one line
+    return _lined(_placed(seg, [])).groupBy("slice", "row", "line").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
 
 def double_links(seg: DataFrame) -> DataFrame:
     """a, b: links that give the same components as ``contacts``, by double lines.
 
-    A run belongs to the double line that covers it at its own slice and at the next; all runs of a line are linked to its
-    least, and the least runs of touching lines of neighbouring rows to each other.
+    A run belongs to the double line that covers it at its own slice and at the next, as the window that finds lines tells; all
+    runs of a line are linked to its least, and the least runs of touching lines of neighbouring rows to each other.
     """
-    lines = double_lines(seg)
-    placed = seg.select("slice", "row", "x0", "x1", "seg_id").unionByName(seg.select((F.col("slice") + 1).alias("slice"), "row", "x0", "x1", "seg_id"))
-    held = touching(placed, lines, [(0, 0)], ["slice", "row", "seg_id"], ["line"]).select(F.col("a_slice").alias("slice"), F.col("a_row").alias("row"), F.col("b_line").alias("line"), F.col("a_seg_id").alias("seg_id"))
-    least = held.groupBy("slice", "row", "line").agg(F.min("seg_id").alias("least"))
-    inside = held.join(least, ["slice", "row", "line"]).where("seg_id <> least").select(F.col("seg_id").alias("a"), F.col("least").alias("b"))
-    named = lines.join(least, ["slice", "row", "line"])
+    held = _lined(_placed(seg, ["seg_id"]))
+    line = Window.partitionBy("slice", "row", "line")
+    inside = held.withColumn("least", F.min("seg_id").over(line)).where("seg_id <> least").select(F.col("seg_id").alias("a"), F.col("least").alias("b"))
+    named = held.groupBy("slice", "row", "line").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("seg_id").alias("least"))
     across = touching(named, named, [ABOVE], ["least"], ["least"]).where("a_least <> b_least")
-    return inside.unionByName(across.select(F.greatest("a_least", "b_least").alias("a"), F.least("a_least", "b_least").alias("b"))).distinct()
+    return inside.unionByName(across.select(F.greatest("a_least", "b_least").alias("a"), F.least("a_least", "b_least").alias("b")))
 
 
 def statistics(seg: DataFrame) -> DataFrame:

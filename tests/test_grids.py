@@ -274,3 +274,10 @@ def test_runs_and_gaps_keep_nothing_in_memory(spark):
     assert {(z, y, x) for z, y, a, b in key(rle.gaps(rows, 32)) for x in range(a, b)} == filled
     plan = rle.gaps(rows, 32)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan and "Union" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_double_links_join_lines_only(spark):
+    seg = rle.segments(voxels(spark, [(z, y, x) for z in range(3) for y in range(3) for x in range(0, 9, 2)]))
+    seg = spark.createDataFrame(seg.collect(), seg.schema)
+    links = unify.double_links(seg)
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
