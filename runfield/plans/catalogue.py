@@ -512,8 +512,8 @@ def cca_normalize(spark, sf_dir):
 
 @query(o.labels(o.SHIP, "SELECT count(*) > 0 AS equal, CAST(0 AS BIGINT) AS n_differing FROM labelled"))
 def cca_equals(spark, sf_dir):
-    voxels = volumes.shipments(spark, sf_dir, distinct=False)
-    return features.equal(pipeline.component_features(voxels), pipeline.component_features(voxels, strategy="double"))
+    seg = _ship_segments(spark, sf_dir)
+    return features.equal(*(features.of_runs(pipeline.labelled_segments(seg, strategy)) for strategy in ("band", "double")))
 
 
 @query(o.labels(o.SHIP, "SELECT count(*) = 0 AS equal, count(*) AS n_differing FROM (SELECT DISTINCT label FROM labelled) WHERE label % 7 = 0 OR label % 10 = 3"))

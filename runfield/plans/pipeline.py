@@ -14,7 +14,11 @@ STRATEGIES = ("band", "position", "double", "slab", "packed")
 
 def dense(voxels: DataFrame, dims: Dims) -> DataFrame:
     """Every cell with val 0 or 1."""
-    return rle.every_cell(rle.runs(voxels), dims, F.lit(1), F.lit(0)).withColumnRenamed("value", "val")
+    return _dense(rle.runs(voxels), dims)
+
+
+def _dense(seg: DataFrame, dims: Dims) -> DataFrame:
+    return rle.every_cell(seg, dims, F.lit(1), F.lit(0)).withColumnRenamed("value", "val")
 
 
 def labelled_runs(voxels: DataFrame, strategy: str = "band", dims: Dims | None = None, slices: int = 8) -> DataFrame:
@@ -27,11 +31,15 @@ def labelled_runs(voxels: DataFrame, strategy: str = "band", dims: Dims | None =
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}; one of {', '.join(STRATEGIES)}")
     found = bitrows.runs(bitrows.packed(voxels)) if strategy == "packed" else rle.runs(voxels)
-    seg = written(rle.numbered_runs(found), "segments")
+    return labelled_segments(written(rle.numbered_runs(found), "segments"), strategy, dims, slices)
+
+
+def labelled_segments(seg: DataFrame, strategy: str = "band", dims: Dims | None = None, slices: int = 8) -> DataFrame:
+    """``labelled_runs`` of segments, as ``rle.segments`` gives them; they are read several times."""
     if strategy == "position":
         if dims is None:
             raise ValueError("the position strategy needs the grid's dims")
-        links = unify.contacts_by_position(seg, rle.relative_labels(dense(voxels, dims)))
+        links = unify.contacts_by_position(seg, rle.relative_labels(_dense(seg, dims)))
     elif strategy == "double":
         links = unify.double_links(seg)
     elif strategy in ("band", "packed"):

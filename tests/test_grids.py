@@ -281,3 +281,12 @@ def test_double_links_join_lines_only(spark):
     seg = spark.createDataFrame(seg.collect(), seg.schema)
     links = unify.double_links(seg)
     assert links._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_strategies_share_segments(spark):
+    cells = [(z, y, x) for z in range(4) for y in range(5) for x in range(11) if (z * 7 + y * 5 + x * 3) % 4 == 0]
+    grid = voxels(spark, cells + cells)
+    seg = rle.segments(grid)
+    seg = spark.createDataFrame(seg.collect(), seg.schema)
+    for strategy in ("band", "double", "position"):
+        assert labels_of(relabel.label_cells(pipeline.labelled_segments(seg, strategy, Dims(11, 5, 4)))) == grids.flood(cells)
