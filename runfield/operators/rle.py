@@ -13,6 +13,8 @@ from runfield.sources.volumes import Dims
 
 #: Rows of a slice that are numbered together, and slices whose bands are summed up together.
 ROWS, SLICES = 1024, 4096
+#: Cells of a dense grid that one task spreads out.
+TASK_CELLS = 1 << 20
 
 
 def _in_row():
@@ -104,8 +106,9 @@ def every_cell(seg: DataFrame, dims: Dims, value: str | Column, other: Column) -
     rows = seg.sparkSession.range(dims.depth * dims.height).selectExpr(f"cast(id div {dims.height} as int) AS slice", f"cast(id % {dims.height} as int) AS row")
     bare = rows.join(inside.select("slice", "row").distinct(), ["slice", "row"], "left_anti").withColumn("x0", F.lit(0)).withColumn("x1", F.lit(dims.width))
     empty = gaps(inside, dims.width).unionByName(bare).withColumn("value", other)
-    # dealt anew, as a union of parts that are dealt by row need not be
-    dealt = inside.select("slice", "row", "x0", "x1", value.alias("value")).unionByName(empty).repartition("slice", "row")
+    # dealt anew, as a union of parts that are dealt by row need not be; by the number of cells, as runs don't tell how many come of them
+    tasks = max(seg.sparkSession.sparkContext.defaultParallelism, -(-dims.cells // TASK_CELLS))
+    dealt = inside.select("slice", "row", "x0", "x1", value.alias("value")).unionByName(empty).repartition(tasks, "slice", "row")
     return dealt.select("slice", "row", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("col"), "value")
 
 

@@ -533,8 +533,10 @@ def cca_centroid(spark, sf_dir):
 
 @query(o.cells(o.EV, "SELECT count(*) > 0 AS equal, CAST(0 AS BIGINT) AS n_differing FROM cells"))
 def mat_compare(spark, sf_dir):
-    voxels, dims = volumes.activity(spark, sf_dir, distinct=False), activity_dims(spark, sf_dir)
-    return validate.compared(pipeline.label_image(voxels), pipeline.label_image(voxels, strategy="position", dims=dims))
+    seg = written(rle.segments(volumes.activity(spark, sf_dir, distinct=False)), "segments")
+    band = pipeline.labelled_segments(seg)
+    position = pipeline.labelled_segments(seg, "position", activity_dims(spark, sf_dir))
+    return validate.compared(relabel.label_cells(band), relabel.label_cells(position))
 
 
 @query(o.cells(o.EV, "SELECT count(*) = 0 AS equal, count(*) AS n_differing FROM cells WHERE label >= 5 OR col = 3"))

@@ -290,3 +290,9 @@ def test_strategies_share_segments(spark):
     seg = spark.createDataFrame(seg.collect(), seg.schema)
     for strategy in ("band", "double", "position"):
         assert labels_of(relabel.label_cells(pipeline.labelled_segments(seg, strategy, Dims(11, 5, 4)))) == grids.flood(cells)
+
+
+def test_a_dense_grid_is_dealt_by_its_cells(spark):
+    one = spark.createDataFrame([(0, 0, 3, 5)], "slice int, row int, x0 int, x1 int")
+    found = rle.every_cell(one, Dims(4096, 4096), F.lit(1), F.lit(0))
+    assert found.rdd.getNumPartitions() == 16
