@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from runfield.operators import bitrows, boxes, features, relabel, rle, sweep, unify, validate
+from runfield.operators import bitrows, boxes, components, features, relabel, rle, sweep, unify, validate
 from runfield.operators.stored import StoredRuns
 from runfield.plans import pipeline
 from runfield.plans.growing import GrowingVolume
@@ -170,6 +170,42 @@ def test_state_does_not_grow_with_rows():
     assert max(sizes[100:]) <= max(sizes[:20])
 
 
+def test_rows_of_a_batch_are_completed_at_once(monkeypatch):
+    calls = []
+    least = components._least
+    monkeypatch.setattr(components, "_least", lambda a, b: calls.append(len(a)) or least(a, b))
+    state = arriving._Slab(1, 8)
+    state.take(np.array([(z, y, x) for z in range(8, 17) for y in range(200) if y % 7 for x in range(y % 3, 20, 3)], np.int64))
+    assert len(calls) == 1 and len(state.out) <= 5
+
+
+def test_batches_cut_anywhere_give_the_same(spark):
+    import pandas as pd
+
+    cells = drawn(77, 7, 40, 9, 0.12)
+    cells += [(z, y + 90, x) for z, y, x in cells[::2]] + cells[::3]
+    expected = grids.features(grids.flood(sorted(set(cells))))
+    for batches in ([(0, 140)], [(0, 1), (1, 39), (39, 95), (95, 140)], [(k, k + 3) for k in range(0, 140, 3)]):
+        given = spark.createDataFrame(pd.concat(plain_stream(cells, 3, batches, 140)).astype(object).where(lambda f: f.notna(), None), arriving.OUTPUT)
+        assert given.where("kind = 'late'").isEmpty()
+        assert feature_rows(arriving.features_of(given)) == expected
+
+
+def test_state_partitions_follow_the_cores(spark):
+    cells = arriving.dealt(voxels(spark, drawn(5, 6, 9, 8, 0.25)), 3)
+    source, sink, state = (new_path(spark, k) for k in ("source", "sink", "state"))
+    cells.unionByName(arriving.endings(cells, 10)).write.parquet(source)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        arriving.advanced(spark, source, sink, state, 3)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "24"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    stores = [n for n in os.listdir(state.removeprefix("file://") + "/state/0") if n.isdigit()]
+    assert 0 < len(stores) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_late_cells_are_told():
     state = arriving._Slab(0, 8)
     state.take(np.array([(0, 0, 0), (0, 3, 1)], np.int64))
