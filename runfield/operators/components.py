@@ -101,17 +101,20 @@ def _resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def roots(vertices: DataFrame, edges: DataFrame, block: int = BLOCK, finish: int = FINISH, rounds: list[tuple[int, int]] | None = None) -> DataFrame:
-    """``vertices`` with ``root``, the least seg_id of its component; edges (a, b) join seg_ids. ``finish``, ``rounds``: see ``connected``."""
+    """``vertices`` (seg_id and any others but root) with ``root``, the least seg_id of its component; edges (a, b) join seg_ids. ``finish``, ``rounds``: see ``connected``."""
     edges = written(edges.select("a", "b"), "contacts")
     local = written(block_roots(edges, block), "block-roots")
     # An edge inside a block is done with; ends of the others go to their block's roots.
-    outer = edges.where(F.floor(F.col("a") / block) != F.floor(F.col("b") / block))
-    up = lambda df, c: df.join(local.select(F.col("v").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(c, F.coalesce(f"{c}_root", c)).drop(f"{c}_root")
+    # They are few, and written, so that they are broadcast to the roots, which are not shuffled for them.
+    outer = written(edges.where(F.floor(F.col("a") / block) != F.floor(F.col("b") / block)), "outer-edges")
+    ends = local.join(outer.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v")
+    up = lambda df, c: df.join(ends.select(F.col("v").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(c, F.coalesce(f"{c}_root", c)).drop(f"{c}_root")
     between = written(up(up(outer, "a"), "b").where("a <> b").distinct(), "block-edges")
     found = vertices.join(local.select(F.col("v").alias("seg_id"), "root"), "seg_id", "left").withColumn("root", F.coalesce("root", "seg_id"))
     if between.isEmpty():
         return found
-    top = connected(between, finish, rounds)
+    # written, so that few names of block roots are broadcast and vertices need no further shuffle
+    top = written(connected(between, finish, rounds), "block-names")
     return found.join(top.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
 
 

@@ -38,11 +38,15 @@ def _run_values() -> dict[str, Column]:
     }
 
 
-def folded(rows: DataFrame, keys: list[str], config: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """Partial features added up by ``keys``."""
+def _folds(config: FeatureConfig) -> list[Column]:
     how = {c: F.sum for c in SUMS} | {c: F.min for c in LOWS} | {c: F.max for c in HIGHS}
     kind = lambda c: "long" if c in SUMS else "int"
-    return rows.groupBy(*keys).agg(*(how[c](c).cast(kind(c)).alias(c) for c in config.columns))
+    return [how[c](c).cast(kind(c)).alias(c) for c in config.columns]
+
+
+def folded(rows: DataFrame, keys: list[str], config: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """Partial features added up by ``keys``."""
+    return rows.groupBy(*keys).agg(*_folds(config))
 
 
 def of_runs(labelled: DataFrame, config: FeatureConfig = FeatureConfig(), keys: tuple[str, ...] = ("label",)) -> DataFrame:
@@ -51,6 +55,14 @@ def of_runs(labelled: DataFrame, config: FeatureConfig = FeatureConfig(), keys:
     return folded(labelled.select(*keys, *(values[c].alias(c) for c in config.columns)), list(keys), config)
 
 
+def parts_of_runs(runs: DataFrame) -> DataFrame:
+    """Partial features by comp, and FIRST, from runs of which ``first`` marks one of each comp. One hash aggregation."""
+    values = _run_values()
+    at = {c: F.when(F.col("first"), F.col(c.removeprefix("first_"))).alias(c) for c in FIRST}
+    each = runs.select("comp", *(values[c].alias(c) for c in FeatureConfig().columns), *at.values())
+    return each.groupBy("comp").agg(*_folds(FeatureConfig()), *(F.min(c).alias(c) for c in FIRST))
+
+
 def of_runs_2d(labelled: DataFrame) -> DataFrame:
     """Features of 2-D components, by slice and label. ``hi_row`` is the last row, inclusive, while ``hi_col`` is exclusive."""
     found = of_runs(labelled, keys=("slice", "label"))

@@ -2,7 +2,8 @@
 
 Kept in a folder, partitioned by slab:
 
-    runs    slice, row, x0, x1, comp      comp: the slab's component, its least run's number with the slab before it
+    runs    slice, row, x0, x1, comp,     comp: the slab's component, its least run's number with the slab before it
+            first                         whether it is that run
     faces   row, x0, x1, slice, comp      the runs of the slab's last slice, all that the next slab looks at
     parts   comp, first run, features     partial features of the slab's components
     names   comp, root                    the component of the whole volume: the least comp that it holds
@@ -24,7 +25,7 @@ from runfield.sources.shared import removed, written
 RUN_BITS = 40
 _FEATURES = ", ".join(f"{c} long" for c in features.SUMS) + ", " + ", ".join(f"{c} int" for c in features.LOWS + features.HIGHS + features.FIRST)
 _SCHEMAS = {
-    "runs": "slice int, row int, x0 int, x1 int, comp long, slab int", "faces": "slice int, row int, x0 int, x1 int, comp long, slab int",
+    "runs": "slice int, row int, x0 int, x1 int, comp long, first boolean, slab int", "faces": "slice int, row int, x0 int, x1 int, comp long, slab int",
     "parts": f"comp long, {_FEATURES}, slab int", "names": "comp long, root long, slab int",
 }
 
@@ -64,23 +65,25 @@ class GrowingVolume:
         last = self.last_slab()
         if last is not None and slab < last:
             raise ValueError(f"slab {slab} comes after slab {last} was added")
-        low = slab * self.slices
-        if not voxels.where(~F.col("slice").between(low, low + self.slices - 1)).isEmpty():
+        low, at = slab * self.slices, F.lit(slab).alias("slab")
+        found = written(rle.runs(voxels), "slab-found")
+        # of the written runs, whose files tell the least and the greatest slice
+        if not found.where(~F.col("slice").between(low, low + self.slices - 1)).isEmpty():
+            removed(found)
             raise ValueError(f"cells outside of slab {slab}")
-        seg = written(rle.segments(voxels), "slab-runs")
-        comp = (F.lit(slab).cast("long") * (1 << RUN_BITS) + F.col("root")).alias("comp")
-        rooted = components.roots(seg.select("seg_id"), unify.contacts(seg)).select("seg_id", comp)
-        runs = written(seg.join(rooted, "seg_id"), "slab-comps")
-        removed(seg)
-        if runs.isEmpty():
+        if found.isEmpty():
+            removed(found)
             return
-        at = F.lit(slab).alias("slab")
-        self._put(runs.select("slice", "row", "x0", "x1", "comp", at), "runs")
+        seg = written(rle.numbered(found, ["slice", "row"], ["x0"], F.floor(F.col("row") / rle.ROWS), "seg_id"), "slab-runs")
+        removed(found)
+        comp = (F.lit(low_comp(slab)) + F.col("root")).alias("comp")
+        rooted = components.roots(seg, unify.contacts(seg))
+        self._put(rooted.select("slice", "row", "x0", "x1", comp, (F.col("seg_id") == F.col("root")).alias("first"), at), "runs")
+        removed(seg)
+        runs = self.read("runs", slab, slab)
         self._put(runs.where(F.col("slice") == low + self.slices - 1).select("slice", "row", "x0", "x1", "comp", at), "faces")
-        first = F.min(F.struct("slice", "row", "x0"))
-        starts = runs.groupBy("comp").agg(first.alias("f")).select("comp", *(F.col(f"f.{c[6:]}").alias(c) for c in features.FIRST))
-        self._put(features.of_runs(runs, keys=("comp",)).join(starts, "comp").select("*", at), "parts")
-        comps = runs.select("comp").distinct()
+        self._put(features.parts_of_runs(runs).select("*", at), "parts")
+        comps = self.read("parts", slab, slab).select("comp")
         face = self.read("faces", slab - 1, slab - 1)
         before = self.read("names", slab - 1, slab - 1).select("comp", "root")
         met = unify.touching(runs.where(F.col("slice") == low), face, unify.OFFSETS, ["comp"], ["comp"])

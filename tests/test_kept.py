@@ -129,6 +129,36 @@ def test_slabs_without_cells(spark):
     assert feature_rows(grown(spark, cells, 2, 8).features()) == grids.features(grids.flood(cells))
 
 
+def test_runs_of_a_slab_mark_the_first_of_each_component(spark):
+    cells = drawn(12, 4, 7, 11, 0.2)
+    runs = grown(spark, cells, 2, 4).read("runs").collect()
+    first = {}
+    for r in runs:
+        first.setdefault(r["comp"], []).append((r["slice"], r["row"], r["x0"]))
+    assert sorted((r["comp"], r["slice"], r["row"], r["x0"]) for r in runs if r["first"]) == sorted((c, *min(p)) for c, p in first.items())
+
+
+def test_edges_between_blocks_are_broadcast_to_the_roots(spark, monkeypatch):
+    plans = {}
+
+    def spied(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(components, "written", spied)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        # two chains over two blocks, whose roots take more than what is broadcast
+        vertices = spark.range(1, 40_001).select(F.col("id").alias("seg_id"), F.lit(7).alias("kept"))
+        chains = spark.range(1, 39_999).select(F.col("id").alias("a"), (F.col("id") + 2).alias("b"))
+        found = components.roots(vertices, chains, block=20_000)
+        assert found.groupBy("root", "kept").count().orderBy("root").collect() == [(1, 7, 20_000), (2, 7, 20_000)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plans["block-edges"]
+
+
 # Rows that arrive
 
 
